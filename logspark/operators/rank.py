@@ -22,7 +22,8 @@ def running_totals(
     sums: dict[str, Column] | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
-    """Add ``rank`` (1-based, dense by row), ``total`` rows of the group, and running ``sums``.
+    """Add ``rank`` (1-based, dense by row), ``total`` rows of the group, running ``sums`` and
+    their group totals as ``total_<name>``.
 
     ``order_by`` must be unique inside ``within`` for a repeatable result.
     """
@@ -43,13 +44,14 @@ def running_totals(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(whole).alias("total"),
         *[F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums],
+        *[F.sum(f"_s_{name}").over(whole).alias(f"total_{name}") for name in sums],
     )
     # Null group keys are groups too.
     match = F.col("_l._range") == F.col("_r._range")
     for name in within:
         match = match & F.col(f"_l.{name}").eqNullSafe(F.col(f"_r.{name}"))
     joined = spread.alias("_l").join(offsets.alias("_r"), match).select(
-        "_l.*", "_r._before", "_r.total", *[f"_r._b_{name}" for name in sums])
+        "_l.*", "_r._before", "_r.total", *[f"_r.{p}_{name}" for name in sums for p in ("_b", "total")])
     inside = W.partitionBy(*within, "_range").orderBy(*order_by)
     running = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     return joined.select(
@@ -57,4 +59,5 @@ def running_totals(
         (F.col("_before") + F.row_number().over(inside)).alias("rank"),
         "total",
         *[(F.col(f"_b_{name}") + F.sum(e).over(running)).alias(name) for name, e in sums.items()],
+        *[f"total_{name}" for name in sums],
     )

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspark.operators.features import occurrence_matrix
+from logspark.operators.parse import structured_lines
+from logspark.operators.sessions import session_tuples
 from logspark.session import configure
 
 BLK = ("'blk_' || CASE WHEN {id} % 2 = 0 THEN '-' ELSE '' END || "
@@ -87,3 +90,59 @@ def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
 def block_labels(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "labels").select(
         F.expr(BLK.format(id="doc_id")).alias("block_id"), F.col("toxic").alias("label"))
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    """Rendered lines, parsed and matched."""
+    return structured_lines(raw_logs(spark, folder))
+
+
+def tuples(spark: SparkSession, folder: str) -> DataFrame:
+    return session_tuples(events(spark, folder))
+
+
+def event_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """``session, line_id, event, token, ts`` per user."""
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("session"), F.col("event_id").alias("line_id"),
+        F.col("event_type").alias("event"),
+        (F.ascii("event_type") - 96).cast("bigint").alias("token"), "ts")
+
+
+def turn_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """``session, pos, event, token`` per conversation: short traces."""
+    return table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("session"), F.col("turn").alias("pos"), F.col("role").alias("event"),
+        (F.ascii("role") - 96).cast("bigint").alias("token"))
+
+
+def scores(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select(
+        F.col("event_id").alias("id"), (F.col("value") / 500.0).alias("prob"),
+        (F.col("event_type") == "error").cast("int").alias("y"),
+        F.to_date("ts").alias("day"))
+
+
+DAILY_EVENTS = ["click", "error", "purchase", "signup", "view"]
+
+
+def daily_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """``session, <one count per event type>, y`` per user and day."""
+    rows = table(spark, folder, "events").select(
+        F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("session"),
+        "event_type")
+    return occurrence_matrix(rows, DAILY_EVENTS, "session", "event_type").withColumn(
+        "y", (F.col("error") >= 2).cast("int"))
+
+
+def vector_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, x, y``: each vector as one step of a feature sequence."""
+    return table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), F.array("embedding").alias("x"), F.col("label").alias("y"))
+
+
+def free_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Document lines as log lines without header."""
+    return table(spark, folder, "documents").select(
+        F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("n", "value")).select(
+        (F.col("doc_id") * 1_000_000 + F.col("n")).alias("line_id"), "value")
