@@ -51,12 +51,13 @@ UNMATCHED_EVENT = "E0"
 UNMATCHED_WIDTH = 80
 NON_NUMERIC_EVENT = 9999
 
-# Date, time, pid, level, component, content. Java flags: d = only \n ends a line,
-# U = Unicode classes. \x1c-\x1f are blanks for the format but not for Java.
-_BLANK = r"[\s\x1c-\x1f]+"
+# Date, time, pid, level, component, content.
+HEADER_FIELDS = ["date", "time", "pid", "level", "component", "content"]
+_DIGIT, _WORD, _BLANK = r"\p{Nd}", r"\p{L}\p{N}_", r"[\p{IsWhite_Space}\x1c-\x1f]+"
+# Flag d: only a line feed ends a line, so the content may hold any other character.
 HEADER_PATTERN = (
-    r"(?dU)^(\d{6})" + _BLANK + r"(\d{6})" + _BLANK + r"(\d+)" + _BLANK + r"(\w+)" + _BLANK
-    + r"([\w.$]+):" + _BLANK + r"(.+)$"
+    rf"(?d)^({_DIGIT}{{6}}){_BLANK}({_DIGIT}{{6}}){_BLANK}({_DIGIT}+){_BLANK}([{_WORD}]+){_BLANK}"
+    rf"([{_WORD}.$]+):{_BLANK}(.+)$"
 )
 
 TEMPLATES = {f"E{number}": text for number, text in enumerate(TEMPLATE_TEXTS, 1)}

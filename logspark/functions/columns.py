@@ -21,21 +21,29 @@ def parse_ts(date: Column, time: Column) -> Column:
     return F.try_to_timestamp(F.concat(century, date, time), F.lit("yyyyMMddHHmmss"))
 
 
-def match_template(content: Column, lowered: Column, is_ascii: Column) -> Column:
+def match_template(content: Column) -> Column:
     """Id of the first template found in ``content``, ignoring case; ``E0`` when there is none.
 
     For pure ASCII text a byte search on the lowered text settles one-part templates and spares
-    most lines the regex of the others; other text takes the full Unicode regex.
+    most lines the regex of the others; other text takes the full Unicode regex. The CASE runs as
+    a lambda over one element: text and lowered text are worked out once, and its many branches
+    stay out of generated code, where they would pass the size a method may have.
     """
-    choice = None
-    for event_id, text in catalog.TEMPLATES.items():
-        parts, regex = catalog.pieces(text), catalog.pattern(text)
-        quick = lowered.contains(max(parts, key=len).lower())
-        if len(parts) > 1:
-            quick = quick & lowered.rlike("(?d)" + regex.lower())
-        hit = F.when(is_ascii, quick).otherwise(content.rlike("(?diu)" + regex))
-        choice = F.when(hit, event_id) if choice is None else choice.when(hit, event_id)
-    return choice.otherwise(catalog.UNMATCHED_EVENT)
+    def first_hit(line: Column) -> Column:
+        choice = None
+        for event_id, text in catalog.TEMPLATES.items():
+            parts, regex = catalog.pieces(text), catalog.pattern(text)
+            quick = line.low.contains(max(parts, key=len).lower())
+            if len(parts) > 1:
+                quick = quick & line.low.rlike("(?d)" + regex.lower())
+            hit = F.when(line.ascii, quick).otherwise(line.text.rlike("(?diu)" + regex))
+            choice = F.when(hit, event_id) if choice is None else choice.when(hit, event_id)
+        return choice.otherwise(catalog.UNMATCHED_EVENT)
+
+    line = F.struct(
+        content.alias("text"), F.lower(content).alias("low"),
+        (F.octet_length(content) == F.char_length(content)).alias("ascii"))
+    return F.get(F.transform(F.array(line), first_hit), F.lit(0))
 
 
 def template_text(event_id: Column, content: Column) -> Column:

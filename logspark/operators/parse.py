@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from logspark.functions import catalog
 from logspark.functions import columns as C
 
-_FIELDS = ["date", "time", "pid", "level", "component", "content"]
 _MARK = "\u0001"
 
 
@@ -19,17 +18,18 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     pass per line: the header is rewritten with a separator no header field can hold, then split
     with a limit, so the content may hold it.
     """
-    packed = F.regexp_replace("value", catalog.HEADER_PATTERN, _MARK.join(f"${n}" for n in range(1, 7)))
-    split = F.when(F.col("_packed") != F.col("value"), F.split("_packed", _MARK, len(_FIELDS)))
-    fields = [
+    marked = _MARK.join(f"${n}" for n in range(1, len(catalog.HEADER_FIELDS) + 1))
+    packed = F.regexp_replace("value", catalog.HEADER_PATTERN, marked)
+    parts = F.when(F.col("_packed") != F.col("value"), F.split("_packed", _MARK, len(catalog.HEADER_FIELDS)))
+    fields = F.struct(*[
         F.coalesce(F.get("_parts", F.lit(n)), F.col("value") if name == "content" else F.lit("")).alias(name)
-        for n, name in enumerate(_FIELDS)
-    ]
+        for n, name in enumerate(catalog.HEADER_FIELDS)])
     keep = [c for c in lines.columns if c != "value"]
+    # A one-element generator: filters on the fields stay above it, so none repeats the regex.
     parsed = (
         lines.withColumn("_packed", packed)
-        .withColumn("_parts", split)
-        .select(*keep, *fields)
+        .withColumn("_parts", parts)
+        .select(*keep, F.inline(F.array(fields)))
     )
     return parsed.withColumn("ts", C.parse_ts(F.col("date"), F.col("time")))
 
@@ -37,13 +37,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def assign_events(parsed: DataFrame) -> DataFrame:
     """Add ``event_id`` and ``event_template``; the text is only worked out where it is used."""
     content = F.col("content")
-    return (
-        parsed.withColumn("_low", F.lower(content))
-        .withColumn("_ascii", F.octet_length(content) == F.char_length(content))
-        .withColumn("event_id", C.match_template(content, F.col("_low"), F.col("_ascii")))
-        .withColumn("event_template", C.template_text(F.col("event_id"), content))
-        .drop("_low", "_ascii")
-    )
+    return parsed.withColumn("event_id", C.match_template(content)).withColumn(
+        "event_template", C.template_text(F.col("event_id"), content))
 
 
 def structured_lines(lines: DataFrame) -> DataFrame:

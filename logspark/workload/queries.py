@@ -7,9 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspark.detectors import (
+    clustering, forest, invariants, next_event, pca, report, sequence, supervised, vectors,
+)
 from logspark.functions import catalog
 from logspark.functions import columns as C
 from logspark.operators import encode, features, metrics, parse, sequences, sessions, split
@@ -536,7 +540,7 @@ def num_tokens(spark, folder):
     return encode.num_tokens(shifted)
 
 
-_HALVES = ("SELECT *, CASE WHEN k <= n // 2 THEN 'train' ELSE 'test' END AS split FROM (SELECT session, y, "
+_HALVES = ("SELECT *, CASE WHEN k <= n // 2 THEN 'train' ELSE 'test' END AS split FROM (SELECT *, "
            "row_number() OVER (PARTITION BY y ORDER BY session) AS k, count(*) OVER (PARTITION BY y) AS n FROM daily) d")
 
 
@@ -759,3 +763,141 @@ def write_pr_curve(spark, folder):
     scores = V.scores(spark, folder)
     sinks.write_pr_curve(metrics.pr_curve(scores), metrics.pr_summary(scores), path)
     return _rounded(spark.read.parquet(f"{path}/points"), "recall", "precision")
+
+
+# ---- detectors ----------------------------------------------------------------------------------
+
+_DAILY = V.DAILY_EVENTS
+
+
+def _halves(spark, folder):
+    return split.stratified_split(V.daily_counts(spark, folder), "session", "y", seed=None)
+
+
+@register("count_vectors", statement(
+    'SELECT split, session, click, "error", purchase, signup, "view" FROM halves', "daily", halves=_HALVES))
+def count_vectors(spark, folder):
+    rows = V.table(spark, folder, "events").select(
+        F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("session"),
+        "event_type")
+    halves = _halves(spark, folder).select("session", "split")
+    parts = [rows.join(halves.where(F.col("split") == name).select("session"), "session", "left_semi")
+             for name in ("train", "test")]
+    train, test = vectors.count_vectors(*parts, _DAILY, "session", "event_type")
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+def _flags(detector, rows, *extra):
+    return detector.transform(rows).select("session", "y", *extra, "pred")
+
+
+@register("pca_detector")
+def pca_detector(spark, folder):
+    rows = V.daily_counts(spark, folder)
+    return _flags(pca.fit_pca(rows, _DAILY, components=2), rows, "score")
+
+
+_GIVEN = [("click", "view", 1, -1), ("signup", "purchase", 2, -1), ("error", "view", 1, -2)]
+_BROKEN = [f'({a} * "{i}" + {b} * "{j}" <> 0)' for i, j, a, b in _GIVEN]
+
+
+@register("invariant_violations", statement(
+    "SELECT session, y, score, cast(score > 0 AS int) AS pred FROM (SELECT session, y, "
+    + " + ".join(f"cast({b} AS int)" for b in _BROKEN) + " AS score FROM daily) v", "daily"))
+def invariant_violations(spark, folder):
+    return invariants.flag_violations(V.daily_counts(spark, folder), _GIVEN).select("session", "y", "score", "pred")
+
+
+@register("invariant_support", statement(" UNION ALL ".join(
+    f"SELECT '{i}' AS first_event, '{j}' AS second_event, round(avg(CASE WHEN {b} THEN 0.0 ELSE 1.0 END), 6) AS support, "
+    f'round(avg(CASE WHEN {b} THEN 0.0 ELSE 1.0 END) FILTER (WHERE "{i}" <> 0 OR "{j}" <> 0), 6) AS support_nonzero '
+    "FROM daily" for (i, j, _, _), b in zip(_GIVEN, _BROKEN)), "daily"))
+def invariant_support(spark, folder):
+    rows = vectors.distinct_vectors(V.daily_counts(spark, folder), _DAILY)
+    share, nonzero = invariants.supports(rows, _DAILY, _GIVEN)
+    return spark.createDataFrame(
+        [(p[0], p[1], round(float(s), 6), round(float(t), 6)) for p, s, t in zip(_GIVEN, share, nonzero)],
+        "first_event string, second_event string, support double, support_nonzero double")
+
+
+@register("invariant_miner")
+def invariant_miner(spark, folder):
+    rows = V.daily_counts(spark, folder)
+    return _flags(invariants.fit_invariants(rows, _DAILY, keep=0.5), rows, "score")
+
+
+@register("log_clustering")
+def log_clustering(spark, folder):
+    rows = V.daily_counts(spark, folder)
+    return _flags(clustering.fit_clusters(rows.where(F.col("y") == 0), _DAILY), rows, "cluster", "score")
+
+
+@register("isolation_forest")
+def isolation_forest(spark, folder):
+    rows = V.daily_counts(spark, folder)
+    return _flags(forest.fit_forest(rows, _DAILY, "session", contamination=0.08), rows, "score")
+
+
+def _supervised(kind: str) -> Query:
+    def query(spark, folder):
+        rows = _halves(spark, folder)
+        train = rows.where(F.col("split") == "train")
+        return _flags(supervised.fit_supervised(train, _DAILY, "y", kind), rows, "split", "score")
+
+    return query
+
+
+for _kind in supervised.KINDS:
+    register(_kind)(_supervised(_kind))
+
+
+_USERS = "SELECT t.*, coalesce(toxic, 0) AS y FROM traces t LEFT JOIN labels ON labels.doc_id = t.session"
+
+
+@register("next_event_topg", statement(
+    "SELECT s.session, cast(coalesce(pairs, 0) AS bigint) AS pairs, cast(coalesce(unexpected, 0) AS bigint) AS unexpected, "
+    "cast(coalesce(unexpected, 0) > 0 AS int) AS pred FROM (SELECT DISTINCT session FROM traces) s LEFT JOIN ("
+    "SELECT session, count(*) AS pairs, count(*) FILTER (WHERE k.next IS NULL) AS unexpected FROM pairs p "
+    "LEFT JOIN tops k USING (context, next) GROUP BY session) f ON f.session = s.session",
+    "traces", users=_USERS, pairs=_PAIRS,
+    tops="SELECT context, next FROM (SELECT context, next, row_number() OVER (PARTITION BY context ORDER BY count(*) DESC, "
+         "next) AS place FROM pairs WHERE session IN (SELECT session FROM users WHERE y = 0) GROUP BY context, next) t "
+         "WHERE place <= 3"))
+def next_event_topg(spark, folder):
+    events = V.event_traces(spark, folder)
+    toxic = V.table(spark, folder, "labels").select(F.col("doc_id").alias("session"), "toxic")
+    normal = events.join(toxic.where(F.col("toxic") != 0), "session", "left_anti")
+    return next_event.fit_next_events(normal, "session", ["line_id"], "event", history=2, g=3).transform(events)
+
+
+def _labelled_traces(spark, folder, length=64):
+    """Daily traces of each user, labelled as the daily counts are."""
+    rows = V.event_traces(spark, folder).withColumn(
+        "session", F.concat_ws("|", F.col("session").cast("string"), F.date_format("ts", "yyyy-MM-dd")))
+    tokens = sequences.padded_tokens(rows, "session", ["line_id"], "token", length)
+    return tokens.join(V.daily_counts(spark, folder).select("session", "y"), "session")
+
+
+@register("sequence_classifier")
+def sequence_classifier(spark, folder):
+    rows = _labelled_traces(spark, folder)
+    return sequence.fit_sequence(rows).transform(rows).select("session", "y", "prob", "pred")
+
+
+@register("model_selection")
+def model_selection(spark, folder):
+    return sequence.select_model(_labelled_traces(spark, folder), "session", shared_path(spark, "model"))
+
+
+@register("save_best_model")
+def save_best_model(spark, folder):
+    rows = _halves(spark, folder)
+    fitted = supervised.fit_supervised(rows.where(F.col("split") == "train"), _DAILY, "y", "logistic_regression")
+    path = shared_path(spark, "model")
+    sinks.save_best_model(fitted.model, path)
+    return _flags(supervised.SupervisedDetector(_DAILY, LogisticRegressionModel.load(path)), rows, "score")
+
+
+@register("benchmark_report")
+def benchmark_report(spark, folder):
+    return report.benchmark_report(_halves(spark, folder), _DAILY, "session", "y", contamination=0.08)
