@@ -38,7 +38,10 @@ def flag_violations(matrix: DataFrame, invariants: list[Pair]) -> DataFrame:
 
 
 def pair_factors(squares_i: float, products: float, squares_j: float) -> tuple[int, int] | None:
-    """Integer factors from the smallest eigenvector of a pair's 2 x 2 matrix, one of them 1 or -1."""
+    """Integer factors from the smallest eigenvector of a pair's 2 x 2 matrix.
+
+    One of them is 1 or -1, and the first is positive.
+    """
     if squares_i == 0 and squares_j == 0:
         return None
     half = np.hypot((squares_i - squares_j) / 2.0, products)
@@ -49,10 +52,21 @@ def pair_factors(squares_i: float, products: float, squares_j: float) -> tuple[i
     size = np.abs(vector)
     if size.min() <= 1e-9 * max(size.max(), 1e-300):
         return None
-    scaled = np.rint(vector / size.min()).astype(int)
+    scaled = np.rint(vector / size.min() * np.sign(vector[0])).astype(int)
     return int(scaled[0]), int(scaled[1])
 
 
+def candidate_pairs(products: np.ndarray, columns: list[str]) -> list[Pair]:
+    """All column pairs that have an integer relation, in column order."""
+    found: list[Pair] = []
+    for i in range(len(columns)):
+        for j in range(i + 1, len(columns)):
+            factors = pair_factors(products[i, i], products[i, j], products[j, j])
+            if factors is not None:
+                found.append((columns[i], columns[j], *factors))
+    return found
+
+
 def supports(rows: DataFrame, columns: list[str], pairs: list[Pair]) -> tuple[np.ndarray, np.ndarray]:
     """Share of sessions keeping each invariant: of all, and of those with either event."""
     first = [columns.index(p[0]) for p in pairs]
@@ -96,12 +110,7 @@ def fit_invariants(
     try:
         products = gram(rows, columns)[1:, 1:]
         dimension = space_dimension(rows, columns, products, keep, epsilon)
-        candidates: list[Pair] = []
-        for i in range(len(columns)):
-            for j in range(i + 1, len(columns)):
-                factors = pair_factors(products[i, i], products[i, j], products[j, j])
-                if factors is not None:
-                    candidates.append((columns[i], columns[j], *factors))
+        candidates = candidate_pairs(products, columns)
         if not candidates:
             return InvariantDetector(columns, dimension, [], [], [])
         share, share_nonzero = supports(rows, columns, candidates)

@@ -68,5 +68,7 @@ def fit_pca(
     if isinstance(components, float):
         share = np.cumsum(values) / max(values.sum(), 1e-300)
         components = int(np.searchsorted(share, components) + 1)
+    # Something must be left to measure the error in.
+    components = min(components, len(columns) - 1)
     limit = q_statistic(values[components:]) if threshold is None else threshold
     return PcaDetector(columns, scale, mean, vectors[:, :components].T, limit)

@@ -820,10 +820,35 @@ def invariant_support(spark, folder):
         "first_event string, second_event string, support double, support_nonzero double")
 
 
+_ROLE_PAIRS = [(i, j) for n, i in enumerate(V.ROLES) for j in V.ROLES[n + 1:]]
+_PAIR_SUMS = " UNION ALL ".join(
+    f"SELECT '{i}' AS first_event, '{j}' AS second_event, sum(\"{i}\" * \"{i}\")::double AS a, "
+    f"sum(\"{i}\" * \"{j}\")::double AS b, sum(\"{j}\" * \"{j}\")::double AS c FROM roles" for i, j in _ROLE_PAIRS)
+_PAIR_KEPT = " UNION ALL ".join(
+    f"SELECT f.first_event, f.second_event, any_value(f.factor_1) AS factor_1, any_value(f.factor_2) AS factor_2, "
+    f"round(avg(CASE WHEN factor_1 * \"{i}\" + factor_2 * \"{j}\" = 0 THEN 1.0 ELSE 0.0 END), 6) AS support "
+    f"FROM roles, factors f WHERE f.first_event = '{i}' AND f.second_event = '{j}' GROUP BY ALL" for i, j in _ROLE_PAIRS)
+
+
+@register("invariant_candidates", statement(
+    _PAIR_KEPT, "roles", sums=_PAIR_SUMS,
+    # Smallest eigenvector (b, l - a) of [[a, b], [b, c]], scaled to a smallest entry of 1.
+    factors="SELECT first_event, second_event, cast(round(b / m) AS bigint) AS factor_1, cast(round((l - a) / m) AS bigint) "
+            "AS factor_2 FROM (SELECT *, least(abs(b), abs(l - a)) AS m FROM (SELECT *, (a + c) / 2 - "
+            "sqrt((a - c) * (a - c) / 4 + b * b) AS l FROM sums) e) s WHERE m > 0"))
+def invariant_candidates(spark, folder):
+    rows = vectors.distinct_vectors(V.role_counts(spark, folder), V.ROLES)
+    pairs = invariants.candidate_pairs(vectors.gram(rows, V.ROLES)[1:, 1:], V.ROLES)
+    share, _ = invariants.supports(rows, V.ROLES, pairs)
+    return spark.createDataFrame(
+        [(*p, round(float(s), 6)) for p, s in zip(pairs, share)],
+        "first_event string, second_event string, factor_1 bigint, factor_2 bigint, support double")
+
+
 @register("invariant_miner")
 def invariant_miner(spark, folder):
-    rows = V.daily_counts(spark, folder)
-    return _flags(invariants.fit_invariants(rows, _DAILY, keep=0.5), rows, "score")
+    rows = V.role_counts(spark, folder)
+    return invariants.fit_invariants(rows, V.ROLES, keep=0.5).transform(rows).select("session", "score", "pred")
 
 
 @register("log_clustering")

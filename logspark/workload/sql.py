@@ -50,6 +50,9 @@ CTES = {
               "cast(ascii(event_type) - 96 AS bigint) AS token, ts FROM events",
     "turns": "SELECT conv_id AS session, turn AS pos, role AS event, cast(ascii(role) - 96 AS bigint) AS token "
              "FROM conversations",
+    "roles": "SELECT session, count(*) FILTER (WHERE event = 'assistant') AS assistant, "
+             "count(*) FILTER (WHERE event = 'system') AS system, count(*) FILTER (WHERE event = 'user') AS \"user\" "
+             "FROM turns GROUP BY session",
     "scores": "SELECT event_id AS id, value / 500.0 AS prob, cast(event_type = 'error' AS int) AS y, "
               "cast(ts AS date) AS day FROM events",
     "daily": "SELECT *, cast(\"error\" >= 2 AS int) AS y FROM (SELECT cast(user_id AS string) || '|' || "
@@ -67,7 +70,7 @@ CTES = {
 }
 _NEEDS = {
     "parsed": ["raw_logs"], "ev": ["parsed"], "tup": ["ev"], "firsts": ["ev"], "ranks": ["ev"],
-    "confusion": ["scores"], "curve": ["scores"],
+    "roles": ["turns"], "confusion": ["scores"], "curve": ["scores"],
 }
 
 

@@ -146,3 +146,11 @@ def free_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(
         F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("n", "value")).select(
         (F.col("doc_id") * 1_000_000 + F.col("n")).alias("line_id"), "value")
+
+
+ROLES = ["assistant", "system", "user"]
+
+
+def role_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """``session, <one count per role>``: nearly as many answers as questions."""
+    return occurrence_matrix(turn_traces(spark, folder), ROLES, "session", "event")
