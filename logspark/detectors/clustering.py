@@ -87,12 +87,13 @@ def _schema(df: DataFrame) -> str:
 
 def fit_clusters(
     normal: DataFrame, columns: list[str], max_distance: float = 0.3, sample: int = 1000, seed: int = 42,
-    max_centres: int = 100_000,
+    max_centres: int = 100_000, weighting: str = "tf-idf",
 ) -> ClusterDetector:
     """Fit on normal sessions. ``max_centres`` bounds what is sent to all tasks; beyond it, fail."""
     rows = stage(distinct_vectors(normal, columns))
     order = F.xxhash64(F.lit(seed).cast("bigint"), *columns)
-    model = ClusterDetector(columns, idf_weights(rows, columns), np.zeros((0, len(columns) + 1)), max_distance, 0, 0)
+    idf = idf_weights(rows, columns) if weighting == "tf-idf" else np.ones(len(columns))
+    model = ClusterDetector(columns, idf, np.zeros((0, len(columns) + 1)), max_distance, 0, 0)
     left = rows
     while True:
         picked = left.orderBy(order, *columns).limit(sample).select(*columns).collect()
