@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from logspark.detectors.vectors import assemble, distinct_vectors
 
 KINDS = {
-    "logistic_regression": lambda: LogisticRegression(maxIter=100),
+    "logistic_regression": lambda: LogisticRegression(maxIter=100, regParam=1e-4, tol=1e-4),
     "linear_svm": lambda: LinearSVC(maxIter=100, regParam=1e-4, tol=1e-4),
     "decision_tree": lambda: DecisionTreeClassifier(maxDepth=10, seed=42),
 }

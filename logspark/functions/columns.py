@@ -21,29 +21,28 @@ def parse_ts(date: Column, time: Column) -> Column:
     return F.try_to_timestamp(F.concat(century, date, time), F.lit("yyyyMMddHHmmss"))
 
 
-def match_template(content: Column) -> Column:
-    """Id of the first template found in ``content``, ignoring case; ``E0`` when there is none.
+def fold_case(text: str) -> str:
+    """SQL: lower case, with the four letters that equal an ASCII one when case is ignored replaced."""
+    return (f"CASE WHEN octet_length({text}) = char_length({text}) THEN lower({text}) "
+            f"ELSE lower(translate({text}, '\u017f\u212a\u0131\u0130', 'skii')) END")
 
-    For pure ASCII text a byte search on the lowered text settles one-part templates and spares
-    most lines the regex of the others; other text takes the full Unicode regex. The CASE runs as
-    a lambda over one element: text and lowered text are worked out once, and its many branches
-    stay out of generated code, where they would pass the size a method may have.
+
+def match_template(text: str = "content") -> Column:
+    """Id of the first template found in a text column, ignoring case; ``E0`` when there is none.
+
+    On folded text a byte search settles one-part templates and spares most lines the regex of the
+    others. The CASE runs as a lambda over one element: the text is folded once, and the many
+    branches stay out of generated code, where they would pass the size a method may have.
     """
-    def first_hit(line: Column) -> Column:
-        choice = None
-        for event_id, text in catalog.TEMPLATES.items():
-            parts, regex = catalog.pieces(text), catalog.pattern(text)
-            quick = line.low.contains(max(parts, key=len).lower())
-            if len(parts) > 1:
-                quick = quick & line.low.rlike("(?d)" + regex.lower())
-            hit = F.when(line.ascii, quick).otherwise(line.text.rlike("(?diu)" + regex))
-            choice = F.when(hit, event_id) if choice is None else choice.when(hit, event_id)
-        return choice.otherwise(catalog.UNMATCHED_EVENT)
-
-    line = F.struct(
-        content.alias("text"), F.lower(content).alias("low"),
-        (F.octet_length(content) == F.char_length(content)).alias("ascii"))
-    return F.get(F.transform(F.array(line), first_hit), F.lit(0))
+    branches = []
+    for event_id, template in catalog.TEMPLATES.items():
+        parts = catalog.pieces(template.lower())
+        hit = f"contains(t, '{max(parts, key=len)}')"
+        if len(parts) > 1:
+            hit += f" AND t RLIKE r'(?d){catalog.pattern(template.lower())}'"
+        branches.append(f"WHEN {hit} THEN '{event_id}'")
+    choice = f"CASE {' '.join(branches)} ELSE '{catalog.UNMATCHED_EVENT}' END"
+    return F.expr(f"get(transform(array({fold_case(text)}), t -> {choice}), 0)")
 
 
 def template_text(event_id: Column, content: Column) -> Column:

@@ -37,7 +37,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def assign_events(parsed: DataFrame) -> DataFrame:
     """Add ``event_id`` and ``event_template``; the text is only worked out where it is used."""
     content = F.col("content")
-    return parsed.withColumn("event_id", C.match_template(content)).withColumn(
+    return parsed.withColumn("event_id", C.match_template("content")).withColumn(
         "event_template", C.template_text(F.col("event_id"), content))
 
 

@@ -39,13 +39,12 @@ def split_long(events: DataFrame, key: str, limits: Limits = DEFAULT) -> tuple[D
     """
     long_keys = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(
         F.col("_n") > limits.max_events).select(key)
-    found = long_keys.limit(limits.max_keys + 1).collect()
+    found = long_keys.count()
     if not found:
         return events, None
-    if len(found) <= limits.max_keys:
-        keys = F.broadcast(events.sparkSession.createDataFrame(found, long_keys.schema))
-    else:
-        keys = stage(long_keys)
+    keys = stage(long_keys)
+    if found <= limits.max_keys:
+        keys = F.broadcast(keys)
     return events.join(keys, key, "left_anti"), events.join(keys, key, "left_semi")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logspark.operators.features import occurrence_matrix
 from logspark.operators.parse import structured_lines
 from logspark.operators.sessions import session_tuples
-from logspark.session import configure
+from logspark.session import configure, spread
 
 BLK = ("'blk_' || CASE WHEN {id} % 2 = 0 THEN '-' ELSE '' END || "
        "cast(7000000000 + {id} * 7919 AS STRING)")
@@ -84,7 +84,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
     return spark.sql(raw_logs_sql(SPARK_TS).replace("FROM events)", "FROM {events})"),
-                     events=table(spark, folder, "events"))
+                     events=spread(table(spark, folder, "events"), "event_id"))
 
 
 def block_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,7 +143,7 @@ def vector_dataset(spark: SparkSession, folder: str) -> DataFrame:
 
 def free_text(spark: SparkSession, folder: str) -> DataFrame:
     """Document lines as log lines without header."""
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("n", "value")).select(
         (F.col("doc_id") * 1_000_000 + F.col("n")).alias("line_id"), "value")
 

@@ -26,6 +26,7 @@ LINES = [
     "BLOCK* ask 1 to delete blk_1", "BLOCKK ask x to replicate y to z", "BLOCK* ask x to replicate y to z",
     "é Receiving block a src: b dest: c", ":Transmitted block x to y", "Transmitted block x to y",
     "Starting thread to transfer block x to y é", "z" * 300,
+    "VERİFICATION succeeded for x", "Verıfication succeeded for y", "é VERİFICATION ſucceeded for x",
 ]
 
 
