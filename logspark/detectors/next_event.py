@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from logspark.operators.sequences import next_event_pairs
 from logspark.operators.skew import DEFAULT, Limits
+from logspark.session import sized
 
 
 def top_followers(pairs: DataFrame, g: int) -> DataFrame:
@@ -23,17 +24,12 @@ def top_followers(pairs: DataFrame, g: int) -> DataFrame:
 
 
 def flag_sessions(pairs: DataFrame, followers: DataFrame, key: str) -> DataFrame:
-    """``key, pairs, unexpected, pred``: a session is anomalous when any event was not expected.
-
-    Pairs are counted per session first, so a session that repeats one pair sends it once.
-    """
-    counted = pairs.groupBy(key, "context", "next").agg(F.count(F.lit(1)).alias("n"))
+    """``key, pairs, unexpected, pred``: a session is anomalous when any event was not expected."""
     known = followers.withColumn("_known", F.lit(True))
     return (
-        counted.join(known, ["context", "next"], "left")
+        pairs.join(known, ["context", "next"], "left")
         .groupBy(key)
-        .agg(F.sum("n").alias("pairs"),
-             F.sum(F.when(F.col("_known").isNull(), F.col("n")).otherwise(0)).alias("unexpected"))
+        .agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("_known").isNull()).alias("unexpected"))
         .withColumn("pred", (F.col("unexpected") > 0).cast("int"))
     )
 
@@ -62,6 +58,10 @@ def fit_next_events(
     normal: DataFrame, key: str, order: list[str], event: str, history: int = 10, g: int = 9,
     limits: Limits = DEFAULT,
 ) -> NextEventDetector:
-    """Fit on the events of normal sessions."""
+    """Fit on the events of normal sessions.
+
+    The model is written once, and sent to all tasks when it is small: scoring then needs no shuffle
+    on contexts, some of which are very frequent.
+    """
     pairs = next_event_pairs(normal, key, order, event, history, limits)
-    return NextEventDetector(top_followers(pairs, g), key, order, event, history, limits)
+    return NextEventDetector(sized(top_followers(pairs, g)), key, order, event, history, limits)

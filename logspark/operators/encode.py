@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from logspark.functions import columns as C
+from logspark.session import sized
 
 
 def event_rank(events: DataFrame, event: str = "event_id") -> DataFrame:
@@ -24,13 +25,13 @@ def lexical_rank(events: DataFrame, event: str = "event_id") -> DataFrame:
 
 def join_codes(tuples: DataFrame, codes: DataFrame, event: str = "event_id") -> DataFrame:
     """Code per event, 0 for events without one."""
-    table = codes.select(F.col("event_id").alias(event), "code")
+    table = sized(codes.select(F.col("event_id").alias(event), "code"))
     return tuples.join(table, event, "left").withColumn("code", F.coalesce("code", F.lit(0)))
 
 
 def encoder_transform(tuples: DataFrame, codes: DataFrame, event: str = "event_id") -> DataFrame:
     """Code per event; an event unknown to the encoder is an error."""
-    table = codes.select(F.col("event_id").alias(event), "code")
+    table = sized(codes.select(F.col("event_id").alias(event), "code"))
     unknown = F.raise_error(F.concat(F.lit("unknown event: "), F.coalesce(event, F.lit("null"))))
     return tuples.join(table, event, "left").withColumn("code", F.coalesce("code", unknown.cast("bigint")))
 

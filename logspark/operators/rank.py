@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from logspark.session import stage
+from logspark.session import sized, stage
 
 
 def running_totals(
@@ -36,7 +36,6 @@ def running_totals(
     )
     per_range = spread.groupBy(*within, "_range").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(e).alias(f"_s_{name}") for name, e in sums.items()])
-    # Rows here: ranges + groups at most, whatever the table holds.
     before = W.partitionBy(*within).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*within)
     offsets = per_range.select(
@@ -46,6 +45,8 @@ def running_totals(
         *[F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums],
         *[F.sum(f"_s_{name}").over(whole).alias(f"total_{name}") for name in sums],
     )
+    # As many rows as ranges, plus the group borders inside ranges.
+    offsets = sized(offsets) if within else F.broadcast(offsets)
     # Null group keys are groups too.
     match = F.col("_l._range") == F.col("_r._range")
     for name in within:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions import columns as C
 from logspark.operators.skew import DEFAULT, ORDER, Limits, cut_segments, over_sessions, split_long
+from logspark.session import sized
 
 EVENT = ["line_id", "pos", "event_id", "ts"]
 
@@ -32,21 +33,46 @@ def _ordered(fields: list[str]) -> Column:
 
 def build_sessions(tuples: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """``block_id, segment, events`` with events in file order; segment is 0 unless very long."""
-    short, long_events = split_long(tuples, "block_id", limits)
-    result = short.groupBy("block_id").agg(_ordered(EVENT).alias("events"))
-    result = result.select("block_id", F.lit(0).cast("bigint").alias("segment"), "events")
+    short, cut, _ = _session_parts(tuples, limits)
+    return short if cut is None else short.unionByName(cut)
+
+
+def _session_parts(tuples: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Whole sessions, segments of long ones, and the keys of these."""
+    short, long_events, keys = split_long(tuples, "block_id", limits)
+    whole = short.groupBy("block_id").agg(_ordered(EVENT).alias("events")).select(
+        "block_id", F.lit(0).cast("bigint").alias("segment"), "events")
     if long_events is None:
-        return result
+        return whole, None, None
     cut = cut_segments(long_events, "block_id", ORDER, limits.max_events)
-    return result.unionByName(cut.groupBy("block_id", "segment").agg(_ordered(EVENT).alias("events")))
+    return whole, cut.groupBy("block_id", "segment").agg(_ordered(EVENT).alias("events")), keys
 
 
 def label_sessions(sessions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Left join with default 0. No hint: the size of ``labels`` decides at run time."""
+    """Left join with default 0, for one row per session.
+
+    No hint: the size of ``labels`` decides at run time.
+    """
     return sessions.join(labels.select("block_id", "label"), "block_id", "left").withColumn(
         "label", F.coalesce("label", F.lit(0)))
 
 
+def label_segments(segments: DataFrame, keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same for many rows per session: only the labels of the few long ones are sent around.
+
+    A join on the session key would bring all segments of a session into one task.
+    """
+    few = sized(label_sessions(keys, labels))
+    return segments.join(few, "block_id")
+
+
+def labelled_sessions(tuples: DataFrame, labels: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """:func:`build_sessions` with a label."""
+    short, cut, keys = _session_parts(tuples, limits)
+    whole = label_sessions(short, labels)
+    return whole if cut is None else whole.unionByName(label_segments(cut, keys, labels))
+
+
 def event_gaps(tuples: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Seconds since the previous event of the session, 0.0 when either time is missing.
 
@@ -69,7 +95,7 @@ def trace_features(tuples: DataFrame, labels: DataFrame, errors=None, limits: Li
     segment: texts are those of the segment, counts and latency those of the session.
     """
     error = C.is_error_event(F.col("event_id"), errors) if errors is not None else C.is_error_event(F.col("event_id"))
-    short, long_events = split_long(tuples, "block_id", limits)
+    short, long_events, keys = split_long(tuples, "block_id", limits)
 
     grouped = short.groupBy("block_id").agg(
         _ordered(EVENT).alias("events"), F.count_if(error).alias("errors"))
@@ -82,12 +108,13 @@ def trace_features(tuples: DataFrame, labels: DataFrame, errors=None, limits: Li
         F.col("timed").cast("bigint").alias("timed"),
         F.when(F.col("timed") >= 2, C.round_latency(latency)).otherwise(0).alias("latency"),
     )
+    rows = label_sessions(rows, labels)
     if long_events is not None:
-        rows = rows.unionByName(_long_rows(long_events, error, limits))
+        rows = rows.unionByName(_long_rows(long_events, keys, labels, error, limits))
 
     text = F.when(F.col("timed") < 2, "[0.0]").otherwise(
         F.concat(F.lit("["), F.array_join("gaps", ", "), F.lit("]")))
-    return label_sessions(rows, labels).select(
+    return rows.select(
         "block_id", "segment",
         C.label_text(F.col("label")).alias("label"),
         F.nullif("errors", F.lit(0)).alias("type"),
@@ -107,14 +134,16 @@ def _gap_texts(events: Column) -> Column:
         C.gap_text(C.seconds(p["b"]["ts"]) - C.seconds(p["a"]["ts"])), F.lit("0.0")))
 
 
-def _long_rows(long_events: DataFrame, error: Column, limits: Limits) -> DataFrame:
-    timed = F.col("ts").isNotNull()
-    place = F.struct("line_id", "pos")
-    first = F.min_by("ts", F.when(timed, place))
-    last = F.max_by("ts", F.when(timed, place))
+def _long_rows(
+    long_events: DataFrame, keys: DataFrame, labels: DataFrame, error: Column, limits: Limits,
+) -> DataFrame:
+    """One row per segment, with the counts and the label of its session."""
+    place = F.when(F.col("ts").isNotNull(), F.struct("line_id", "pos"))
+    first, last = F.min_by("ts", place), F.max_by("ts", place)
     totals = long_events.groupBy("block_id").agg(
         F.count_if(error).alias("errors"), F.count("ts").alias("timed"),
         (C.seconds(last) - C.seconds(first)).alias("span"))
+    totals = sized(label_segments(totals, keys, labels))
     cut = cut_segments(long_events, "block_id", ORDER, limits.max_events, halo=1)
     segments = cut.groupBy("block_id", "segment").agg(_ordered([*EVENT, "is_halo"]).alias("events"))
     own = F.filter("events", lambda e: ~e.is_halo)
@@ -124,4 +153,5 @@ def _long_rows(long_events: DataFrame, error: Column, limits: Limits) -> DataFra
         _gap_texts(F.col("events")).alias("gaps"),
         "timed",
         F.when(F.col("timed") >= 2, C.round_latency(F.col("span"))).otherwise(0).alias("latency"),
+        "label",
     )

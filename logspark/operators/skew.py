@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from logspark.operators.rank import running_totals
-from logspark.session import stage
+from logspark.session import sized
 
 ORDER = ["line_id", "pos"]
 
@@ -31,21 +31,21 @@ class Limits:
 DEFAULT = Limits()
 
 
-def split_long(events: DataFrame, key: str, limits: Limits = DEFAULT) -> tuple[DataFrame, DataFrame | None]:
-    """``events`` of sessions up to the limit, and those of longer sessions (None when there are none).
+def split_long(
+    events: DataFrame, key: str, limits: Limits = DEFAULT,
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """``events`` of sessions up to the limit, those of longer sessions, and the keys of these.
 
-    Counting needs the key column only and combines before its shuffle. The keys found are few
-    (rows / max_events); they are sent to all tasks up to ``max_keys`` and joined normally beyond.
+    The last two are None when no session is that long. Counting needs the key column only and
+    combines before its shuffle. The keys found are few (rows / max_events); they are sent to all
+    tasks up to ``max_keys`` and joined normally beyond.
     """
     long_keys = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(
         F.col("_n") > limits.max_events).select(key)
-    found = long_keys.count()
-    if not found:
-        return events, None
-    keys = stage(long_keys)
-    if found <= limits.max_keys:
-        keys = F.broadcast(keys)
-    return events.join(keys, key, "left_anti"), events.join(keys, key, "left_semi")
+    if long_keys.isEmpty():
+        return events, None, None
+    keys = sized(long_keys, limits.max_keys)
+    return events.join(keys, key, "left_anti"), events.join(keys, key, "left_semi"), keys
 
 
 def cut_segments(long_events: DataFrame, key: str, order: list[str], max_events: int, halo: int = 0) -> DataFrame:
@@ -80,7 +80,7 @@ def over_sessions(
     limits: Limits = DEFAULT,
 ) -> DataFrame:
     """Apply ``build(df, window)``, whose functions look at most ``look_back`` rows back."""
-    short, long_events = split_long(events, key, limits)
+    short, long_events, _ = split_long(events, key, limits)
     result = build(short, W.partitionBy(key).orderBy(*order))
     if long_events is None:
         return result

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from logspark.detectors import sequence
 from logspark.functions import columns as C
 from logspark.operators import metrics, split
-from logspark.session import configure
+from logspark.session import configure, sized
 from logspark.sources import datasets, sinks
 
 
@@ -46,7 +46,7 @@ def train_classifier(
     if max_traces is not None:
         # The key decides the order, so the segments of a session stay together.
         kept = split.cap_traces(rows.select("block_id").distinct(), "block_id", max_traces, seed)
-        rows = rows.join(kept, "block_id", "left_semi")
+        rows = rows.join(sized(kept), "block_id", "left_semi")
     traces = fixed_traces(rows, length)
     results = sequence.select_model(
         traces, "block_id", f"{out}/model", regs, val_frac, test_frac, seed, threshold)

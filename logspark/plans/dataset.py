@@ -39,7 +39,7 @@ def stats_of(table: DataFrame) -> DataFrame:
 def encoded_sequences(tuples: DataFrame, labels: DataFrame, events: list[str], limits: Limits = DEFAULT) -> DataFrame:
     """``block_id, segment, x_data, y_data``: 1-based codes of the observed events, label 0 by default."""
     codes = {event: code for code, event in enumerate(events, 1)}
-    built = sessions.label_sessions(sessions.build_sessions(tuples, limits), labels)
+    built = sessions.labelled_sessions(tuples, labels, limits)
     ids = F.transform("events", lambda e: e.event_id)
     return built.select("block_id", "segment", C.encode_sequence(ids, codes).alias("x_data"),
                         F.col("label").cast("bigint").alias("y_data"))

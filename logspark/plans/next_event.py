@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logspark.detectors.next_event import fit_next_events
 from logspark.operators import encode, metrics, sessions
 from logspark.operators.skew import DEFAULT, Limits
+from logspark.session import sized
 
 
 def next_event_accuracy(
@@ -19,8 +20,9 @@ def next_event_accuracy(
     """
     firsts = sessions.first_block_tuples(lines)
     coded = encode.encoder_transform(firsts, encode.lexical_rank(firsts))
-    labelled = sessions.label_sessions(coded, labels)
-    normal = labelled.where(F.col("label") == 0)
+    # Abnormal sessions are the few; those not named are normal.
+    abnormal = sized(labels.where(F.col("label") != 0).select("block_id"))
+    normal = coded.join(abnormal, "block_id", "left_anti")
     detector = fit_next_events(normal, "block_id", ["line_id"], "code", history, g, limits)
     flags = sessions.label_sessions(detector.transform(coded), labels).select("pred", F.col("label").alias("y"))
     totals = metrics.confusion_of(flags).select(

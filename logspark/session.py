@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SQL_SETTINGS = {
     # Log timestamps carry no zone; UTC makes results the same on every machine.
@@ -21,7 +22,9 @@ def build_session(app: str = "logspark", master: str | None = None, **settings:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SQL_SETTINGS, **settings}.items():
+    # Checkpoint files go when nothing refers to them any more.
+    cleaning = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+    for key, value in {**SQL_SETTINGS, **cleaning, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -66,6 +69,19 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A join side that is sent to all tasks if it is small.
+
+    It is written once and counted. Beyond ``max_rows`` it stays an ordinary join side, which Spark
+    shuffles and, where a key is hot, splits.
+    """
+    staged = stage(df)
+    return F.broadcast(staged) if staged.count() <= max_rows else staged
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give an input with fewer splits than cores (a single small file) to all cores.
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logspark.functions import columns as C
+from logspark.sources.logs import number_rows
 
 LABEL_SCHEMA = "block_id string, label int"
 
@@ -23,10 +24,13 @@ def label_columns(names: list[str]) -> tuple[str, str]:
     return first(("block", "id")), first(("label", "anomal"))
 
 
-def normalise_labels(rows: DataFrame, order: Column | None = None) -> DataFrame:
-    """``block_id, label`` from a table with loosely named columns; of repeated ids the last row wins."""
-    id_name, label_name = label_columns(rows.columns)
-    place = order if order is not None else F.monotonically_increasing_id()
+def normalise_labels(rows: DataFrame, order: str | None = None) -> DataFrame:
+    """``block_id, label`` from a table with loosely named columns; of repeated ids the last row wins.
+
+    ``order`` names the column that holds the row order.
+    """
+    id_name, label_name = label_columns([c for c in rows.columns if c != order])
+    place = F.col(order) if order is not None else F.monotonically_increasing_id()
     typed = rows.select(
         F.col(f"`{id_name}`").cast("string").alias("block_id"),
         C.label_value(F.col(f"`{label_name}`")).alias("label"), place.alias("_row"))
@@ -43,12 +47,12 @@ def load_labels(spark: SparkSession, path: str | None) -> DataFrame:
     if not path:
         return empty
     try:
-        rows = spark.read.csv(path, header=True)
+        rows = number_rows(spark.read.csv(path, header=True), "_row")
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
             return empty
         raise
-    return normalise_labels(rows)
+    return normalise_labels(rows, "_row")
 
 
 def check_traces(rows: DataFrame) -> DataFrame:
@@ -74,11 +78,11 @@ def write_splits(rows: DataFrame, path: str) -> None:
 def load_splits(spark: SparkSession, path: str) -> dict[str, DataFrame | None]:
     """train / val / test of a partitioned dataset; train is required, the others may be missing."""
     rows = spark.read.parquet(path)
-    found = {r["split"] for r in rows.select("split").distinct().limit(10).collect()}
-    if "train" not in found:
+    parts = {name: rows.where(F.col("split") == name).drop("split") for name in ("train", "val", "test")}
+    found = {name: None if part.isEmpty() else part for name, part in parts.items()}
+    if found["train"] is None:
         raise ValueError("the dataset has no train split")
-    return {name: rows.where(F.col("split") == name).drop("split") if name in found else None
-            for name in ("train", "val", "test")}
+    return found
 
 
 def typed_dataset(rows: DataFrame, x: str = "x", y: str | None = "y") -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# One row per input split goes to all tasks; 128 MB splits of 100 TB are 800,000 rows.
-MAX_SPLITS = 4_000_000
+from logspark.session import sized
 
 
 def scan_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -15,19 +14,20 @@ def scan_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.make_valid_utf8("value").alias("value"))
 
 
-def number_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``line_id, value`` with dense 1-based numbers in file order (files by path).
+def number_rows(rows: DataFrame, name: str = "line_id") -> DataFrame:
+    """Add dense 1-based row numbers in file order (files by path) to a DataFrame read from files.
 
     Rows keep their place inside an input split, so only the rows per split have to be counted:
-    their running sum, one number per split, is joined back. No sort and no shuffle of the lines.
+    their running sum, one number per split, is joined back. No sort and no shuffle of the rows:
+    128 MB splits of 100 TB are 800,000 numbers, few enough to send to all tasks.
     """
-    lines = spark.read.text(path).select(
-        "value",
+    placed = rows.select(
+        "*",
         F.monotonically_increasing_id().alias("_mid"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
     )
-    splits = lines.groupBy("_file", "_start").agg(
+    splits = placed.groupBy("_file", "_start").agg(
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     # Running sum inside each file, then over files: no window sees more than the split list.
     in_file = W.partitionBy("_file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
@@ -37,16 +37,19 @@ def number_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     offsets = splits.join(files, "_file").select(
         "_file", "_start",
         (F.col("_file_offset") + F.coalesce(F.sum("_n").over(in_file), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
-    small = len(lines.inputFiles()) <= MAX_SPLITS and lines.rdd.getNumPartitions() <= MAX_SPLITS
-    return (
-        lines.join(F.broadcast(offsets) if small else offsets, ["_file", "_start"])
-        .select((F.col("_mid") + F.col("_offset")).alias("line_id"),
-                F.make_valid_utf8("value").alias("value"))
-    )
+    numbered = placed.join(sized(offsets), ["_file", "_start"])
+    return numbered.select((F.col("_mid") + F.col("_offset")).alias(name), *[F.col(f"`{c}`") for c in rows.columns])
+
+
+def number_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``line_id, value`` of text files."""
+    return number_rows(spark.read.text(path)).withColumn("value", F.make_valid_utf8("value"))
 
 
 def load_structured(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """CSV of already templated lines: at least ``Content`` and ``EventId``; a ``LineId`` gives the order.
+    """CSV of already templated lines: at least ``Content`` and ``EventId``.
+
+    The order is that of ``LineId``, or of the rows where there is none.
 
     ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
     """
@@ -54,5 +57,6 @@ def load_structured(spark: SparkSession, path: str, multi_line: bool = False) ->
     missing = {"Content", "EventId"} - set(df.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
-    order = F.col("LineId").cast("bigint") if "LineId" in df.columns else F.monotonically_increasing_id()
-    return df.select(order.alias("line_id"), F.col("Content").alias("content"), F.col("EventId").alias("event_id"))
+    if "LineId" not in df.columns:
+        df = number_rows(df, "LineId")
+    return df.select(F.col("LineId").cast("bigint").alias("line_id"), F.col("Content").alias("content"), F.col("EventId").alias("event_id"))

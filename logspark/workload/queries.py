@@ -188,11 +188,10 @@ _SEQUENCES_SQL = (
 def _sequences(spark, folder):
     events = V.events(spark, folder)
     codes = {e: n for n, e in enumerate(features.observed_events(events), 1)}
-    built = sessions.build_sessions(sessions.session_tuples(events))
+    built = sessions.labelled_sessions(sessions.session_tuples(events), V.block_labels(spark, folder))
     ids = F.transform("events", lambda e: e.event_id)
-    return sessions.label_sessions(built, V.block_labels(spark, folder)).select(
-        "block_id", "segment", C.encode_sequence(ids, codes).alias("x_data"),
-        F.col("label").cast("bigint").alias("y_data"))
+    return built.select("block_id", "segment", C.encode_sequence(ids, codes).alias("x_data"),
+                        F.col("label").cast("bigint").alias("y_data"))
 
 
 @register("write_sequences", statement(_SEQUENCES_SQL, "tup", "ranks", "lab"))
@@ -668,14 +667,14 @@ def preview(spark, folder):
     return V.events(spark, folder).select("line_id", "event_id", "content").orderBy("line_id").limit(5)
 
 
-@register("seeded_shuffle")
+@register("seeded_shuffle", statement("SELECT * FROM daily", "daily"))
 def seeded_shuffle(spark, folder):
     return split.seeded_shuffle(V.daily_counts(spark, folder), "session", 42)
 
 
-@register("cap_traces")
+@register("cap_traces", statement("SELECT * FROM daily ORDER BY session LIMIT 1000", "daily"))
 def cap_traces(spark, folder):
-    return split.cap_traces(V.daily_counts(spark, folder), "session", 1000, 42)
+    return split.cap_traces(V.daily_counts(spark, folder), "session", 1000, seed=None)
 
 
 @register("positional_split", statement(
