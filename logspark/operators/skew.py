@@ -22,9 +22,11 @@ ORDER = ["line_id", "pos"]
 
 @dataclass(frozen=True)
 class Limits:
-    """``max_events``: longest uncut session. ``max_keys``: most long-session keys sent to all tasks."""
+    """``max_events``: longest uncut session, some ten MB of events in one task.
+    ``max_keys``: most long-session keys sent to all tasks.
+    """
 
-    max_events: int = 1_000_000
+    max_events: int = 100_000
     max_keys: int = 100_000
 
 

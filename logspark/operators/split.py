@@ -36,7 +36,9 @@ def positional_split(
     df: DataFrame, key: str, val_frac: float = 0.1, test_frac: float = 0.1, seed: int | None = 42,
 ) -> DataFrame:
     """Add ``split``: train first, then val, then test, by position in the permutation."""
-    n = df.count()
+    ranked = running_totals(df, _order(key, seed))
+    first = ranked.select("total").first()
+    n = first["total"] if first else 0
     n_test, n_val = int(n * test_frac), int(n * val_frac)
     n_train = n - n_val - n_test
     if n_train <= 0:
@@ -46,7 +48,7 @@ def positional_split(
         .when(F.col("rank") <= n_train + n_val, "val")
         .otherwise("test")
     )
-    return running_totals(df, _order(key, seed)).withColumn("split", part).drop("rank", "total")
+    return ranked.withColumn("split", part).drop("rank", "total")
 
 
 def stratified_split(
