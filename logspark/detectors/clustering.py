@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.detectors.vectors import distinct_vectors, idf_weights
+from logspark.detectors.vectors import distinct_vectors, idf_weights, score_by_vector
 from logspark.session import stage
 
 
@@ -69,20 +69,21 @@ class ClusterDetector:
 
     def transform(self, matrix: DataFrame) -> DataFrame:
         """Add ``cluster``, ``score`` (distance to it) and ``pred``."""
+        return score_by_vector(matrix, self.columns, self.score)
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """The same row by row."""
         columns, idf, limit = self.columns, self.idf, self.max_distance
-        centres = matrix.sparkSession.sparkContext.broadcast(self.centres)
+        centres = rows.sparkSession.sparkContext.broadcast(self.centres)
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 best, distance = nearest(unit_rows(batch[columns].to_numpy(float), idf), centres.value)
                 yield batch.assign(cluster=best.astype("int64"), score=distance,
                                    pred=(distance > limit + 1e-9).astype("int32"))
 
-        return matrix.mapInPandas(score, _schema(matrix) + ", cluster bigint, score double, pred int")
-
-
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
+        schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
+        return rows.mapInPandas(distances, schema + ", cluster bigint, score double, pred int")
 
 
 def fit_clusters(
@@ -105,4 +106,4 @@ def fit_clusters(
             raise ValueError(f"more than {max_centres} clusters: raise max_distance")
         model.offline = model.offline or len(model.centres)
         model.rounds += 1
-        left = model.transform(rows).where(F.col("pred") == 1)
+        left = model.score(rows).where(F.col("pred") == 1)

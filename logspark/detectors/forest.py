@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from logspark.detectors.vectors import distinct_vectors, score_by_vector
+from logspark.operators.rank import running_totals
+
 _NODES = "tree int, node int, feature int, split double, left int, right int, path double"
 
 
@@ -56,26 +59,30 @@ class IsolationForest:
 
     def transform(self, matrix: DataFrame) -> DataFrame:
         """Add ``score`` (close to 1 = easily isolated) and ``pred``."""
-        columns, scale, limit = self.columns, average_path(self.sample), self.threshold
-        forest = matrix.sparkSession.sparkContext.broadcast([
+        return score_by_vector(matrix, self.columns, self.score).withColumn(
+            "pred", (F.col("score") > self.threshold).cast("int"))
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """Add ``score`` row by row."""
+        columns, scale = self.columns, average_path(self.sample)
+        forest = rows.sparkSession.sparkContext.broadcast([
             tuple(tree[c].to_numpy() for c in ("feature", "split", "left", "right", "path"))
             for _, tree in self.nodes.sort_values(["tree", "node"]).groupby("tree")])
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def isolation(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 values = batch[columns].to_numpy(float)
-                rows, depth = np.arange(len(values)), np.zeros(len(values))
+                every, depth = np.arange(len(values)), np.zeros(len(values))
                 for feature, split, left, right, path in forest.value:
                     at = np.zeros(len(values), int)
                     while (inner := feature[at] >= 0).any():
-                        below = values[rows, np.maximum(feature[at], 0)] <= split[at]
+                        below = values[every, np.maximum(feature[at], 0)] <= split[at]
                         at = np.where(inner, np.where(below, left[at], right[at]), at)
                     depth += path[at]
-                result = 2.0 ** (-depth / max(len(forest.value), 1) / max(scale, 1e-12))
-                yield batch.assign(score=result, pred=(result > limit).astype("int32"))
+                yield batch.assign(score=2.0 ** (-depth / max(len(forest.value), 1) / max(scale, 1e-12)))
 
-        schema = ", ".join(f"`{n}` {k}" for n, k in matrix.dtypes)
-        return matrix.mapInPandas(score, schema + ", score double, pred int")
+        schema = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
+        return rows.mapInPandas(isolation, schema + ", score double")
 
 
 def fit_forest(
@@ -103,6 +110,8 @@ def fit_forest(
         matrix.select(key, *columns).where(draw(F.col(key)) <= keep_share(pool / max(n, 1)))
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         .withColumn("_draw", draw(F.col("tree"), F.col(key))).where(F.col("_draw") <= keep_share(per_tree))
+        # A fixed number of partitions: growing trees is work for the cores, however few the bytes.
+        .repartition(int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tree")
         .withColumn("_place", F.row_number().over(W.partitionBy("tree").orderBy("_draw", key)))
         .where(F.col("_place") <= sample)
     )
@@ -117,7 +126,10 @@ def fit_forest(
     # trees x (2 x sample - 1) nodes at most.
     nodes = picked.groupBy("tree").applyInPandas(grow, _NODES).toPandas()
     forest = IsolationForest(columns, nodes, trees, sample)
-    scored = forest.transform(matrix.select(*columns))
-    forest.threshold = scored.agg(
-        F.percentile_approx("score", 1.0 - contamination, 10_000).alias("t")).first()["t"] or 1.0
+    # Exact quantile over the sessions, from the running weight of the distinct vectors.
+    ranked = running_totals(
+        forest.score(distinct_vectors(matrix, columns)), [F.col("score"), *[F.col(c) for c in columns]],
+        sums={"below": F.col("weight")})
+    forest.threshold = ranked.where(
+        F.col("below") >= F.col("total_below") * (1.0 - contamination)).agg(F.min("score")).first()[0] or 1.0
     return forest

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.operators.features import occurrence_matrix
+from logspark.session import sized
 
 
 def count_vectors(
@@ -29,6 +30,19 @@ def distinct_vectors(matrix: DataFrame, columns: list[str], extra: list[str] | N
     return matrix.groupBy(*columns, *(extra or [])).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
+def score_by_vector(
+    matrix: DataFrame, columns: list[str], score: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Score each distinct vector once and hand the result to every session that has it.
+
+    The scored vectors go to all tasks when they are few; a join on the vector would bring the
+    sessions of a frequent one together.
+    """
+    scored = sized(score(matrix.select(*columns).distinct()))
+    return matrix.join(scored, columns, "left").select(
+        *matrix.columns, *[c for c in scored.columns if c not in columns])
+
+
 def assemble(rows: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
 

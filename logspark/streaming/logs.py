@@ -17,6 +17,18 @@ def stream_events(spark: SparkSession, path: str) -> DataFrame:
     return structured_lines(lines)
 
 
+def run_to_end(stream: DataFrame, out: str, state: str) -> None:
+    """Take what has arrived so far through the stream into a Parquet folder, exactly once.
+
+    ``state`` must stay with ``out``: a restarted query goes on after the last committed batch.
+    """
+    query = (
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
 def unexpected_pairs(pairs: DataFrame, followers: DataFrame) -> DataFrame:
     """Pairs of a stream that the next-event model does not expect (stream - static anti join)."""
     return pairs.join(followers, ["context", "next"], "left_anti")

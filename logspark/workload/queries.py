@@ -18,8 +18,9 @@ from logspark.functions import catalog
 from logspark.functions import columns as C
 from logspark.operators import encode, features, metrics, parse, sequences, sessions, split
 from logspark.operators.skew import Limits
-from logspark.session import shared_path
+from logspark.session import shared_path, sized
 from logspark.sources import datasets, logs, sinks
+from logspark.streaming.logs import run_to_end, stream_events, unexpected_pairs
 from logspark.workload import views as V
 from logspark.workload.sql import ERRORS, free_text_ctes, statement
 
@@ -927,3 +928,30 @@ def save_best_model(spark, folder):
 @register("benchmark_report")
 def benchmark_report(spark, folder):
     return report.benchmark_report(_halves(spark, folder), _DAILY, "session", "y", contamination=0.08)
+
+
+# ---- the same functions on a stream -------------------------------------------------------------
+
+def _streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    out = shared_path(spark, "streamed")
+    run_to_end(stream, out, shared_path(spark, "state"))
+    return spark.read.parquet(out)
+
+
+@register("stream_events", statement("SELECT content, event_id, event_template, ts_s FROM ev", "ev"))
+def stream_of_events(spark, folder):
+    lines = stream_events(spark, _written_logs(spark, folder))
+    return _streamed(spark, lines.select("content", "event_id", "event_template", epoch(F.col("ts")).alias("ts_s")))
+
+
+@register("stream_unexpected_pairs", statement(
+    "SELECT session, line_id, context, next FROM pairs WHERE (context, next) NOT IN (SELECT (context, next) FROM tops)",
+    "traces", pairs=_PAIRS,
+    tops="SELECT context, next FROM (SELECT context, next, row_number() OVER (PARTITION BY context ORDER BY count(*) DESC, "
+         "next) AS place FROM pairs GROUP BY context, next) t WHERE place <= 3"))
+def stream_unexpected_pairs(spark, folder):
+    pairs = next_event_pairs(spark, folder)
+    path = shared_path(spark, "pairs")
+    pairs.write.parquet(path)
+    followers = sized(next_event.top_followers(spark.read.parquet(path), 3))
+    return _streamed(spark, unexpected_pairs(spark.readStream.schema(pairs.schema).parquet(path), followers))
