@@ -14,7 +14,7 @@ from logspark.detectors.vectors import assemble, distinct_vectors
 
 KINDS = {
     "logistic_regression": lambda: LogisticRegression(maxIter=100, regParam=1e-4, tol=1e-4),
-    "linear_svm": lambda: LinearSVC(maxIter=50, regParam=1e-4, tol=1e-4),
+    "linear_svm": lambda: LinearSVC(maxIter=30, regParam=1e-2, tol=1e-3),
     "decision_tree": lambda: DecisionTreeClassifier(maxDepth=10, seed=42),
 }
 

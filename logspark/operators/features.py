@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions import columns as C
+from logspark.operators.encode import event_rank
 
 
 def error_counts(tuples: DataFrame) -> DataFrame:
@@ -15,8 +16,12 @@ def error_counts(tuples: DataFrame) -> DataFrame:
 
 
 def latencies(tuples: DataFrame) -> DataFrame:
-    """Last minus first known time in file order, 0 below two known times."""
-    place = F.when(F.col("ts").isNotNull(), F.struct("line_id", "pos"))
+    """Last minus first known time in file order, 0 below two known times.
+
+    All rows of a line share its time, so the line number alone gives the order, and the aggregate
+    keeps to plain numbers that Spark updates in place.
+    """
+    place = F.when(F.col("ts").isNotNull(), F.col("line_id"))
     span = C.seconds(F.max_by("ts", place)) - C.seconds(F.min_by("ts", place))
     return tuples.groupBy("block_id").agg(
         F.when(F.count("ts") >= 2, C.round_latency(span)).otherwise(F.lit(0).cast("bigint")).alias("latency"))
@@ -29,9 +34,7 @@ def event_counts(tuples: DataFrame, key: str = "block_id", event: str = "event_i
 
 def ordered_events(events: DataFrame, event: str = "event_id") -> DataFrame:
     """Observed ids with their 1-based code, in numeric order."""
-    from logspark.operators.encode import event_rank
-
-    return event_rank(events, event)
+    return event_rank(events, event).orderBy("code")
 
 
 def observed_events(events: DataFrame, event: str = "event_id", limit: int = 10_000) -> list[str]:

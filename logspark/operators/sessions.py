@@ -138,7 +138,7 @@ def _long_rows(
     long_events: DataFrame, keys: DataFrame, labels: DataFrame, error: Column, limits: Limits,
 ) -> DataFrame:
     """One row per segment, with the counts and the label of its session."""
-    place = F.when(F.col("ts").isNotNull(), F.struct("line_id", "pos"))
+    place = F.when(F.col("ts").isNotNull(), F.col("line_id"))
     first, last = F.min_by("ts", place), F.max_by("ts", place)
     totals = long_events.groupBy("block_id").agg(
         F.count_if(error).alias("errors"), F.count("ts").alias("timed"),

@@ -282,11 +282,10 @@ def label_text(spark, folder):
 @register("event_number", statement(
     "SELECT line_id, coalesce(try_cast(event_id[2:] AS bigint), 9999) AS event_no, 9999 AS other_no FROM ev", "ev"))
 def event_number(spark, folder):
-    spelt_out = F.concat(F.lit("E"), F.col("block_text"))
-    lines = V.events(spark, folder).withColumn("block_text", F.concat(F.col("event_id"), F.lit("x")))
-    return lines.select(
+    not_numeric = F.concat(F.col("event_id"), F.lit("x"))
+    return V.events(spark, folder).select(
         "line_id", C.event_number(F.col("event_id")).alias("event_no"),
-        C.event_number(spelt_out).cast("int").alias("other_no"))
+        C.event_number(not_numeric).cast("int").alias("other_no"))
 
 
 @register("event_token", statement(
@@ -655,7 +654,7 @@ def sort_sessions(spark, folder):
 
 @register("sort_events", statement("SELECT event_id, code FROM ranks ORDER BY code", "ranks"))
 def sort_events(spark, folder):
-    return features.ordered_events(V.events(spark, folder)).orderBy("code")
+    return features.ordered_events(V.events(spark, folder))
 
 
 @register("rank_by_score", statement("SELECT id, prob, y FROM scores ORDER BY prob DESC, id", "scores"))
