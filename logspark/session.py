@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,17 +39,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    Where it is unset, a local-mode session (tests, benches) gets a fresh temporary folder; a
-    cluster session must name one, since a driver-local folder would not survive there.
+    Where it is unset, a folder below the warehouse, which the driver and all executors share too.
+    One rule for every master; no folder of a single machine is ever made up here.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if folder is None:
-        folder = context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="logspark-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -60,6 +56,39 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "staged") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: columns can still be pruned, filters pushed down.
+
+    The files are taken away when the Python session ends.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    _remove_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_STAGED: set[str] = set()
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    if not _STAGED:
+        atexit.register(remove_staged, spark)
+    _STAGED.add(path)
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` made, if the session still runs."""
+    try:
+        context = spark.sparkContext
+        for path in sorted(_STAGED):
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session is gone; the folder's owner cleans up
+        pass
+    _STAGED.clear()
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder so later branches read the same rows.
 
