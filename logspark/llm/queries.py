@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import packing
+from logspark.llm import packing, simhash
 from logspark.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,9 @@ def op2_packing(spark, folder):
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
         "boundary", "sequence_tokens", "padded_to")
+
+
+@register("op9_simhash")
+def op9_simhash(spark, folder):
+    found = simhash.near_duplicates(read(spark, folder, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
