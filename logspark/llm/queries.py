@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import packing, simhash
+from logspark.llm import decontaminate, packing, secrets, simhash
 from logspark.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,19 @@ def op2_packing(spark, folder):
 def op9_simhash(spark, folder):
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@register("op1_decontamination")
+def op1_decontamination(spark, folder):
+    return decontaminate.contained(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@register("op8_secrets")
+def op8_secrets(spark, folder):
+    found = secrets.secrets(read(spark, folder, "documents"))
+    base = secrets.of_kinds(F.col("findings"), secrets.BASE)
+    return found.select(
+        "doc_id",
+        *[secrets.count_kind(F.col("findings"), kind).alias(f"n_{kind}") for kind in secrets.BASE],
+        F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
+        secrets.span_text(F.col("findings")).alias("spans"))
