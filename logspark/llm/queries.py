@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import decontaminate, packing, secrets, simhash
-from logspark.llm.common import read
+from logspark.llm import decontaminate, packing, secrets, simhash, toxicity
+from logspark.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,3 +59,11 @@ def op8_secrets(spark, folder):
         *[secrets.count_kind(F.col("findings"), kind).alias(f"n_{kind}") for kind in secrets.BASE],
         F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
         secrets.span_text(F.col("findings")).alias("spans"))
+
+
+@register("op5_toxicity")
+def op5_toxicity(spark, folder):
+    docs = read(spark, folder, "documents")
+    model = toxicity.fit(docs, read(spark, folder, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
