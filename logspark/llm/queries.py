@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import decontaminate, packing, secrets, simhash, toxicity
+from logspark.llm import decontaminate, language, packing, secrets, simhash, toxicity
 from logspark.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,10 @@ def op5_toxicity(spark, folder):
     model = toxicity.fit(docs, read(spark, folder, "labels"))
     return toxicity.scored(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op7_language")
+def op7_language(spark, folder):
+    docs = read(spark, folder, "documents")
+    found = language.identified(docs, language.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages", "shares")

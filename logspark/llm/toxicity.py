@@ -27,10 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logspark.llm.common import held_out, texts
-
-_STRIP = ".,;:!?\"'()[]{}<>|#$%&*+-/\\=_~`^@«»“”„…—–"
-
+from logspark.llm.common import held_out, ngrams, texts
 
 @dataclass(frozen=True)
 class Settings:
@@ -46,31 +43,12 @@ class Settings:
     #: Words whose logits one Python worker keeps; when full, the memory starts anew.
     memory_words: int = 600_000
 
+    @property
+    def bag(self) -> tuple[int, int, int]:
+        return self.shortest, self.longest, self.buckets
 
-DEFAULT = Settings()
 
-
-def ngrams(words: list[str], settings: Settings = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, bucket) of every n-gram of every word, for many words at once."""
-    text = "".join([f"<{word.strip(_STRIP) or word}>" for word in words])
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(word.strip(_STRIP) or word) + 2 for word in words])
-    owner = np.repeat(np.arange(len(words)), sizes)
-    rows, found = [], []
-    mixed = np.zeros(len(points), np.uint64)
-    for n in range(1, settings.longest + 1):
-        if len(points) < n:
-            break
-        mixed = (mixed[:len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15)) ^ points[n - 1:]
-        if n < settings.shortest:
-            continue
-        inside = owner[n - 1:] == owner[:len(points) - n + 1]
-        final = mixed * np.uint64(0xD6E8FEB86659FD93)
-        found.append(((final >> np.uint64(40)) % np.uint64(settings.buckets)).astype(np.int32)[inside])
-        rows.append(owner[:len(points) - n + 1][inside])
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
-    return np.concatenate(rows), np.concatenate(found)
+DEFAULT = Settings()
 
 
 class Model:
@@ -81,7 +59,7 @@ class Model:
         self.memory: dict[str, float] = {}
 
     def word_logits(self, words: list[str]) -> np.ndarray:
-        row, bucket = ngrams(words, self.settings)
+        row, bucket = ngrams(words, *self.settings.bag)
         count = np.bincount(row, minlength=len(words))
         return np.bincount(row, self.logits[bucket], len(words)) / np.maximum(count, 1)
 
@@ -114,7 +92,7 @@ def train(batch: list[str], labels: np.ndarray, settings: Settings = DEFAULT) ->
         words.append(np.array(own, np.int32))
         docs.append(np.full(len(own), n, np.int32))
     words, docs = np.concatenate(words), np.concatenate(docs)
-    owner, bucket = ngrams(list(number), settings)
+    owner, bucket = ngrams(list(number), *settings.bag)
     owner = owner.astype(np.int32)
     used, column = np.unique(bucket, return_inverse=True)
     column = column.astype(np.int32)
