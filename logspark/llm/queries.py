@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import decontaminate, language, packing, secrets, simhash, toxicity
+from logspark.llm import decontaminate, language, packing, secrets, simhash, topk, toxicity, urls
 from logspark.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,14 @@ def op7_language(spark, folder):
     docs = read(spark, folder, "documents")
     found = language.identified(docs, language.fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
+@register("op6_url_filter")
+def op6_url_filter(spark, folder):
+    return urls.judged(read(spark, folder, "pages"))
+
+
+@register("op10_topk")
+def op10_topk(spark, folder):
+    rows = topk.prepared(read(spark, folder, "embeddings"))
+    return topk.search(rows, rows.where("vec_id % 50 = 0"))
