@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import decontaminate, language, packing, secrets, simhash, topk, toxicity, urls
+from logspark.llm import decontaminate, language, packing, secrets, simhash, suffixes, topk, toxicity, urls
 from logspark.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,8 @@ def op6_url_filter(spark, folder):
 def op10_topk(spark, folder):
     rows = topk.prepared(read(spark, folder, "embeddings"))
     return topk.search(rows, rows.where("vec_id % 50 = 0"))
+
+
+@register("op3_suffix_dedup")
+def op3_suffix_dedup(spark, folder):
+    return suffixes.passages(read(spark, folder, "documents"))
