@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import decontaminate, language, packing, secrets, simhash, suffixes, topk, toxicity, urls
+from logspark.llm import decontaminate, language, licenses, packing, secrets, simhash, suffixes, topk, toxicity, urls
 from logspark.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ def op10_topk(spark, folder):
 @register("op3_suffix_dedup")
 def op3_suffix_dedup(spark, folder):
     return suffixes.passages(read(spark, folder, "documents"))
+
+
+@register("op4_license_scan")
+def op4_license_scan(spark, folder):
+    return licenses.licences(read(spark, folder, "documents"))
