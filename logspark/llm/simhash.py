@@ -258,3 +258,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     linked = members.join(lowest, "root").select("fp", "_low")
     named = classes.join(linked, "fp", "left").select("fp", F.coalesce("_low", "first").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """``docs``, all columns, with one row of each group of near-duplicates: that of the smallest doc_id.
+
+    Rows that share a doc_id count as one document, of which one row stays. Rows without doc_id can't be told
+    apart by it and stay.
+    """
+    found = written(near_duplicates(docs, words, distance).where("doc_id is not null"), "groups")
+    ids = found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.col("component_id") == F.col("doc_id")).alias("_stays"))
+    gone = ids.where("not _stays").select(F.col("doc_id").alias("_id"))
+    own = docs["doc_id"].cast("bigint")
+    kept = docs.join(gone, own == gone["_id"], "left_anti")
+    repeated = written(ids.where("_stays and _n > 1").select(F.col("doc_id").alias("_id")), "repeated")
+    if repeated.isEmpty():
+        return kept
+    several = kept.join(repeated, own == repeated["_id"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, own == repeated["_id"], "left_anti").unionByName(several)
