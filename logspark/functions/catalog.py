@@ -34,8 +34,7 @@ TEMPLATE_TEXTS = [
     "BLOCK* ask[*]to replicate[*]to[*]",
     "BLOCK* NameSystem[*]addStoredBlock: blockMap updated:[*]is added to[*]size[*]",
     "BLOCK* NameSystem[*]addStoredBlock: Redundant addStoredBlock request received for[*]on[*]size[*]",
-    "BLOCK* NameSystem[*]addStoredBlock: addStoredBlock request received for[*]on[*]size[*]"
-    "But it does not belong to any file[*]",
+    "BLOCK* NameSystem[*]addStoredBlock: addStoredBlock request received for[*]on[*]size[*]But it does not belong to any file[*]",
     "PendingReplicationMonitor timed out block[*]",
 ]
 
@@ -43,8 +42,8 @@ TEMPLATE_TEXTS = [
 ERROR_EVENTS = ["E4", "E7", "E8", "E10", "E11", "E12", "E14", "E17", "E20", "E24", "E29"]
 
 # The session keys. The first keeps every hyphen and digit, the second one sign.
-BLOCK_PATTERN = r"blk_[-0-9]+"
-FIRST_BLOCK_PATTERN = r"(blk_-?[0-9]+)"
+BLOCK_PATTERN = r"blk_[-\p{Nd}]+"
+FIRST_BLOCK_PATTERN = r"(blk_-?\p{Nd}+)"
 
 # Event for lines no template fits, width of its text, number of ids that are not numeric.
 UNMATCHED_EVENT = "E0"

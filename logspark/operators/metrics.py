@@ -55,13 +55,15 @@ def batch_weighted_accuracy(scores: DataFrame, batch: str = "batch", threshold:
 
 
 def class_summary(rows: DataFrame, label: str = "label", split: str = "split") -> DataFrame:
-    """Instances, anomalies and normals, in total and per split."""
+    """Instances, anomalies and normals, in total and per split; rows without a split keep a null there."""
     return (
         rows.rollup(split).agg(
+            F.grouping(split).alias("_all"),
             F.count(F.lit(1)).alias("instances"),
             F.count_if(F.col(label) == 1).alias("anomaly"),
             F.count_if(F.col(label) != 1).alias("normal"))
-        .withColumn(split, F.coalesce(split, F.lit("total")))
+        .withColumn(split, F.when(F.col("_all") == 1, "total").otherwise(F.col(split)))
+        .drop("_all")
     )
 
 
@@ -93,7 +95,7 @@ def best_epoch(results: DataFrame, epoch: str = "epoch", accuracy: str = "accura
 def cumulative_tp_fp(scores: DataFrame, key: str = "id") -> DataFrame:
     """Running true and false positives by descending score; every row is its own point."""
     return running_totals(
-        scores.select(key, "prob", "y"), [F.desc("prob"), F.col(key)],
+        scores.select(key, "prob", "y"), [F.desc_nulls_last("prob"), F.col(key)],
         sums={"tp": (F.col("y") == 1).cast("bigint"), "fp": (F.col("y") == 0).cast("bigint")})
 
 
@@ -125,25 +127,29 @@ def areas(points: DataFrame) -> DataFrame:
     )
 
 
-def pr_curve(scores: DataFrame, key: str = "id") -> DataFrame:
-    """``rank, recall, precision`` with the end points (0, 1) and (1, last precision).
-
-    Without positives the curve is (0, 0), (1, 0); without rows it is empty.
-    """
-    points = pr_points(scores, key)
-    body = points.where(F.col("positives") > 0).select("rank", "recall", "precision")
+def pr_end_points(points: DataFrame) -> DataFrame:
+    """``rank, recall, precision`` of the two end points of a curve, from one pass over its points."""
     ends = points.agg(
         F.count(F.lit(1)).alias("n"), F.max("positives").alias("positives"),
         F.max_by("precision", "rank").alias("last"),
     ).where(F.col("n") > 0)
     some = F.col("positives") > 0
-    end_points = ends.select(F.explode(F.array(
+    return ends.select(F.explode(F.array(
         F.struct(F.lit(0).cast("bigint").alias("rank"), F.lit(0.0).alias("recall"),
                  F.when(some, 1.0).otherwise(0.0).alias("precision")),
         F.struct((F.col("n") + 1).alias("rank"), F.lit(1.0).alias("recall"),
                  F.when(some, F.col("last")).otherwise(0.0).alias("precision")),
     )).alias("p")).select("p.*")
-    return body.unionByName(end_points)
+
+
+def pr_curve(scores: DataFrame, key: str = "id") -> DataFrame:
+    """``rank, recall, precision`` with the end points (0, 1) and (1, last precision).
+
+    Without positives the curve is (0, 0), (1, 0); without rows it is empty.
+    """
+    points = pr_points(scores, key)
+    body = points.where(F.col("positives") > 0).select("rank", "recall", "precision")
+    return body.unionByName(pr_end_points(points))
 
 
 def pr_summary(scores: DataFrame, key: str = "id") -> DataFrame:

@@ -45,40 +45,31 @@ def structured_lines(lines: DataFrame) -> DataFrame:
     return assign_events(parse_lines(lines))
 
 
-def match_catalogue(parsed: DataFrame, catalogue: DataFrame, literal_limit: int = 500) -> DataFrame:
+#: Branches of one CASE; a longer catalogue is several of them, so that generated code stays small.
+BRANCHES = 200
+
+
+def match_catalogue(parsed: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Events from a user's table ``(priority, event_id, pattern, template)``: lowest priority wins.
 
-    Catalogues are short, so the patterns become literals of one CASE: no join, no shuffle, each
-    regex compiled once. A longer catalogue is joined instead and reduced per line.
+    The patterns become literals: no join, no shuffle, each regex compiled once, the line that matches carries
+    event and template of its own row. A catalogue is code, not data: its rows come to the driver.
     """
-    rows = catalogue.orderBy("priority", "event_id").limit(literal_limit + 1).collect()
-    if len(rows) <= literal_limit:
-        event = text = None
-        for row in rows:
+    rows = catalogue.orderBy("priority", "event_id", "pattern").collect()
+    cases = []
+    for start in range(0, len(rows), BRANCHES):
+        case = None
+        for row in rows[start:start + BRANCHES]:
+            found = F.struct(F.lit(row["event_id"]).alias("event_id"), F.lit(row["template"]).alias("template"))
             hit = F.col("content").rlike("(?diu)" + row["pattern"])
-            event = F.when(hit, row["event_id"]) if event is None else event.when(hit, row["event_id"])
-            text = (F.when(F.col("event_id") == row["event_id"], row["template"]) if text is None
-                    else text.when(F.col("event_id") == row["event_id"], row["template"]))
-        unmatched = F.substring("content", 1, catalog.UNMATCHED_WIDTH)
-        if event is None:
-            return parsed.withColumn("event_id", F.lit(catalog.UNMATCHED_EVENT)).withColumn("event_template", unmatched)
-        return (
-            parsed.withColumn("event_id", event.otherwise(catalog.UNMATCHED_EVENT))
-            .withColumn("event_template", text.otherwise(unmatched))
-        )
-    best = F.min(F.struct("priority", "event_id", "template"))
-    hits = (
-        parsed.select("line_id", "content")
-        .join(catalogue, F.expr("content rlike concat('(?diu)', pattern)"))
-        .groupBy("line_id").agg(best.alias("_best"))
-    )
-    return (
-        parsed.join(hits, "line_id", "left")
-        .withColumn("event_id", F.coalesce("_best.event_id", F.lit(catalog.UNMATCHED_EVENT)))
-        .withColumn("event_template", F.coalesce("_best.template",
-                                                 F.substring("content", 1, catalog.UNMATCHED_WIDTH)))
-        .drop("_best")
-    )
+            case = F.when(hit, found) if case is None else case.when(hit, found)
+        cases.append(case)
+    unmatched = F.struct(
+        F.lit(catalog.UNMATCHED_EVENT).alias("event_id"),
+        F.substring("content", 1, catalog.UNMATCHED_WIDTH).alias("template"))
+    # A one-element generator: the match is worked out once for both fields.
+    found = F.inline(F.array(F.coalesce(*cases, unmatched))).alias("event_id", "event_template")
+    return parsed.select("*", found)
 
 
 def template_stats(events: DataFrame) -> DataFrame:

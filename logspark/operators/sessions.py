@@ -92,7 +92,8 @@ def trace_features(tuples: DataFrame, labels: DataFrame, errors=None, limits: Li
     """One typed row per session: label, error count, event text, gap text, latency.
 
     The plan is one shuffle on the session key. Sessions beyond ``limits`` give one row per
-    segment: texts are those of the segment, counts and latency those of the session.
+    ``segment``: texts are those of the segment; the session's error count and latency stand in its first
+    row only, so that sums over rows are sums over sessions.
     """
     error = C.is_error_event(F.col("event_id"), errors) if errors is not None else C.is_error_event(F.col("event_id"))
     short, long_events, keys = split_long(tuples, "block_id", limits)
@@ -147,11 +148,12 @@ def _long_rows(
     cut = cut_segments(long_events, "block_id", ORDER, limits.max_events, halo=1)
     segments = cut.groupBy("block_id", "segment").agg(_ordered([*EVENT, "is_halo"]).alias("events"))
     own = F.filter("events", lambda e: ~e.is_halo)
+    first_row = F.col("segment") == 0
     return segments.join(totals, "block_id").select(
-        "block_id", "segment", "errors",
+        "block_id", "segment", F.when(first_row, F.col("errors")).alias("errors"),
         F.transform(own, lambda e: e.event_id).alias("event_ids"),
         _gap_texts(F.col("events")).alias("gaps"),
         "timed",
-        F.when(F.col("timed") >= 2, C.round_latency(F.col("span"))).otherwise(0).alias("latency"),
+        F.when(first_row, F.when(F.col("timed") >= 2, C.round_latency(F.col("span"))).otherwise(0)).alias("latency"),
         "label",
     )

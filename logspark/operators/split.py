@@ -1,14 +1,16 @@
-"""Repeatable shuffles, caps and splits that do not depend on how the rows are partitioned."""
+"""Repeatable shuffles, caps and splits that do not depend on how the rows are partitioned.
+
+Only the key column is ranked. The keys at the borders of the parts, a row or two per class, are then compared with each
+row where it lies: whole rows are never shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from logspark.operators.rank import running_totals
 
-TOP_K_ROWS = 1_000_000
-
 
 def shuffle_key(key: str, seed: int) -> Column:
     """Sort key of the seeded permutation: the same row always gets the same place."""
@@ -20,40 +22,67 @@ def _order(key: str, seed: int | None) -> list[Column]:
     return [F.col(key)] if seed is None else [shuffle_key(key, seed), F.col(key)]
 
 
+def _place(key: str, seed: int | None) -> Column:
+    return F.struct(*[c.alias(f"_{n}") for n, c in enumerate(_order(key, seed))])
+
+
+def _upto(key: str, seed: int | None, border: Row | None) -> Column:
+    """Whether a row stands at ``border`` or before it; None is before all rows."""
+    if border is None:
+        return F.lit(False)
+    at = F.struct(*[F.lit(value).alias(f"_{n}") for n, value in enumerate(border)])
+    return _place(key, seed) <= at
+
+
 def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Rows in a seeded random order; a range sort, not a gather."""
     return df.orderBy(*_order(key, seed))
 
 
 def cap_traces(df: DataFrame, key: str, n: int, seed: int | None = 42) -> DataFrame:
-    """The first ``n`` rows of the permutation."""
-    if n <= TOP_K_ROWS:
-        return df.orderBy(*_order(key, seed)).limit(n)
-    return running_totals(df, _order(key, seed)).where(F.col("rank") <= n).drop("rank", "total")
+    """The first ``n`` rows of the permutation; ``key`` is unique."""
+    ranked = running_totals(df.select(key), _order(key, seed))
+    borders = {r["rank"]: r["_place"] for r in _borders(ranked, F.col("rank") == n, key, seed, [])}
+    if n in borders:
+        return df.where(_upto(key, seed, borders[n]))
+    return df if n > 0 else df.limit(0)
+
+
+def _borders(ranked: DataFrame, at: Column, key: str, seed: int | None, extra: list[str]) -> list[Row]:
+    return ranked.where(at).select("rank", *extra, _place(key, seed).alias("_place")).collect()
 
 
 def positional_split(
     df: DataFrame, key: str, val_frac: float = 0.1, test_frac: float = 0.1, seed: int | None = 42,
 ) -> DataFrame:
-    """Add ``split``: train first, then val, then test, by position in the permutation."""
-    ranked = running_totals(df, _order(key, seed))
+    """Add ``split``: train first, then val, then test, by position in the permutation; ``key`` is unique."""
+    ranked = running_totals(df.select(key), _order(key, seed))
     first = ranked.select("total").first()
     n = first["total"] if first else 0
     n_test, n_val = int(n * test_frac), int(n * val_frac)
     n_train = n - n_val - n_test
     if n_train <= 0:
         raise ValueError("no rows left for training: lower val_frac or test_frac")
+    borders = {r["rank"]: r["_place"] for r in _borders(ranked, F.col("rank").isin(n_train, n_train + n_val), key, seed, [])}
     part = (
-        F.when(F.col("rank") <= n_train, "train")
-        .when(F.col("rank") <= n_train + n_val, "val")
+        F.when(_upto(key, seed, borders[n_train]), "train")
+        .when(_upto(key, seed, borders[n_train + n_val]), "val")
         .otherwise("test")
     )
-    return ranked.withColumn("split", part).drop("rank", "total")
+    return df.withColumn("split", part)
 
 
 def stratified_split(
     df: DataFrame, key: str, label: str, train_frac: float = 0.5, seed: int | None = 42,
 ) -> DataFrame:
-    """Add ``split`` (train / test) with the same share of every class, rounded down in train."""
-    part = F.when(F.col("rank") <= F.floor(F.col("total") * F.lit(train_frac)), "train").otherwise("test")
-    return running_totals(df, _order(key, seed), within=[label]).withColumn("split", part).drop("rank", "total")
+    """Add ``split`` (train / test) with the same share of every class, rounded down in train.
+
+    ``key`` is unique; one border per class comes to the driver, so ``label`` is to have few values.
+    """
+    ranked = running_totals(df.select(key, label), _order(key, seed), within=[label])
+    last = F.col("rank") == F.floor(F.col("total") * F.lit(train_frac))
+    train = F.lit(False)
+    for border in _borders(ranked, last, key, seed, [label]):
+        own = F.col(label).eqNullSafe(F.lit(border[label]).cast(df.schema[label].dataType))
+        train = train | (own & _upto(key, seed, border["_place"]))
+    return df.withColumn("split", F.when(train, "train").otherwise("test"))

@@ -7,22 +7,26 @@ from pyspark.sql import functions as F
 
 from logspark.functions import catalog
 from logspark.functions import columns as C
-from logspark.operators import features, parse, sessions
+from logspark.operators import encode, features, parse, sessions
 from logspark.operators.skew import DEFAULT, Limits
 from logspark.session import configure
 from logspark.sources import datasets, logs, sinks
 
 
+def narrow_events(events: DataFrame) -> DataFrame:
+    """Event, time and keys of every line. Only unmatched lines need their own display text."""
+    own_text = F.when(F.col("event_id") == catalog.UNMATCHED_EVENT, F.col("event_template"))
+    return events.select(
+        "line_id", "event_id", "ts", own_text.alias("own_text"), C.blocks_all(F.col("content")).alias("keys"))
+
+
 def write_events(events: DataFrame, path: str) -> DataFrame:
-    """The one pass over the text: event, time and keys of every line as a narrow table.
+    """The one pass over the text, as a narrow table.
 
     Everything later reads this table, and only the columns it needs: the regexes run once, and a
-    lost executor costs a re-read. Only unmatched lines need their own display text.
+    lost executor costs a re-read.
     """
-    own_text = F.when(F.col("event_id") == catalog.UNMATCHED_EVENT, F.col("event_template"))
-    events.select(
-        "line_id", "event_id", "ts", own_text.alias("own_text"), C.blocks_all(F.col("content")).alias("keys"),
-    ).write.mode("errorifexists").parquet(path)
+    narrow_events(events).write.mode("errorifexists").parquet(path)
     return events.sparkSession.read.parquet(path)
 
 
@@ -36,12 +40,14 @@ def stats_of(table: DataFrame) -> DataFrame:
         "event_template", C.template_text(F.col("event_id"), F.col("own_text"))))
 
 
-def encoded_sequences(tuples: DataFrame, labels: DataFrame, events: list[str], limits: Limits = DEFAULT) -> DataFrame:
-    """``block_id, segment, x_data, y_data``: 1-based codes of the observed events, label 0 by default."""
-    codes = {event: code for code, event in enumerate(events, 1)}
-    built = sessions.labelled_sessions(tuples, labels, limits)
-    ids = F.transform("events", lambda e: e.event_id)
-    return built.select("block_id", "segment", C.encode_sequence(ids, codes).alias("x_data"),
+def encoded_sequences(tuples: DataFrame, labels: DataFrame, codes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """``block_id, segment, x_data, y_data``: 1-based codes of the observed events, label 0 by default.
+
+    Codes are joined before events are gathered, so any number of different events will do.
+    """
+    coded = encode.join_codes(tuples, codes).withColumn("event_id", F.col("code").cast("int"))
+    built = sessions.labelled_sessions(coded, labels, limits)
+    return built.select("block_id", "segment", F.transform("events", lambda e: e.event_id).alias("x_data"),
                         F.col("label").cast("bigint").alias("y_data"))
 
 
@@ -57,7 +63,7 @@ def build_dataset(
     sinks.write_templates(stats_of(table), f"{out}/templates")
     sinks.write_traces(sessions.trace_features(tuples, labels, limits=limits), f"{out}/traces")
     sinks.write_matrix(features.occurrence_matrix(tuples, events), events, f"{out}/matrix")
-    sinks.write_sequences(encoded_sequences(tuples, labels, events, limits), f"{out}/sequences")
+    sinks.write_sequences(encoded_sequences(tuples, labels, encode.event_rank(table), limits), f"{out}/sequences")
     keys = tuples.select("block_id").distinct()
     sinks.write_labels(sessions.label_sessions(keys, labels), f"{out}/labels")
     return parse.parse_summary(table, tuples, labels)

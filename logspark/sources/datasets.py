@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +26,10 @@ def label_columns(names: list[str]) -> tuple[str, str]:
     return first(("block", "id")), first(("label", "anomal"))
 
 
-def normalise_labels(rows: DataFrame, order: str | None = None) -> DataFrame:
-    """``block_id, label`` from a table with loosely named columns; of repeated ids the last row wins.
-
-    ``order`` names the column that holds the row order.
-    """
+def normalise_labels(rows: DataFrame, order: str) -> DataFrame:
+    """``block_id, label`` from a table with loosely named columns; of repeated ids the last row by ``order`` wins."""
     id_name, label_name = label_columns([c for c in rows.columns if c != order])
-    place = F.col(order) if order is not None else F.monotonically_increasing_id()
+    place = F.col(order)
     typed = rows.select(
         F.col(f"`{id_name}`").cast("string").alias("block_id"),
         C.label_value(F.col(f"`{label_name}`")).alias("label"), place.alias("_row"))
@@ -50,6 +49,7 @@ def load_labels(spark: SparkSession, path: str | None) -> DataFrame:
         rows = number_rows(spark.read.csv(path, header=True), "_row")
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
+            logging.getLogger(__name__).warning("no labels at %s: all sessions count as normal", path)
             return empty
         raise
     return normalise_labels(rows, "_row")

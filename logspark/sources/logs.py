@@ -37,8 +37,10 @@ def number_rows(rows: DataFrame, name: str = "line_id") -> DataFrame:
     offsets = splits.join(files, "_file").select(
         "_file", "_start",
         (F.col("_file_offset") + F.coalesce(F.sum("_n").over(in_file), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
-    numbered = placed.join(sized(offsets), ["_file", "_start"])
-    return numbered.select((F.col("_mid") + F.col("_offset")).alias(name), *[F.col(f"`{c}`") for c in rows.columns])
+    numbered = placed.join(sized(offsets), ["_file", "_start"], "left")
+    # Two scans that are split differently, as when executors come and go, must not lose lines in silence.
+    offset = F.coalesce("_offset", F.raise_error(F.lit("the files were split differently on reading again")).cast("bigint"))
+    return numbered.select((F.col("_mid") + offset).alias(name), *[F.col(f"`{c}`") for c in rows.columns])
 
 
 def number_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -46,10 +48,10 @@ def number_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return number_rows(spark.read.text(path)).withColumn("value", F.make_valid_utf8("value"))
 
 
-def load_structured(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def load_structured(spark: SparkSession, path: str, multi_line: bool = False, order: str | None = None) -> DataFrame:
     """CSV of already templated lines: at least ``Content`` and ``EventId``.
 
-    The order is that of ``LineId``, or of the rows where there is none.
+    The order is that of the rows in the file, or that of the column ``order`` (a number) where one is named.
 
     ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
     """
@@ -57,6 +59,6 @@ def load_structured(spark: SparkSession, path: str, multi_line: bool = False) ->
     missing = {"Content", "EventId"} - set(df.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
-    if "LineId" not in df.columns:
-        df = number_rows(df, "LineId")
-    return df.select(F.col("LineId").cast("bigint").alias("line_id"), F.col("Content").alias("content"), F.col("EventId").alias("event_id"))
+    if order is None:
+        order, df = "_row", number_rows(df, "_row")
+    return df.select(F.col(order).cast("bigint").alias("line_id"), F.col("Content").alias("content"), F.col("EventId").alias("event_id"))

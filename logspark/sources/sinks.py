@@ -25,11 +25,11 @@ def write_templates(stats: DataFrame, path: str) -> None:
 
 
 def write_traces(features: DataFrame, path: str) -> None:
-    """``Type`` is blank where a session has no error event.
+    """``Type`` is blank where a session has no error event, and in all rows but the first of a cut session.
 
-    The format has no segment column: the rows of a cut session follow each other in order.
+    ``Segment`` tells the rows of a cut session apart; it is 0 for all others.
     """
-    names = {"block_id": "BlockId", "label": "Label", "type": "Type", "features": "Features",
+    names = {"block_id": "BlockId", "segment": "Segment", "label": "Label", "type": "Type", "features": "Features",
              "time_interval": "TimeInterval", "latency": "Latency"}
     ordered = features.orderBy("block_id", "segment")
     _csv(ordered.select(*[F.col(c).alias(name) for c, name in names.items()]), path)

@@ -17,7 +17,8 @@ from logspark.detectors import (
 from logspark.functions import catalog
 from logspark.functions import columns as C
 from logspark.operators import encode, features, metrics, parse, sequences, sessions, split
-from logspark.operators.skew import Limits
+from logspark.operators.skew import Limits, over_sessions
+from logspark.plans import dataset
 from logspark.session import shared_path, sized
 from logspark.sources import datasets, logs, sinks
 from logspark.streaming.logs import run_to_end, stream_events, unexpected_pairs
@@ -67,12 +68,15 @@ def line_numbers(spark, folder):
     return logs.number_lines(spark, _written_logs(spark, folder))
 
 
-@register("load_labels", statement(
-    f"SELECT {V.BLK.format(id='doc_id')} AS block_id, toxic AS label FROM labels"))
+@register("load_labels", "SELECT cast(user_id AS string) AS block_id, arg_max(cast(event_type = 'error' AS int), event_id) "
+          "AS label FROM events GROUP BY user_id")
 def load_labels(spark, folder):
-    loose = V.block_labels(spark, folder).select(
-        F.col("block_id").alias(" BlockId "), F.when(F.col("label") == 1, "Anomaly").otherwise("Normal").alias("Label"))
-    return datasets.normalise_labels(loose)
+    """A label file with many rows per id: the last one counts."""
+    path = shared_path(spark, "label_rows")
+    V.table(spark, folder, "events").repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select(
+        F.col("user_id").alias(" BlockId "), F.when(F.col("event_type") == "error", "Anomaly").otherwise("Normal").alias("Label"),
+    ).write.csv(path, header=True)
+    return datasets.load_labels(spark, path)
 
 
 @register("load_structured", statement("SELECT line_id, nullif(content, '') AS content, event_id FROM ev", "ev"))
@@ -81,43 +85,67 @@ def load_structured(spark, folder):
     V.events(spark, folder).select(
         F.col("line_id").alias("LineId"), F.col("content").alias("Content"), F.col("event_id").alias("EventId"),
     ).write.csv(path, header=True, escape='"', emptyValue="")
-    return logs.load_structured(spark, path)
+    return logs.load_structured(spark, path, order="LineId")
 
 
-def _trace_rows(spark, folder):
-    rows = sessions.first_block_tuples(V.events(spark, folder)).select("block_id", "line_id", "event_id")
-    ordered = rows.groupBy("block_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("line_id", "event_id"))), lambda e: e.event_id).alias("x_data"))
-    return sessions.label_sessions(ordered, V.block_labels(spark, folder)).withColumnRenamed("label", "y_data")
+@register("load_structured_file_order", statement(
+    "SELECT row_number() OVER (ORDER BY line_id DESC) AS line_id, event_id FROM ev", "ev"))
+def load_structured_file_order(spark, folder):
+    """Without a named column the rows of the file are the order, whatever their ids say."""
+    path = shared_path(spark, "structured")
+    V.events(spark, folder).repartitionByRange(3, F.desc("line_id")).sortWithinPartitions(F.desc("line_id")).select(
+        F.col("line_id").alias("LineId"), F.col("content").alias("Content"), F.col("event_id").alias("EventId"),
+    ).write.csv(path, header=True, escape='"', emptyValue="")
+    return logs.load_structured(spark, path).select("line_id", "event_id")
+
+
+def _segment(limit: int = Limits().max_events) -> str:
+    """The segment of a row by its place ``k`` in the session."""
+    return f"cast((k - 1) // {limit} AS bigint)"
+
+
+#: Tuples and first keys with their place in the session.
+_KTUP = "SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY line_id, pos) AS k FROM tup"
+_KFIRSTS = "SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY line_id) AS k FROM firsts"
+
+
+def _first_sessions(spark, folder):
+    firsts = sessions.first_block_tuples(V.events(spark, folder)).withColumn("pos", F.lit(0))
+    return sessions.labelled_sessions(firsts, V.block_labels(spark, folder))
 
 
 @register("load_traces", statement(
-    "SELECT f.block_id, x_data, cast(coalesce(label, 0) AS bigint) AS y_data FROM (SELECT block_id, "
-    "string_agg(event_id, ',' ORDER BY line_id) AS x_data FROM firsts GROUP BY block_id) f "
-    "LEFT JOIN lab USING (block_id)", "firsts", "lab"))
+    f"SELECT f.block_id, segment, x_data, cast(coalesce(label, 0) AS bigint) AS y_data FROM (SELECT block_id, {_segment()} "
+    "AS segment, string_agg(event_id, ',' ORDER BY line_id) AS x_data FROM kfirsts GROUP BY ALL) f "
+    "LEFT JOIN lab USING (block_id)", "firsts", "lab", kfirsts=_KFIRSTS))
 def load_traces(spark, folder):
     path = shared_path(spark, "traces")
-    sinks.write_sequences(_trace_rows(spark, folder), path)
+    sinks.write_sequences(_first_sessions(spark, folder).select(
+        "block_id", "segment", F.transform("events", lambda e: e.event_id).alias("x_data"), F.col("label").alias("y_data")), path)
     return datasets.load_traces(spark, path).withColumn("x_data", text_of(F.col("x_data")))
 
 
+def _micro(vector: Column) -> Column:
+    """All numbers of a vector as text, in whole millionths, so that two engines can be compared by value."""
+    return text_of(F.transform(vector, lambda v: F.round(v.cast("double") * 1000000).cast("bigint")))
+
+
 @register("load_splits", statement(
-    "SELECT CASE WHEN k <= n - 2 * t THEN 'train' WHEN k <= n - t THEN 'val' ELSE 'test' END AS part, id, y "
-    "FROM (SELECT vec_id AS id, label AS y, row_number() OVER (ORDER BY vec_id) AS k, count(*) OVER () AS n, "
+    "SELECT CASE WHEN k <= n - 2 * t THEN 'train' WHEN k <= n - t THEN 'val' ELSE 'test' END AS part, id, y, x "
+    "FROM (SELECT vec_id AS id, label AS y, array_to_string(list_transform(embedding, lambda v: cast(round(v::double * 1000000) AS bigint)), ',') AS x, row_number() OVER (ORDER BY vec_id) AS k, count(*) OVER () AS n, "
     "cast(floor(count(*) OVER () * 0.1) AS bigint) AS t FROM embeddings) e"))
 def load_splits(spark, folder):
     path = shared_path(spark, "splits")
     datasets.write_splits(split.positional_split(V.vector_dataset(spark, folder), "id", seed=None), path)
     parts = datasets.load_splits(spark, path)
-    return metrics.union_batches([df.select(F.lit(name).alias("part"), "id", "y") for name, df in parts.items()])
+    return metrics.union_batches([df.select(F.lit(name).alias("part"), "id", "y", _micro(F.col("x")[0]).alias("x")) for name, df in parts.items()])
 
 
-@register("typed_dataset", "SELECT vec_id AS id, cast(label AS bigint) AS y, cast(len(embedding) AS bigint) AS width, "
-          "cast(embedding[1] AS double) AS first_value FROM embeddings")
+@register("typed_dataset", "SELECT vec_id AS id, cast(label AS bigint) AS y, "
+          "array_to_string(list_transform(embedding, lambda v: cast(round(v::double * 1000000) AS bigint)), ',') AS x FROM embeddings")
 def typed_dataset(spark, folder):
     return datasets.typed_dataset(V.vector_dataset(spark, folder)).select(
-        "id", "y", F.size(F.col("x")[0]).cast("bigint").alias("width"),
-        F.col("x")[0][0].cast("double").alias("first_value"))
+        "id", "y", _micro(F.col("x")[0]).alias("x"))
 
 
 # ---- sinks: written and read back ---------------------------------------------------------------
@@ -134,30 +162,46 @@ def write_templates(spark, folder):
 _GAPS = ("SELECT *, lag(ts_s) OVER w AS before_s, lag(line_id) OVER w AS before_line, row_number() OVER w AS k "
          "FROM tup WINDOW w AS (PARTITION BY block_id ORDER BY line_id, pos)")
 _GAP = "coalesce(ts_s - before_s, 0)"
-_TRACE_SQL = f"""SELECT s.block_id, CASE WHEN label = 1 THEN 'Fail' ELSE 'Success' END AS label, type, features,
+
+
+def _trace_sql(limit: int = Limits().max_events) -> str:
+    return f"""SELECT s.block_id, segment, CASE WHEN label = 1 THEN 'Fail' ELSE 'Success' END AS label,
+ CASE WHEN segment = 0 THEN type END AS type, features,
  CASE WHEN timed < 2 THEN '[0.0]' ELSE '[' || coalesce(gaps, '') || ']' END AS time_interval,
- CASE WHEN timed < 2 THEN 0 ELSE last_s - first_s END AS latency
-FROM (SELECT block_id, nullif(count(*) FILTER (WHERE event_id IN ({ERRORS})), 0) AS type,
+ CASE WHEN segment > 0 THEN NULL WHEN timed < 2 THEN 0 ELSE last_s - first_s END AS latency
+FROM (SELECT block_id, {_segment(limit)} AS segment,
   '[' || string_agg(event_id, ',' ORDER BY line_id, pos) || ']' AS features,
-  string_agg(cast({_GAP} AS string) || '.0', ', ' ORDER BY line_id, pos) FILTER (WHERE k > 1) AS gaps,
+  string_agg(cast({_GAP} AS string) || '.0', ', ' ORDER BY line_id, pos) FILTER (WHERE k > 1) AS gaps
+ FROM g GROUP BY ALL) s JOIN (SELECT block_id, nullif(count(*) FILTER (WHERE event_id IN ({ERRORS})), 0) AS type,
   count(ts_s) AS timed,
   arg_min(ts_s, k) FILTER (WHERE ts_s IS NOT NULL) AS first_s,
   arg_max(ts_s, k) FILTER (WHERE ts_s IS NOT NULL) AS last_s
- FROM g GROUP BY block_id) s LEFT JOIN lab ON lab.block_id = s.block_id"""
+ FROM g GROUP BY block_id) t ON t.block_id = s.block_id LEFT JOIN lab ON lab.block_id = s.block_id"""
+
+
+#: Cuts nearly every session of the test tables.
+_SHORT = Limits(max_events=40)
 
 
 def _trace_features(spark, folder, limits=Limits()):
     return sessions.trace_features(V.tuples(spark, folder), V.block_labels(spark, folder), limits=limits)
 
 
-@register("write_traces", statement(
-    'SELECT block_id AS "BlockId", label AS "Label", type AS "Type", features AS "Features", '
-    f'time_interval AS "TimeInterval", latency AS "Latency" FROM ({_TRACE_SQL}) q', "tup", "lab", g=_GAPS))
-def write_traces(spark, folder):
-    path = shared_path(spark, "features")
-    sinks.write_traces(_trace_features(spark, folder), path)
-    return spark.read.csv(path, header=True, escape='"').withColumn("Type", F.col("Type").cast("bigint")).withColumn(
-        "Latency", F.col("Latency").cast("bigint"))
+def _write_traces(limits: Limits) -> Query:
+    def query(spark, folder):
+        path = shared_path(spark, "features")
+        sinks.write_traces(_trace_features(spark, folder, limits), path)
+        back = spark.read.csv(path, header=True, escape='"')
+        return back.withColumns({c: F.col(c).cast("bigint") for c in ("Segment", "Type", "Latency")})
+
+    return query
+
+
+for _name, _limits in (("write_traces", Limits()), ("write_traces_segmented", _SHORT)):
+    register(_name, statement(
+        'SELECT block_id AS "BlockId", segment AS "Segment", label AS "Label", type AS "Type", features AS "Features", '
+        f'time_interval AS "TimeInterval", latency AS "Latency" FROM ({_trace_sql(_limits.max_events)}) q',
+        "tup", "lab", g=_GAPS))(_write_traces(_limits))
 
 
 _EVENT_IDS = [catalog.UNMATCHED_EVENT, *catalog.TEMPLATES]
@@ -165,9 +209,9 @@ _MATRIX_SQL = ", ".join(f"cast(count(*) FILTER (WHERE event_id = '{e}') AS int)
 
 
 def _matrix(spark, folder):
-    events = V.events(spark, folder)
-    ids = features.observed_events(events)
-    return features.occurrence_matrix(sessions.session_tuples(events), ids), ids
+    table = V.staged_events(spark, folder)
+    ids = features.observed_events(table)
+    return features.occurrence_matrix(dataset.tuples_of(table), ids), ids
 
 
 @register("write_matrix", statement(
@@ -180,26 +224,31 @@ def write_matrix(spark, folder):
     return back.select("BlockId", *[F.col(c).cast("int").alias(c) for c in ids])
 
 
-_SEQUENCES_SQL = (
-    "SELECT t.block_id, string_agg(cast(code AS string), ',' ORDER BY line_id, pos) AS x_data, "
-    "cast(coalesce(any_value(label), 0) AS bigint) AS y_data FROM tup t JOIN ranks USING (event_id) "
-    "LEFT JOIN lab ON lab.block_id = t.block_id GROUP BY t.block_id")
+def _sequences_sql(limit: int = Limits().max_events) -> str:
+    return (
+        f"SELECT t.block_id, {_segment(limit)} AS segment, string_agg(cast(code AS string), ',' ORDER BY line_id, pos) AS x_data, "
+        "cast(coalesce(any_value(label), 0) AS bigint) AS y_data FROM ktup t JOIN ranks USING (event_id) "
+        "LEFT JOIN lab ON lab.block_id = t.block_id GROUP BY ALL")
 
 
-def _sequences(spark, folder):
-    events = V.events(spark, folder)
-    codes = {e: n for n, e in enumerate(features.observed_events(events), 1)}
-    built = sessions.labelled_sessions(sessions.session_tuples(events), V.block_labels(spark, folder))
-    ids = F.transform("events", lambda e: e.event_id)
-    return built.select("block_id", "segment", C.encode_sequence(ids, codes).alias("x_data"),
-                        F.col("label").cast("bigint").alias("y_data"))
+def _sequences(spark, folder, limits=Limits()):
+    table = V.staged_events(spark, folder)
+    return dataset.encoded_sequences(
+        dataset.tuples_of(table), V.block_labels(spark, folder), encode.event_rank(table), limits)
 
 
-@register("write_sequences", statement(_SEQUENCES_SQL, "tup", "ranks", "lab"))
-def write_sequences(spark, folder):
-    path = shared_path(spark, "sequences")
-    sinks.write_sequences(_sequences(spark, folder), path)
-    return datasets.load_traces(spark, path).select("block_id", text_of(F.col("x_data")).alias("x_data"), "y_data")
+def _write_sequences(limits: Limits) -> Query:
+    def query(spark, folder):
+        path = shared_path(spark, "sequences")
+        sinks.write_sequences(_sequences(spark, folder, limits), path)
+        return datasets.load_traces(spark, path).withColumn("x_data", text_of(F.col("x_data")))
+
+    return query
+
+
+for _name, _limits in (("write_sequences", Limits()), ("write_sequences_segmented", _SHORT)):
+    register(_name, statement(_sequences_sql(_limits.max_events), "tup", "ranks", "lab", ktup=_KTUP))(
+        _write_sequences(_limits))
 
 
 @register("write_labels", statement(
@@ -267,10 +316,10 @@ _FEATURES = "'[' || string_agg(event_id, ',' ORDER BY line_id, pos) || ']'"
 
 
 @register("features_string", statement(
-    f"SELECT block_id, {_FEATURES} AS features FROM tup GROUP BY block_id", "tup"))
+    f"SELECT block_id, {_segment()} AS segment, {_FEATURES} AS features FROM ktup GROUP BY ALL", "tup", ktup=_KTUP))
 def features_string(spark, folder):
     built = sessions.build_sessions(V.tuples(spark, folder))
-    return built.select("block_id", C.features_string(F.transform("events", lambda e: e.event_id)).alias("features"))
+    return built.select("block_id", "segment", C.features_string(F.transform("events", lambda e: e.event_id)).alias("features"))
 
 
 @register("label_text", statement(
@@ -300,16 +349,21 @@ def event_token(spark, folder):
     return V.events(spark, folder).select("line_id", C.event_token(spelt).alias("token"))
 
 
-def _turn_tokens(spark, folder):
-    return V.turn_traces(spark, folder).groupBy("session").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda e: e.token).alias("tokens"))
+def _turn_tokens(spark, folder, length: int):
+    """The last ``length`` tokens of each conversation, zeros in front."""
+    return sequences.padded_tokens(V.turn_traces(spark, folder), "session", ["pos"], "token", length)
 
 
 @register("shift_pad_id", statement(
-    "SELECT session, string_agg(cast(token + 1 AS string), ',' ORDER BY pos) AS tokens FROM turns GROUP BY session",
-    "turns"))
+    f"SELECT session, {_segment()} AS segment, string_agg(cast(token + 1 AS string), ',' ORDER BY pos) AS tokens FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos) AS k FROM turns) t GROUP BY ALL", "turns"))
 def shift_pad_id(spark, folder):
-    return _turn_tokens(spark, folder).select("session", text_of(C.shift_tokens(F.col("tokens"))).alias("tokens"))
+    turns = V.turn_traces(spark, folder).select(
+        F.col("session").alias("block_id"), F.col("pos").alias("line_id"), F.lit(0).alias("pos"),
+        F.col("token").alias("event_id"), F.lit(None).cast("timestamp").alias("ts"))
+    tokens = F.transform("events", lambda e: e.event_id)
+    return sessions.build_sessions(turns).select(
+        F.col("block_id").alias("session"), "segment", text_of(C.shift_tokens(tokens)).alias("tokens"))
 
 
 @register("pad_truncate", statement(
@@ -318,7 +372,7 @@ def shift_pad_id(spark, folder):
     "row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS k, count(*) OVER (PARTITION BY session) AS n "
     "FROM turns) t WHERE k <= 4 GROUP BY session) p", "turns"))
 def pad_truncate(spark, folder):
-    return _turn_tokens(spark, folder).select("session", text_of(C.pad_truncate(F.col("tokens"), 4)).alias("tokens"))
+    return _turn_tokens(spark, folder, 4).select("session", text_of(F.col("tokens")).alias("tokens"))
 
 
 @register("binarise_label", "SELECT vec_id AS id, cast(label <> 0 AS int) AS y FROM embeddings")
@@ -327,9 +381,9 @@ def binarise_label(spark, folder):
         F.col("vec_id").alias("id"), C.binarise_label(F.col("label")).alias("y"))
 
 
-@register("encode_sequence", statement(_SEQUENCES_SQL, "tup", "ranks", "lab"))
+@register("encode_sequence", statement(_sequences_sql(), "tup", "ranks", "lab", ktup=_KTUP))
 def encode_sequence(spark, folder):
-    return _sequences(spark, folder).select("block_id", text_of(F.col("x_data")).alias("x_data"), "y_data")
+    return _sequences(spark, folder).withColumn("x_data", text_of(F.col("x_data")))
 
 
 @register("sigmoid_threshold",
@@ -342,22 +396,29 @@ def sigmoid_threshold(spark, folder):
 
 
 @register("valid_ts", statement(
-    "SELECT block_id, string_agg(cast(ts_s AS string), ',' ORDER BY line_id, pos) AS times FROM tup "
-    "WHERE ts_s IS NOT NULL GROUP BY block_id", "tup"))
+    f"SELECT block_id, {_segment()} AS segment, string_agg(cast(ts_s AS string), ',' ORDER BY line_id, pos) AS times FROM ktup "
+    "WHERE ts_s IS NOT NULL GROUP BY ALL", "tup", ktup=_KTUP))
 def valid_ts(spark, folder):
     timed = F.filter("events", lambda e: e.ts.isNotNull())
     built = sessions.build_sessions(V.tuples(spark, folder))
     return built.where(F.size(timed) > 0).select(
-        "block_id", text_of(F.transform(timed, lambda e: epoch(e.ts))).alias("times"))
+        "block_id", "segment", text_of(F.transform(timed, lambda e: epoch(e.ts))).alias("times"))
 
 
 @register("round_gap", statement(
-    "SELECT line_id, event_id % 7 / 4.0 AS gap, CASE WHEN event_id % 7 IN (1, 3, 5) THEN [0.2, 0.8, 1.2][cast("
-    "(event_id % 7 + 1) // 2 AS int)] ELSE event_id % 7 / 4.0 END AS rounded FROM "
-    "(SELECT event_id AS line_id, event_id FROM events) e"))
+    # Half to even, in tenths, worked out in whole milliseconds.
+    "SELECT line_id, ms, cast(ms // 100 + CASE WHEN ms % 100 > 50 OR (ms % 100 = 50 AND ms // 100 % 2 = 1) THEN 1 ELSE 0 END "
+    "AS double) / 10 AS rounded FROM (SELECT event_id AS line_id, date_diff('millisecond', lag(ts) OVER w, ts) AS ms FROM events "
+    "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) e WHERE ms IS NOT NULL"))
 def round_gap(spark, folder):
-    gap = (F.col("line_id") % 7) / 4.0
-    return V.event_traces(spark, folder).select("line_id", gap.alias("gap"), C.round_gap(gap).alias("rounded"))
+    rows = V.table(spark, folder, "events").select(
+        F.col("event_id").alias("line_id"), "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+
+    def gaps(df: DataFrame, window) -> DataFrame:
+        return df.withColumn("ms", F.col("at") - F.lag("at").over(window))
+
+    found = over_sessions(rows, "user_id", ["at", "line_id"], 1, gaps).where("ms is not null")
+    return found.select("line_id", "ms", C.round_gap(F.col("ms") / 1000).alias("rounded"))
 
 
 @register("safe_ratio", statement(
@@ -380,8 +441,8 @@ def label_sessions(spark, folder):
 @register("event_codes_join", statement(
     "SELECT block_id, line_id, cast(pos AS int) AS pos, code FROM tup JOIN ranks USING (event_id)", "tup", "ranks"))
 def event_codes_join(spark, folder):
-    events = V.events(spark, folder)
-    coded = encode.join_codes(sessions.session_tuples(events), encode.event_rank(events))
+    table = V.staged_events(spark, folder)
+    coded = encode.join_codes(dataset.tuples_of(table), encode.event_rank(table))
     return coded.select("block_id", "line_id", "pos", "code")
 
 
@@ -395,7 +456,31 @@ def encoder_transform(spark, folder):
 
 @register("match_catalogue", statement("SELECT line_id, event_id, event_template FROM ev", "ev"))
 def match_catalogue(spark, folder):
-    rows = [(n, e, catalog.pattern(t), t) for n, (e, t) in enumerate(catalog.TEMPLATES.items())]
+    return _matched(spark, folder, [(n, e, catalog.pattern(t), t) for n, (e, t) in enumerate(catalog.TEMPLATES.items())])
+
+
+@register("match_catalogue_shared_id", statement(
+    "SELECT line_id, CASE WHEN contains(value, 'Receiv') OR contains(value, 'size') THEN 'S1' ELSE 'E0' END AS event_id, CASE "
+    "WHEN contains(value, 'Receiv') THEN 'T-receive' WHEN contains(value, 'size') THEN 'T-size' ELSE value[:80] END AS "
+    "event_template FROM (SELECT line_id, content AS value FROM parsed) p", "parsed"))
+def match_catalogue_shared_id(spark, folder):
+    """Two patterns of one event: each line shows the text of its own pattern."""
+    rows = [(1, "S1", "(?-i)Receiv", "T-receive"), (2, "S1", "(?-i)size", "T-size")]
+    return _matched(spark, folder, rows)
+
+
+@register("match_catalogue_long", statement(
+    "SELECT line_id, CASE WHEN n IS NULL THEN 'E0' ELSE 'L' || n END AS event_id, CASE WHEN n IS NULL THEN value[:80] ELSE "
+    "'user ' || n END AS event_template FROM (SELECT line_id, content AS value, "
+    "(SELECT min(i) FROM range(0, 600) r(i) WHERE contains(content, cast(7000000000 + i * 7919 AS string))) AS n FROM parsed) p",
+    "parsed"))
+def match_catalogue_long(spark, folder):
+    """Six hundred patterns, one per session key."""
+    rows = [(n, f"L{n}", str(7000000000 + n * 7919), f"user {n}") for n in range(600)]
+    return _matched(spark, folder, rows)
+
+
+def _matched(spark, folder, rows):
     catalogue = spark.createDataFrame(rows, "priority int, event_id string, pattern string, template string")
     parsed = parse.parse_lines(V.raw_logs(spark, folder))
     return parse.match_catalogue(parsed, catalogue).select("line_id", "event_id", "event_template")
@@ -422,8 +507,8 @@ def template_stats(spark, folder):
     "SELECT 'labels', count(*) FROM lab UNION ALL "
     "SELECT 'anomalies', count(*) FILTER (WHERE label = 1) FROM lab", "tup", "lab"))
 def parse_summary(spark, folder):
-    events = V.events(spark, folder)
-    return parse.parse_summary(events, sessions.session_tuples(events), V.block_labels(spark, folder))
+    table = V.staged_events(spark, folder)
+    return parse.parse_summary(table, dataset.tuples_of(table), V.block_labels(spark, folder))
 
 
 _BUILT = "string_agg(line_id || ':' || pos || ':' || event_id, ' ' ORDER BY line_id, pos) AS events"
@@ -434,29 +519,24 @@ def _events_text(column: Column) -> Column:
         ":", e.line_id.cast("string"), e.pos.cast("string"), e.event_id)), " ")
 
 
-@register("build_sessions", statement(f"SELECT block_id, {_BUILT} FROM tup GROUP BY block_id", "tup"))
-def build_sessions(spark, folder):
-    return sessions.build_sessions(V.tuples(spark, folder)).select("block_id", _events_text(F.col("events")).alias("events"))
-
-
-_SEGMENT = Limits(max_events=40)
+def _build_sessions(limits: Limits) -> Query:
+    return lambda spark, folder: sessions.build_sessions(V.tuples(spark, folder), limits).select(
+        "block_id", "segment", _events_text(F.col("events")).alias("events"))
 
 
-@register("build_sessions_segmented", statement(
-    f"SELECT block_id, segment, {_BUILT} FROM (SELECT *, CASE WHEN count(*) OVER (PARTITION BY block_id) <= 40 THEN 0 "
-    "ELSE (row_number() OVER (PARTITION BY block_id ORDER BY line_id, pos) - 1) // 40 END AS segment FROM tup) s "
-    "GROUP BY block_id, segment", "tup"))
-def build_sessions_segmented(spark, folder):
-    return sessions.build_sessions(V.tuples(spark, folder), _SEGMENT).select(
-        "block_id", "segment", _events_text(F.col("events")).alias("events"))
+for _name, _limits in (("build_sessions", Limits()), ("build_sessions_segmented", _SHORT)):
+    register(_name, statement(
+        f"SELECT block_id, {_segment(_limits.max_events)} AS segment, {_BUILT} FROM ktup GROUP BY ALL", "tup", ktup=_KTUP))(
+        _build_sessions(_limits))
 
 
 @register("sequences_first_block", statement(
-    "SELECT block_id, string_agg(event_id, ',' ORDER BY line_id) AS sequence FROM firsts GROUP BY block_id", "firsts"))
+    f"SELECT block_id, {_segment()} AS segment, string_agg(event_id, ',' ORDER BY line_id) AS sequence FROM kfirsts GROUP BY ALL",
+    "firsts", kfirsts=_KFIRSTS))
 def sequences_first_block(spark, folder):
     firsts = sessions.first_block_tuples(V.events(spark, folder)).withColumn("pos", F.lit(0))
     return sessions.build_sessions(firsts).select(
-        "block_id", text_of(F.transform("events", lambda e: e.event_id)).alias("sequence"))
+        "block_id", "segment", text_of(F.transform("events", lambda e: e.event_id)).alias("sequence"))
 
 
 @register("error_count", statement(
@@ -474,9 +554,14 @@ def latency(spark, folder):
     return features.latencies(V.tuples(spark, folder))
 
 
-@register("trace_features", statement(_TRACE_SQL, "tup", "lab", g=_GAPS))
+@register("trace_features", statement(_trace_sql(), "tup", "lab", g=_GAPS))
 def trace_features(spark, folder):
-    return _trace_features(spark, folder).drop("segment")
+    return _trace_features(spark, folder)
+
+
+@register("trace_features_segmented", statement(_trace_sql(_SHORT.max_events), "tup", "lab", g=_GAPS))
+def trace_features_segmented(spark, folder):
+    return _trace_features(spark, folder, _SHORT)
 
 
 @register("occurrence_matrix", statement(
@@ -535,7 +620,7 @@ def batch_weighted_accuracy(spark, folder):
 
 @register("num_tokens", statement("SELECT max(token) + 1 + 1 AS num_tokens FROM turns", "turns"))
 def num_tokens(spark, folder):
-    shifted = _turn_tokens(spark, folder).withColumn("tokens", C.shift_tokens(F.col("tokens")))
+    shifted = _turn_tokens(spark, folder, 64).withColumn("tokens", C.shift_tokens(F.col("tokens")))
     return encode.num_tokens(shifted)
 
 
@@ -565,8 +650,7 @@ def accuracy_from_totals(spark, folder):
     "SELECT event_id, cast(row_number() OVER (ORDER BY event_id) - 1 AS bigint) AS code FROM "
     "(SELECT DISTINCT event_id FROM firsts) d", "firsts"))
 def all_events_flat(spark, folder):
-    built = _trace_rows(spark, folder)
-    return encode.lexical_rank(built.select(F.explode("x_data").alias("event_id")))
+    return encode.lexical_rank(sessions.first_block_tuples(V.events(spark, folder)))
 
 
 # ---- windows ------------------------------------------------------------------------------------
@@ -582,13 +666,13 @@ def event_gaps(spark, folder):
     f"SELECT block_id, line_id, cast(pos AS int) AS pos, cast({_GAP} AS double) AS gap FROM g WHERE k > 1",
     "tup", g=_GAPS))
 def event_gaps_segmented(spark, folder):
-    return sessions.event_gaps(V.tuples(spark, folder), _SEGMENT).select("block_id", "line_id", "pos", "gap")
+    return sessions.event_gaps(V.tuples(spark, folder), _SHORT).select("block_id", "line_id", "pos", "gap")
 
 
 @register("time_interval", statement(
-    f"SELECT block_id, time_interval FROM ({_TRACE_SQL}) q", "tup", "lab", g=_GAPS))
+    f"SELECT block_id, segment, time_interval FROM ({_trace_sql()}) q", "tup", "lab", g=_GAPS))
 def time_interval(spark, folder):
-    return _trace_features(spark, folder).select("block_id", "time_interval")
+    return _trace_features(spark, folder).select("block_id", "segment", "time_interval")
 
 
 @register("event_rank", statement("SELECT event_id, code FROM ranks", "ranks"))
@@ -713,10 +797,7 @@ _CURVE = ("SELECT rank, round(r, 6) AS recall, round(p, 6) AS \"precision\" FROM
 @register("pr_endpoints", statement(
     f"SELECT * FROM ({_CURVE}) c WHERE rank IN (0, (SELECT count(*) + 1 FROM scores))", "curve"))
 def pr_endpoints(spark, folder):
-    curve = metrics.pr_curve(V.scores(spark, folder))
-    last = curve.agg(F.max("rank").alias("rank"))
-    ends = curve.where(F.col("rank") == 0).unionByName(curve.join(F.broadcast(last), "rank"))
-    return _rounded(ends, "recall", "precision")
+    return _rounded(metrics.pr_end_points(metrics.pr_points(V.scores(spark, folder))), "recall", "precision")
 
 
 # ---- curves -------------------------------------------------------------------------------------

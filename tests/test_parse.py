@@ -91,7 +91,7 @@ def test_labels(spark):
         spark.createDataFrame([("bad",)], "l string").select(C.label_value(F.col("l"))).collect()
 
 
-def test_catalogue_join_equals_literals(spark):
+def test_catalogue_of_any_length(spark, monkeypatch):
     lines = spark.createDataFrame(list(enumerate(LINES)), "line_id bigint, value string")
     parsed = parse.parse_lines(lines)
     catalogue = spark.createDataFrame(
@@ -100,11 +100,18 @@ def test_catalogue_join_equals_literals(spark):
     columns = ["line_id", "event_id", "event_template"]
     want = rows(parse.assign_events(parsed).select(*columns))
     assert rows(parse.match_catalogue(parsed, catalogue).select(*columns)) == want
-    assert rows(parse.match_catalogue(parsed, catalogue, literal_limit=5).select(*columns)) == want
+    monkeypatch.setattr(parse, "BRANCHES", 5)
+    assert rows(parse.match_catalogue(parsed, catalogue).select(*columns)) == want
     empty = parse.match_catalogue(parsed, catalogue.limit(0))
     assert {r.event_id for r in empty.select("event_id").collect()} == {"E0"}
 
 
+def test_any_decimal_digit_is_part_of_a_key(spark):
+    text = spark.createDataFrame([("a blk_-\u0661\u0662 b blk_7 c blk_x",)], "content string")
+    assert text.select(C.blocks_all(F.col("content"))).first()[0] == ["blk_-\u0661\u0662", "blk_7"]
+    assert text.select(C.block_first(F.col("content"))).first()[0] == "blk_-\u0661\u0662"
+
+
 def test_last_unmatched_line_gives_the_text(spark):
     lines = spark.createDataFrame([(1, "first"), (2, "second"), (3, "Reopen Block x")], "line_id bigint, value string")
     stats = {r.event_id: r for r in parse.template_stats(parse.structured_lines(lines)).collect()}

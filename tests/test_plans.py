@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from logspark.detectors.next_event import top_followers
-from logspark.operators import features, parse, sequences, sessions
+from logspark.operators import encode, features, parse, sequences, sessions
 from logspark.operators.skew import Limits
 from logspark.plans import benchmark, classifier, dataset, next_event
 from logspark.sources import datasets, logs
@@ -35,7 +35,7 @@ def test_dataset(spark, built):
 
     traces = spark.read.csv(f"{home}/out/traces", header=True, escape='"')
     want = sessions.trace_features(tuples, labels).select(
-        "block_id", "label", F.col("type").cast("string"), "features", "time_interval", F.col("latency").cast("string"))
+        "block_id", F.col("segment").cast("string"), "label", F.col("type").cast("string"), "features", "time_interval", F.col("latency").cast("string"))
     assert rows(traces) == rows(want)
     assert [r[0] for r in traces.coalesce(1).collect()] == sorted(r[0] for r in traces.collect())
 
@@ -54,9 +54,9 @@ def test_long_sessions_keep_their_tail(spark, built):
     home, _ = built
     table = spark.read.parquet(f"{home}/out/events")
     tuples, labels = dataset.tuples_of(table), V.block_labels(spark, FOLDER)
-    ids = features.observed_events(table)
-    whole = classifier.fixed_traces(dataset.encoded_sequences(tuples, labels, ids), 20)
-    cut = classifier.fixed_traces(dataset.encoded_sequences(tuples, labels, ids, Limits(max_events=3)), 20)
+    codes = encode.event_rank(table)
+    whole = classifier.fixed_traces(dataset.encoded_sequences(tuples, labels, codes), 20)
+    cut = classifier.fixed_traces(dataset.encoded_sequences(tuples, labels, codes, Limits(max_events=3)), 20)
     assert rows(cut) == rows(whole)
 
 

@@ -39,10 +39,16 @@ def test_shuffle_does_not_depend_on_partitions(scores):
     assert first != [r.id for r in split.seeded_shuffle(scores, "id", 8).collect()]
 
 
-def test_caps_agree(scores, monkeypatch):
-    want = rows(split.cap_traces(scores, "id", 100, 7))
-    monkeypatch.setattr(split, "TOP_K_ROWS", 10)
+def test_caps(scores):
+    want = rows(scores.orderBy(split.shuffle_key("id", 7), "id").limit(100))
     assert rows(split.cap_traces(scores.repartition(9), "id", 100, 7)) == want
+    assert split.cap_traces(scores, "id", 5000, 7).count() == 2000 and split.cap_traces(scores, "id", 0, 7).count() == 0
+
+
+def test_splits_shuffle_no_rows(scores):
+    for parts in (split.positional_split(scores, "id"), split.stratified_split(scores, "id", "y"), split.cap_traces(scores, "id", 9)):
+        plan = parts._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "TakeOrdered" not in plan
 
 
 def test_positional_split(scores):

@@ -50,7 +50,8 @@ def joined(found):
         gaps = "[" + ", ".join(p.time_interval[1:-1] for p in parts if p.time_interval != "[]") + "]"
         if any(p.time_interval == "[0.0]" and len(parts) == 1 for p in parts):
             gaps = parts[0].time_interval
-        assert len({(p.label, p.type, p.latency) for p in parts}) == 1
+        assert len({p.label for p in parts}) == 1
+        assert {(p.type, p.latency) for p in parts[1:]} <= {(None, None)}
         result[block] = ("[" + ",".join(p.features[1:-1] for p in parts) + "]", gaps, parts[0].type, parts[0].latency)
     return result
 
