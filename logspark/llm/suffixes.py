@@ -5,16 +5,17 @@ place: the smallest of every ``WINDOW`` neighbouring word runs of ``RUN`` words
 passage stands, the same places in it are kept, so a passage of ``least`` = 50 words has a kept suffix
 among its first 25 words, of which at least 26 words (``HEAD``) still lie in the passage.
 
-1. Suffixes whose head occurs in one document only are dropped: heads are counted, combined before the shuffle, and joined back
+1. Equal texts are one entry: the whole text is repeated, and only the copy of the smallest doc_id goes on.
+2. Suffixes whose head occurs in one document only are dropped: heads are counted, combined before the shuffle, and joined back
    in a way Spark may split where a head is frequent.
-2. The suffixes left are given their surroundings from the text: 24 words on either side of the head, as hashes.
-3. They are sorted by head and what follows, spread over tasks by the full key, so that a passage which a third of all
-   documents share is many tasks' work. Neighbours of different documents are compared and the match is extended
-   word by word to the right and to the left; 50 words or more are a find.
-4. Sorting by what follows may part two suffixes that agree more to the left. Where three suffixes or more share a
-   head and one of them isn't matched on both sides as far as its surroundings go, the head is looked through exactly:
-   each suffix names all windows of 50 words around it (25 at most), and a window named by two documents is a find.
-5. Finds of a document that touch are joined to passages of any length.
+3. The suffixes left are given their surroundings from the text: 24 words on either side of the head, as hashes of 2 bytes.
+4. They are sorted by head and what follows, spread over tasks by the full key, so that a passage which a third of all
+   documents share is many tasks' work. Each is compared with its ``NEAR`` neighbours on either side, of other documents, and the
+   match is extended word by word to the right and to the left; 50 words or more are a find.
+5. A head with more suffixes than that may have a pair that the order parted. Where one of its suffixes has windows of 50 words
+   that no neighbour shares, the head is looked through by other means: each suffix names all windows of 50
+   words around it (25 at most), and a window named by two documents is a find.
+6. Finds of a document that touch are joined to passages of any length.
 
 Cases: null, empty and short texts have no passage; a passage repeated within one document only is none; repeated rows of
 one doc_id count as one document; rows without doc_id are left out; an empty table gives none; other columns play no part.
@@ -39,6 +40,8 @@ WINDOW = 25
 HEAD = LEAST - WINDOW + 1
 #: Words looked at on either side of the head: with it they make up ``LEAST``.
 SIDE = LEAST - HEAD
+#: Neighbours on either side in the order that a suffix is compared with.
+NEAR = 24
 #: Different words whose hashes one Python worker keeps; when full, the memory starts anew.
 MEMORY_WORDS = 600_000
 
@@ -84,17 +87,20 @@ def kept_places(hashes: np.ndarray) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(head, doc_id, place) of all kept suffixes."""
+    """(head, doc_id, place) of all kept suffixes, and per text of ``LEAST`` words or more a row whose place is
+    its number of words, negative."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads, ids, places = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 hashes = word_hashes(text.as_py())
+                if len(hashes) < LEAST:
+                    continue
                 own = kept_places(hashes)
-                if len(own):
-                    heads.append(runs(hashes, HEAD)[own])
-                    ids.append(np.full(len(own), doc_id, np.int64))
-                    places.append(own)
+                heads.append(np.append(runs(hashes, HEAD)[own], np.uint64(0)))
+                ids.append(np.full(len(own) + 1, doc_id, np.int64))
+                # The last row of each text gives its length.
+                places.append(np.append(own, -len(hashes)))
             if heads:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.concatenate(ids)),
@@ -105,7 +111,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
 def with_surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(head, after, before, doc_id, place): word hashes to the right of the head and to its left (nearest
-    first), 4 bytes each, 0 beyond the text."""
+    first), 2 bytes each, 0 beyond the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.arange(SIDE)
         for batch in batches:
@@ -115,8 +121,8 @@ def with_surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
                 own = own[own + HEAD <= len(hashes)].astype(np.int64)
                 if not len(own):
                     continue
-                short = (mixed(hashes) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                padded = np.concatenate([np.zeros(SIDE, np.uint32), short, np.zeros(SIDE, np.uint32)])
+                short = ((mixed(hashes) >> np.uint64(32)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
+                padded = np.concatenate([np.zeros(SIDE, np.uint16), short, np.zeros(SIDE, np.uint16)])
                 after = padded[SIDE + own[:, None] + HEAD + at]
                 before = padded[SIDE + own[:, None] - 1 - at]
                 yield pa.RecordBatch.from_arrays([
@@ -131,7 +137,7 @@ def with_surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _sides(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), SIDE)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), SIDE)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,47 +148,84 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Finds among rows sorted by (head, after): (head, doc_id, start, stop, other); a row with a null stop marks a
-    suffix whose match doesn't fill its surroundings.
+    suffix that has more neighbours than it was compared with, and windows that none of those shares.
 
-    Each row is compared with the next rows before and after it that are of another document. What is kept between batches
-    are two rows; a row that misses a partner by that is marked, as is one at the edge of a task.
+    What is kept between batches are twice ``NEAR`` + 1 rows.
     """
-    kept: pa.Table | None = None
+    reach = NEAR + 1
+    rows: dict[str, np.ndarray] = {}
+    done, first = 0, True
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        old = 0 if kept is None else kept.num_rows
-        if kept is not None:
-            table = pa.concat_tables([kept, table])
-        if table.num_rows > old:
-            yield from _found(table, old)
-            kept = table.slice(max(0, table.num_rows - 2))
-
-
-def _found(table: pa.Table, old: int) -> Iterator[pa.RecordBatch]:
-    head, doc, place = (table[c].to_numpy() for c in ("head", "doc_id", "place"))
-    after, before = _sides(table["after"].combine_chunks()), _sides(table["before"].combine_chunks())
-    count = len(head)
-    starts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (doc[1:] != doc[:-1])])
-    number = np.searchsorted(starts, np.arange(count), "right") - 1
-    full = np.zeros(count, bool)
-    out = []
-    for partner in (starts[number] - 1, np.r_[starts[1:], count][number]):
-        a = np.flatnonzero((partner >= 0) & (partner < count))
-        a = a[head[a] == head[partner[a]]]
-        b = partner[a]
-        right, left = common(after[a], after[b]), common(before[a], before[b])
-        full[a] |= (left == SIDE) & (right == SIDE)
-        enough = left + HEAD + right >= LEAST
+        if not batch.num_rows:
+            continue
+        new = {"head": np.asarray(batch.column(0)), "after": _sides(batch.column(1)), "before": _sides(batch.column(2)),
+               "doc": np.asarray(batch.column(3)), "place": np.asarray(batch.column(4)).astype(np.int64),
+               "mask": np.zeros(batch.num_rows, np.int64), "other": np.full(batch.num_rows, np.iinfo(np.int64).max)}
+        rows = {k: np.concatenate([rows[k], v]) for k, v in new.items()} if rows else new
+        _compare(rows, reach - 1)
+        count = len(rows["head"])
+        if count - reach > done:
+            yield from _results(rows, done, count - reach, reach, first, False)
+            cut = max(0, count - 2 * reach)
+            rows = {k: v[cut:] for k, v in rows.items()}
+            first, done = first and cut == 0, count - reach - cut
+    if rows and len(rows["head"]) > done:
+        yield from _results(rows, done, len(rows["head"]), reach, first, True)
+
+
+def _compare(rows: dict[str, np.ndarray], near: int) -> None:
+    """Note in ``mask`` which windows a neighbour shares: bit n is the window that starts n words before the head."""
+    head, doc = rows["head"], rows["doc"]
+    for step in range(1, near + 1):
+        a = np.flatnonzero(head[step:] == head[:-step])
+        if not len(a):
+            return
+        a = a[doc[a] != doc[a + step]]
+        b = a + step
+        left, right = common(rows["before"][a], rows["before"][b]), common(rows["after"][a], rows["after"][b])
+        enough = left + right >= SIDE
         a, b, left, right = a[enough], b[enough], left[enough], right[enough]
-        out.append((head[a], doc[a], place[a] - left, place[a] + HEAD + right, doc[b]))
-    full[:old] = True
-    marked = np.flatnonzero(~full)
-    nothing = pa.nulls(len(marked), pa.int32())
-    for columns in ([np.concatenate(column) for column in zip(*out)],
-                    [head[marked], doc[marked], place[marked], nothing, pa.nulls(len(marked), pa.int64())]):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))],
-            ["head", "doc_id", "start", "stop", "other"])
+        bits = ((1 << (left + 1)) - 1) & ~((1 << (SIDE - right)) - 1)
+        for own, partner in ((a, b), (b, a)):
+            rows["mask"][own] |= bits
+            rows["other"][own] = np.minimum(rows["other"][own], doc[partner])
+
+
+def _results(
+    rows: dict[str, np.ndarray], start: int, stop: int, reach: int, at_start: bool, at_end: bool,
+) -> Iterator[pa.RecordBatch]:
+    head = rows["head"]
+    at = np.arange(start, stop)
+    # Beyond the rows at hand lies another task, or nothing.
+    more = np.zeros(len(at), bool)
+    inner = at >= reach
+    more[inner] |= head[at[inner] - reach] == head[at[inner]]
+    inner = at + reach < len(head)
+    more[inner] |= head[at[inner] + reach] == head[at[inner]]
+    if at_start:
+        more |= head[at] == head[0]
+    if at_end:
+        more |= head[at] == head[-1]
+    there = [(rows[side][start:stop] != 0).sum(1) for side in ("before", "after")]
+    wanted = ((1 << (there[0] + 1)) - 1) & ~((1 << (SIDE - there[1])) - 1)
+    mask = rows["mask"][start:stop].copy()
+    marked = at[more & ((mask & wanted) != wanted)]
+    nothing = [None] * len(marked)
+    yield _find(head[marked], rows["doc"][marked], rows["place"][marked], nothing, nothing)
+    while (has := np.flatnonzero(mask)).size:
+        low = mask[has] & -mask[has]
+        run = mask[has] & ~(mask[has] + low)
+        mask[has] &= ~run
+        nearest, farthest = np.log2(low).astype(np.int64), np.log2(run).astype(np.int64)
+        own = at[has]
+        yield _find(head[own], rows["doc"][own], rows["place"][own] - farthest, rows["place"][own] - nearest + LEAST,
+                    rows["other"][own])
+
+
+def _find(*columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)],
+                                      ["head", "doc_id", "start", "stop", "other"])
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,21 +256,29 @@ def passages(docs: DataFrame) -> DataFrame:
     ``other`` is the smallest doc_id that was found to share part of it.
     """
     every = written(suffixes(docs), "suffixes")
-    shared = every.groupBy("head").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("head")
-    places = every.join(shared, "head", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    lengths = every.where("place < 0").groupBy("doc_id").agg((-F.min("place")).cast("int").alias("stop"))
+    # Documents with one text, by that text; others go through as they are.
+    prints = texts(docs).where("doc_id is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text")).groupBy(
+        "doc_id").agg(F.min("text").alias("text"), F.max("text").alias("_last")).where("text = _last").drop("_last")
+    equal = prints.groupBy("text").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
+    copies = written(prints.join(equal, "text").select("doc_id", "_a", "_b"), "copies")
+    whole = copies.join(lengths, "doc_id").select(
+        "doc_id", F.lit(0).alias("start"), "stop", F.when(F.col("doc_id") == F.col("_a"), F.col("_b")).otherwise(
+            F.col("_a")).alias("other"))
+
+    kept = every.where("place >= 0").join(copies.where("doc_id > _a").select("doc_id"), "doc_id", "left_anti")
+    shared = kept.groupBy("head").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("head")
+    places = kept.join(shared, "head", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     around = written(with_surroundings(docs, places), "around")
 
     key = ["head", "after", "doc_id", "place"]
     ordered = around.repartitionByRange(*key).sortWithinPartitions(*key)
     compared = written(ordered.mapInArrow(
         compare_neighbours, "head bigint, doc_id bigint, start int, stop int, other bigint"), "compared")
-    finds = compared.where("stop is not null").select("doc_id", "start", "stop", "other")
+    finds = compared.where("stop is not null").select("doc_id", "start", "stop", "other").unionByName(whole)
 
-    # Two suffixes of a head have no one between them; from three on the order may have parted them.
     open_heads = compared.where("stop is null").select("head").distinct()
-    several = around.groupBy("head").agg(F.count(F.lit(1)).alias("_n")).where("_n > 2").select("head")
-    rest = around.join(open_heads.join(several, "head", "left_semi"), "head", "left_semi").select(
-        "head", "after", "before", "doc_id", "place")
+    rest = around.join(open_heads, "head", "left_semi").select("head", "after", "before", "doc_id", "place")
     named = written(rest.mapInArrow(windows, "window bigint, doc_id bigint, start int").distinct(), "windows")
     both = named.groupBy("window").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
     more = named.join(both, "window").select(

@@ -55,8 +55,10 @@ def test_lengths_around_the_limit_and_nested_repeats(spark):
         rows += [(100 * n + k, " ".join(fresh(int(rng.integers(0, 60))) + shared + fresh(int(rng.integers(0, 60)))))
                  for k in range(2 + n % 3)]
     core, left, right = fresh(30), fresh(30), fresh(30)
-    for k in range(12):
+    for k in range(90):
         rows.append((5000 + k, " ".join(fresh(20) + (left if k % 3 else fresh(30)) + core + (right if k % 4 == 0 else fresh(30)))))
+    few, far = fresh(20), fresh(20)
+    rows += [(6000 + k, " ".join((few if k in (7, 66) else fresh(20)) + core + (far if k in (3, 50) else fresh(20)))) for k in range(80)]
     rows.append((9000, " ".join(fresh(10) * 40)))
     rows.append((9001, " ".join(["same"] * 200)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
