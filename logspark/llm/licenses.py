@@ -1,13 +1,13 @@
 """Licence scans: stretches of a text that are a licence's wording, or nearly.
 
 Texts and templates are normalised to lower-case words (letters and digits, with dots between digits). A stretch of
-whole sentences or lines is compared with a template by the Dice coefficient of their sets of word bigrams,
+whole sentences or lines is compared with a template by the Dice coefficient of their word bigrams, repeats counted,
 2 * shared / (size + size); at ``threshold`` or above it is a candidate.
 
 Pruning loses nothing. Sizes: a Dice of t needs sizes within a factor of t / (2 - t) of each other, so a stretch only meets
 the templates in that band. Words: a match shares at least that part of the template's bigrams, so of any set of
-words whose bigrams are more than the rest, it has one; the longest words of each template that suffice are its
-anchors, and only stretches that hold one are looked at.
+words whose bigrams are more than the rest, it has one; the longest words of each template that suffice, function words
+last, are its anchors, and only stretches that hold one are looked at.
 
 Of overlapping candidates the most similar is kept, then the longer, then the earlier. Each document is judged where it lies;
 there is no shuffle. Repeated lines are found each time they occur.
@@ -19,8 +19,10 @@ comes first; rows without doc_id are scanned too; an empty table gives none; oth
 from __future__ import annotations
 
 import re
+from collections import Counter
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,8 @@ from logspark.llm.license_texts import TEMPLATES
 THRESHOLD = 0.8
 _WORD = re.compile(r"\d+(?:\.\d+)+|[^\W_]+")
 #: A stretch may begin and end at line ends and after sentences.
+#: Function words, the last resort as anchors.
+_COMMON = frozenset("this that with from have been will your which their there they what when were where who the and for are not".split())
 _BREAK = re.compile(r"\n|(?<=[.!?;:])\s")
 
 
@@ -44,31 +48,35 @@ class Scanner:
         self.known = []
         for licence, text in templates:
             words = words_of(text)
-            bigrams = frozenset(zip(words, words[1:]))
+            bigrams = Counter(zip(words, words[1:]))
             if bigrams:
                 self.known.append((licence, bigrams))
         #: Templates by size, so that a band of sizes is a slice.
-        self.known.sort(key=lambda known: len(known[1]))
-        self.sizes = [len(bigrams) for _, bigrams in self.known]
+        self.known.sort(key=lambda known: known[1].total())
+        self.sizes = [bigrams.total() for _, bigrams in self.known]
         self.anchors = frozenset().union(*[self._anchors(bigrams) for _, bigrams in self.known])
         self.largest = max(self.sizes, default=0) / self.part
 
-    def _anchors(self, bigrams: frozenset) -> set[str]:
+    def _anchors(self, bigrams: Counter) -> set[str]:
         """Words such that less than a match must share has none of them."""
         chosen: set[str] = set()
-        for word in sorted({w for pair in bigrams for w in pair}, key=lambda w: (-len(w), w)):
-            if sum(not chosen.intersection(pair) for pair in bigrams) < self.part * len(bigrams) - 1e-9:
+        for word in sorted({w for pair in bigrams for w in pair}, key=lambda w: (w in _COMMON, -len(w), w)):
+            free = sum(count for pair, count in bigrams.items() if not chosen.intersection(pair))
+            if free < self.part * bigrams.total() - 1e-9:
                 break
             chosen.add(word)
         return chosen
 
-    def best(self, bigrams: set) -> tuple[float, str] | None:
+    def best(self, bigrams: Counter, size: int) -> tuple[float, str] | None:
         """(similarity, licence) of the nearest template at or above the threshold."""
-        size = len(bigrams)
         found = None
         for n in range(bisect_left(self.sizes, size * self.part - 1e-9), bisect_right(self.sizes, size / self.part + 1e-9)):
             licence, own = self.known[n]
-            similarity = 2 * len(bigrams & own) / (size + len(own))
+            pairs = bigrams.keys() & own.keys()
+            if not pairs:
+                continue
+            shared = sum(min(bigrams[pair], own[pair]) for pair in pairs)
+            similarity = 2 * shared / (size + self.sizes[n])
             if similarity >= self.threshold and (found is None or similarity > found[0]):
                 found = similarity, licence
         return found
@@ -89,18 +97,23 @@ class Scanner:
             ahead = n if stretches[n][3] else ahead
             following.append(ahead)
         following.reverse()
+        ends = [0, *accumulate(len(words) for _, _, words, _ in stretches)]
         for first, (start, _, _, _) in enumerate(stretches):
             if following[first] is None:
                 break
-            bigrams: set = set()
+            if ends[following[first]] - ends[first] > self.largest:
+                continue
+            bigrams: Counter = Counter()
             previous, anchored = None, False
-            for _, stop, words, has in stretches[first:]:
+            for n in range(first, len(stretches)):
+                _, stop, words, has = stretches[n]
+                size = ends[n + 1] - ends[first] - 1
+                if size > self.largest:
+                    break
                 run = words if previous is None else [previous, *words]
                 bigrams.update(zip(run, run[1:]))
                 previous, anchored = words[-1], anchored or has
-                if len(bigrams) > self.largest:
-                    break
-                if anchored and (hit := self.best(bigrams)):
+                if anchored and (hit := self.best(bigrams, size)):
                     candidates.append((-hit[0], start - stop, start, stop, hit[1]))
         taken: list[tuple[int, int]] = []
         found = []
