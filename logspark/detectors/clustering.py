@@ -27,11 +27,20 @@ def unit_rows(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return values / np.where(length == 0, 1.0, length)[:, None]
 
 
+#: Centres that are sent to all tasks at once, and rows looked at with them: 32 MB of numbers in a task.
+CENTRES_AT_ONCE = 4_096
+ROWS_AT_ONCE = 1_024
+
+
 def nearest(units: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of and cosine distance to the closest centre."""
-    similarity = units @ centres.T
-    best = similarity.argmax(axis=1)
-    return best, 1.0 - similarity[np.arange(len(units)), best]
+    best, distance = np.zeros(len(units), int), np.zeros(len(units))
+    for start in range(0, len(units), ROWS_AT_ONCE):
+        part = slice(start, start + ROWS_AT_ONCE)
+        similarity = units[part] @ centres.T
+        best[part] = similarity.argmax(axis=1)
+        distance[part] = 1.0 - similarity.max(axis=1)
+    return best, distance
 
 
 def agglomerate(units: np.ndarray, max_distance: float) -> np.ndarray:
@@ -72,25 +81,32 @@ class ClusterDetector:
         return score_by_vector(matrix, self.columns, self.score)
 
     def score(self, rows: DataFrame) -> DataFrame:
-        """The same row by row."""
-        columns, idf, limit = self.columns, self.idf, self.max_distance
-        centres = rows.sparkSession.sparkContext.broadcast(self.centres)
+        """The same row by row: the centres go by in blocks, each row keeps its best so far."""
+        scored = rows.select("*", F.lit(0).cast("bigint").alias("cluster"), F.lit(3.0).alias("score"))
+        for start in range(0, len(self.centres), CENTRES_AT_ONCE):
+            scored = _closer(scored, self.columns, self.idf, self.centres[start:start + CENTRES_AT_ONCE], start)
+        return scored.withColumn("pred", (F.col("score") > self.max_distance + 1e-9).cast("int"))
+
+
+def _closer(rows: DataFrame, columns: list[str], idf: np.ndarray, block: np.ndarray, first: int) -> DataFrame:
+    """``cluster`` and ``score`` of ``rows`` replaced where a centre of the block is closer."""
+    centres = rows.sparkSession.sparkContext.broadcast(block)
 
-        def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                best, distance = nearest(unit_rows(batch[columns].to_numpy(float), idf), centres.value)
-                yield batch.assign(cluster=best.astype("int64"), score=distance,
-                                   pred=(distance > limit + 1e-9).astype("int32"))
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            best, distance = nearest(unit_rows(batch[columns].to_numpy(float), idf), centres.value)
+            closer = distance < batch["score"].to_numpy()
+            yield batch.assign(cluster=np.where(closer, best + first, batch["cluster"]).astype("int64"),
+                               score=np.where(closer, distance, batch["score"]))
 
-        schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
-        return rows.mapInPandas(distances, schema + ", cluster bigint, score double, pred int")
+    return rows.mapInPandas(distances, ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes))
 
 
 def fit_clusters(
     normal: DataFrame, columns: list[str], max_distance: float = 0.3, sample: int = 1000, seed: int = 42,
-    max_centres: int = 100_000, weighting: str = "tf-idf",
+    weighting: str = "tf-idf",
 ) -> ClusterDetector:
-    """Fit on normal sessions. ``max_centres`` bounds what is sent to all tasks; beyond it, fail."""
+    """Fit on normal sessions. A round looks only at the vectors left and the centres it has just found."""
     rows = stage(distinct_vectors(normal, columns))
     order = F.xxhash64(F.lit(seed).cast("bigint"), *columns)
     idf = idf_weights(rows, columns) if weighting == "tf-idf" else np.ones(len(columns))
@@ -101,9 +117,9 @@ def fit_clusters(
         if not picked:
             return model
         units = unit_rows(np.array([list(r) for r in picked], float), model.idf)
-        model.centres = np.vstack([model.centres, agglomerate(units, max_distance)])
-        if len(model.centres) > max_centres:
-            raise ValueError(f"more than {max_centres} clusters: raise max_distance")
+        found = agglomerate(units, max_distance)
+        model.centres = np.vstack([model.centres, found])
         model.offline = model.offline or len(model.centres)
         model.rounds += 1
-        left = model.score(rows).where(F.col("pred") == 1)
+        fresh = ClusterDetector(columns, idf, found, max_distance, 0, 0)
+        left = stage(fresh.score(left.select(*rows.columns)).where(F.col("pred") == 1).select(*rows.columns))

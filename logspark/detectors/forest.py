@@ -91,12 +91,13 @@ def fit_forest(
 ) -> IsolationForest:
     """Samples are drawn by hash: the same rows whatever the partitioning.
 
-    One hash per row thins the table to a pool of fixed size, from which each tree draws by a hash
-    of its own; no task sees more rows than a tree needs.
+    A hash per row thins the table to half as many rows again as all trees need, and each row kept goes to one tree. A
+    table with fewer rows than that gives each row to several trees, so the number drawn is the same; no task sees
+    more rows than a tree needs.
     """
     n = matrix.count()
     sample = min(sample, n)
-    pool = max(20 * trees * sample, 1)
+    pool = max(int(1.5 * trees * (sample + 64)), 1)
 
     def keep_share(share: float):
         return F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))
@@ -104,12 +105,13 @@ def fit_forest(
     def draw(*values):
         return F.xxhash64(F.lit(seed).cast("bigint"), *values)
 
-    # Half as many again as needed, so that a tree is all but sure to find its sample.
-    per_tree = 1.5 * (sample + 64) / max(min(n, pool), 1)
+    copies = min(trees, -(-pool // max(n, 1)))
+    own = F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda c: (
+        c if copies == trees else F.pmod(draw(F.lit("tree"), c, F.col(key)), F.lit(trees))).cast("int"))
     picked = (
         matrix.select(key, *columns).where(draw(F.col(key)) <= keep_share(pool / max(n, 1)))
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("_draw", draw(F.col("tree"), F.col(key))).where(F.col("_draw") <= keep_share(per_tree))
+        .withColumn("tree", F.explode(F.array_distinct(own)))
+        .withColumn("_draw", draw(F.col("tree"), F.col(key)))
         # A fixed number of partitions: growing trees is work for the cores, however few the bytes.
         .repartition(int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tree")
         .withColumn("_place", F.row_number().over(W.partitionBy("tree").orderBy("_draw", key)))

@@ -5,17 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions import columns as C
 from logspark.operators import metrics, split
+from logspark.operators.encode import join_codes
+from logspark.operators.sequences import padded_tokens
+from logspark.session import written
 from logspark.sources.sinks import save_best_model
 
 DISTANCES = (1, 2, 4)
-FEATURES = 1 << 12
 
 
 def trace_terms(tokens: Column) -> Column:
@@ -33,57 +35,104 @@ def trace_terms(tokens: Column) -> Column:
     return F.concat(*groups)
 
 
-def vectorise(traces: DataFrame) -> DataFrame:
-    """``tokens`` -> sparse ``features`` of fixed width; no vocabulary has to be kept."""
-    terms = traces.withColumn("_terms", trace_terms(F.col("tokens")))
-    return HashingTF(inputCol="_terms", outputCol="features", numFeatures=FEATURES).transform(terms).drop("_terms")
+def vocabulary(traces: DataFrame) -> CountVectorizerModel:
+    """One place per term seen; as many as events and pairs of events at three distances, never as rows."""
+    terms = traces.select(F.explode(trace_terms(F.col("tokens"))).alias("term")).distinct().orderBy("term").collect()
+    return CountVectorizerModel.from_vocabulary(
+        [row["term"] for row in terms] or ["none"], inputCol="_terms", outputCol="features")
+
+
+def vectorise(traces: DataFrame, terms: CountVectorizerModel) -> DataFrame:
+    """``tokens`` -> sparse ``features``; terms that were not seen in training give none."""
+    return terms.transform(traces.withColumn("_terms", trace_terms(F.col("tokens")))).drop("_terms")
 
 
 @dataclass
 class SequenceClassifier:
+    """A model with all that scoring needs: its terms, the length of its input, the threshold and, for raw events, the codes."""
+
     model: LogisticRegressionModel
+    terms: CountVectorizerModel
     threshold: float = 0.5
+    length: int | None = None
+    codes: DataFrame | None = None
 
     def transform(self, traces: DataFrame) -> DataFrame:
-        """Add ``prob`` and ``pred``."""
-        scored = self.model.transform(vectorise(traces) if "features" not in traces.columns else traces)
+        """Add ``prob`` and ``pred`` to rows with ``tokens``."""
+        scored = self.model.transform(vectorise(traces, self.terms))
         return scored.withColumn("prob", F.element_at(vector_to_array("probability"), 2)).withColumn(
             "pred", C.above(F.col("prob"), self.threshold)).drop(
             "features", "rawPrediction", "probability", "prediction")
 
-
-def fit_sequence(traces: DataFrame, label: str = "y", reg: float = 0.01, threshold: float = 0.5) -> SequenceClassifier:
+    def score_events(self, events: DataFrame, key: str, order: list[str], event: str = "event_id") -> DataFrame:
+        """``key, tokens, prob, pred`` from raw events: the codes of training, 0 for events it did not see."""
+        if self.codes is None or self.length is None:
+            raise ValueError("this model was saved without codes or length")
+        coded = join_codes(events, self.codes, event).withColumn("_token", F.col("code") + 1)
+        return self.transform(padded_tokens(coded, key, order, "_token", self.length))
+
+    def save(self, path: str) -> None:
+        """Replace what is at ``path``."""
+        spark = SparkSession.active()
+        save_best_model(self.model, f"{path}/model")
+        save_best_model(self.terms, f"{path}/terms")
+        tokens = None if self.codes is None else self.codes.count() + 2
+        spark.createDataFrame([(self.threshold, self.length, tokens)], _SETTINGS).write.mode("overwrite").parquet(f"{path}/settings")
+        if self.codes is not None:
+            self.codes.select("event_id", "code").write.mode("overwrite").parquet(f"{path}/codes")
+
+    @classmethod
+    def load(cls, path: str) -> SequenceClassifier:
+        spark = SparkSession.active()
+        kept = spark.read.schema(_SETTINGS).parquet(f"{path}/settings").first()
+        codes = spark.read.parquet(f"{path}/codes") if kept["num_tokens"] is not None else None
+        return cls(LogisticRegressionModel.load(f"{path}/model"), CountVectorizerModel.load(f"{path}/terms"),
+                   kept["threshold"], kept["length"], codes)
+
+
+_SETTINGS = "threshold double, length int, num_tokens bigint"
+
+
+def fit_sequence(
+    traces: DataFrame, label: str = "y", reg: float = 0.01, threshold: float = 0.5,
+    terms: CountVectorizerModel | None = None, length: int | None = None, codes: DataFrame | None = None,
+) -> SequenceClassifier:
     """Fit on rows with ``tokens`` and a 0 / 1 label."""
-    rows = vectorise(traces) if "features" not in traces.columns else traces
+    terms = terms or vocabulary(traces)
     learner = LogisticRegression(labelCol=label, regParam=reg, maxIter=50)
-    return SequenceClassifier(learner.fit(rows), threshold)
+    return SequenceClassifier(learner.fit(vectorise(traces, terms)), terms, threshold, length, codes)
 
 
 def select_model(
     traces: DataFrame, key: str, path: str, regs: tuple[float, ...] = (0.1, 0.01, 0.001),
-    val_frac: float = 0.1, test_frac: float = 0.1, seed: int = 42, threshold: float = 0.5,
-) -> DataFrame:
+    val_frac: float = 0.1, test_frac: float = 0.1, seed: int | None = 42, threshold: float = 0.5,
+    length: int | None = None, codes: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Fit one model per setting, keep the best on validation data, test that one once.
 
-    Gives ``epoch, split, tn, fp, fn, tp, accuracy, precision, recall, f1`` with one train and one val
-    row per setting and one test row for the model kept, which is saved at ``path``.
+    Gives the metrics (``epoch, split, tn, fp, fn, tp, accuracy, precision, recall, f1``) and the test scores (``key, prob,
+    y``). There is a train and, where there are validation rows, a val row per setting, and a test row for the model
+    kept, which is saved at ``path`` with its settings. Without validation rows the last model is kept.
     """
-    rows = split.positional_split(vectorise(traces.select(key, "tokens", "y")), key, val_frac, test_frac, seed).persist()
+    rows = written(split.positional_split(traces.select(key, "tokens", "y"), key, val_frac, test_frac, seed), "traces")
     parts = {name: rows.where(F.col("split") == name).drop("split") for name in ("train", "val", "test")}
-    results, best_accuracy = [], -1.0
+    filled = {name for name, part in parts.items() if not part.isEmpty()}
+    terms = vocabulary(parts["train"])
+    results, best_accuracy, best = [], -1.0, None
     for epoch, reg in enumerate(regs, 1):
-        model = fit_sequence(parts["train"], "y", reg, threshold)
+        model = fit_sequence(parts["train"], "y", reg, threshold, terms, length, codes)
         for name in ("train", "val"):
-            row = metrics.prf_metrics(model.transform(parts[name]), threshold).first()
-            results.append((epoch, name, *row))
-        # Strictly better only, so the earliest of equals stays.
-        if results[-1][6] > best_accuracy:
-            best_accuracy, best = results[-1][6], epoch
-            save_best_model(model.model, path)
-    kept = SequenceClassifier(LogisticRegressionModel.load(path), threshold)
-    row = metrics.prf_metrics(kept.transform(parts["test"]), threshold).first()
-    results.append((best, "test", *row))
-    rows.unpersist()
+            if name in filled:
+                row = metrics.prf_metrics(model.transform(parts[name]), threshold).first()
+                results.append((epoch, name, *row))
+        # Strictly better only, so the earliest of equals stays; without validation each one replaces the last.
+        accuracy = results[-1][6] if "val" in filled else best_accuracy + 1
+        if accuracy > best_accuracy:
+            best_accuracy, best = accuracy, epoch
+            model.save(path)
+    scores = SequenceClassifier.load(path).transform(parts["test"]).select(key, "prob", "y")
+    if "test" in filled:
+        results.append((best, "test", *metrics.prf_metrics(scores, threshold).first()))
     return traces.sparkSession.createDataFrame(
         results, "epoch int, split string, tn bigint, fp bigint, fn bigint, tp bigint, accuracy double, "
-                 "precision double, recall double, f1 double")
+                 "precision double, recall double, f1 double"), scores

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,11 +35,14 @@ def fixed_traces(rows: DataFrame, length: int) -> DataFrame:
 
 
 def train_classifier(
-    spark: SparkSession, traces_path: str, out: str, length: int = 64, max_traces: int | None = 50_000,
+    spark: SparkSession, traces_path: str, out: str, length: int = 64, max_traces: int | None = None,
     seed: int = 42, val_frac: float = 0.1, test_frac: float = 0.1, threshold: float = 0.5,
     regs: tuple[float, ...] = (0.1, 0.01, 0.001),
 ) -> DataFrame:
-    """Metrics per setting and split; the best model and its test curve are written below ``out``."""
+    """Metrics per setting and split; the best model and its test curve are written below ``out``.
+
+    ``max_traces`` takes that many sessions, drawn by a hash of the key, for all three parts; by default all are used.
+    """
     configure(spark)
     rows = datasets.load_traces(spark, traces_path)
     if max_traces is not None:
@@ -48,10 +50,8 @@ def train_classifier(
         kept = split.cap_traces(rows.select("block_id").distinct(), "block_id", max_traces, seed)
         rows = rows.join(sized(kept), "block_id", "left_semi")
     traces = fixed_traces(rows, length)
-    results = sequence.select_model(
-        traces, "block_id", f"{out}/model", regs, val_frac, test_frac, seed, threshold)
-    test = split.positional_split(traces, "block_id", val_frac, test_frac, seed).where(F.col("split") == "test")
-    scorer = sequence.SequenceClassifier(LogisticRegressionModel.load(f"{out}/model"), threshold)
-    scores = scorer.transform(test.drop("split")).select(F.col("block_id").alias("id"), "prob", "y")
+    results, scores = sequence.select_model(
+        traces, "block_id", f"{out}/model", regs, val_frac, test_frac, seed, threshold, length)
+    scores = scores.withColumnRenamed("block_id", "id")
     sinks.write_pr_curve(metrics.pr_curve(scores), metrics.pr_summary(scores), f"{out}/curve")
     return results

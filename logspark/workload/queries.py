@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -848,6 +847,7 @@ def write_pr_curve(spark, folder):
 # ---- detectors ----------------------------------------------------------------------------------
 
 _DAILY = V.DAILY_EVENTS
+_PAIRED = V.PAIRED_EVENTS
 
 
 def _halves(spark, folder):
@@ -871,10 +871,30 @@ def _flags(detector, rows, *extra):
     return detector.transform(rows).select("session", "y", *extra, "pred")
 
 
-@register("pca_detector")
+# Normal sessions of this view lie on one line, (1, 1, 2): their error is 0, that of the others what is left across it.
+@register("pca_detector", statement(
+    "SELECT session, y, y AS pred, round(opened * opened + closed * closed + checked * checked - "
+    "(opened + closed + 2 * checked) * (opened + closed + 2 * checked) / 6.0, 6) AS score FROM paired", "paired"))
 def pca_detector(spark, folder):
+    rows = V.paired_counts(spark, folder)
+    model = pca.fit_pca(rows.where("y = 0"), _PAIRED, components=1, weighting="none", threshold=0.1)
+    return _flags(model, rows, F.round("score", 6).alias("score"))
+
+
+# Error and threshold from moments alone: one component of two counts, in closed form.
+_MOMENTS = ('SELECT *, sqrt((a - c) * (a - c) + 4 * b * b) AS d FROM (SELECT count(*) AS n, avg(click) AS mx, avg("view") AS my, '
+            'var_pop(click) AS a, covar_pop(click, "view") AS b, var_pop("view") AS c FROM daily) m')
+
+
+@register("pca_moments", statement(
+    # What is left of a row along the direction of least variance, (b, w).
+    "SELECT session, round((b * (x - mx) + w * (v - my)) * (b * (x - mx) + w * (v - my)) / (b * b + w * w), 6) AS score FROM "
+    "(SELECT session, click AS x, \"view\" AS v FROM daily) r, (SELECT *, (c - a - d) / 2 AS w FROM moments) m",
+    "daily", moments=_MOMENTS))
+def pca_moments(spark, folder):
     rows = V.daily_counts(spark, folder)
-    return _flags(pca.fit_pca(rows, _DAILY, components=2), rows, "score")
+    model = pca.fit_pca(rows, ["click", "view"], components=1, weighting="none")
+    return model.transform(rows).select("session", F.round("score", 6).alias("score"))
 
 
 _GIVEN = [("click", "view", 1, -1), ("signup", "purchase", 2, -1), ("error", "view", 1, -2)]
@@ -925,16 +945,20 @@ def invariant_candidates(spark, folder):
         "first_event string, second_event string, factor_1 bigint, factor_2 bigint, support double")
 
 
-@register("invariant_miner")
+@register("invariant_miner", statement(
+    "SELECT session, y, y AS pred, cast(opened <> closed AS int) AS score FROM paired", "paired"))
 def invariant_miner(spark, folder):
-    rows = V.role_counts(spark, folder)
-    return invariants.fit_invariants(rows, V.ROLES, keep=0.5).transform(rows).select("session", "score", "pred")
+    rows = V.paired_counts(spark, folder)
+    return _flags(invariants.fit_invariants(rows, _PAIRED, keep=0.8), rows, F.col("score").cast("int").alias("score"))
 
 
-@register("log_clustering")
+@register("log_clustering", statement(
+    "SELECT session, y, y AS pred, round(1 - (opened + closed + 2 * checked) / sqrt(6.0 * (opened * opened + closed * closed + "
+    "checked * checked)), 6) + 0.0 AS score FROM paired", "paired"))
 def log_clustering(spark, folder):
-    rows = V.daily_counts(spark, folder)
-    return _flags(clustering.fit_clusters(rows.where(F.col("y") == 0), _DAILY), rows, "cluster", "score")
+    rows = V.paired_counts(spark, folder)
+    model = clustering.fit_clusters(rows.where(F.col("y") == 0), _PAIRED, max_distance=0.0, weighting="none")
+    return _flags(model, rows, (F.abs(F.round("score", 6)) + 0.0).alias("score"))
 
 
 @register("isolation_forest")
@@ -977,37 +1001,63 @@ def next_event_topg(spark, folder):
     return next_event.fit_next_events(normal, "session", ["line_id"], "event", history=2, g=3).transform(events)
 
 
-def _labelled_traces(spark, folder, length=64):
-    """Daily traces of each user, labelled as the daily counts are."""
-    rows = V.event_traces(spark, folder).withColumn(
+def _days(spark, folder):
+    """Events of each user's days."""
+    return V.event_traces(spark, folder).withColumn(
         "session", F.concat_ws("|", F.col("session").cast("string"), F.date_format("ts", "yyyy-MM-dd")))
-    tokens = sequences.padded_tokens(rows, "session", ["line_id"], "token", length)
-    return tokens.join(V.daily_counts(spark, folder).select("session", "y"), "session")
 
 
-@register("sequence_classifier")
-def sequence_classifier(spark, folder):
-    rows = _labelled_traces(spark, folder)
-    return sequence.fit_sequence(rows).transform(rows).select("session", "y", "prob", "pred")
+def _labelled_traces(spark, folder, length=64):
+    """Daily traces, labelled by how they end: 1 after an error."""
+    tokens = sequences.padded_tokens(_days(spark, folder), "session", ["line_id"], "token", length)
+    return tokens.withColumn("y", (F.element_at("tokens", -1) == ord("e") - 96).cast("int"))
+
 
+_ENDS = ("SELECT cast(user_id AS string) || '|' || strftime(ts, '%Y-%m-%d') AS session, "
+         "cast(arg_max(event_type, event_id) = 'error' AS int) AS y FROM events GROUP BY 1")
 
-@register("model_selection")
+
+@register("sequence_classifier", statement(
+    "SELECT session, y, y AS pred FROM (SELECT *, row_number() OVER (ORDER BY session) AS k, count(*) OVER () AS n FROM ends) e "
+    "WHERE k > n - cast(floor(n * 0.5) AS bigint)", ends=_ENDS))
+def sequence_classifier(spark, folder):
+    """Learnt on one half of the days, asked about the other."""
+    rows = split.positional_split(_labelled_traces(spark, folder), "session", 0.0, 0.5, seed=None)
+    model = sequence.fit_sequence(rows.where(F.col("split") == "train"))
+    return model.transform(rows.where(F.col("split") == "test")).select("session", "y", "pred")
+
+
+@register("model_selection", statement(
+    "SELECT cast(epoch AS int) AS epoch, split, count(*) FILTER (WHERE y = 0) AS tn, 0::bigint AS fp, 0::bigint AS fn, "
+    "count(*) FILTER (WHERE y = 1) AS tp, 1.0::double AS accuracy FROM (SELECT y, CASE WHEN k <= n - 2 * t THEN 'train' WHEN "
+    "k <= n - t THEN 'val' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (ORDER BY session) AS k, count(*) OVER () "
+    "AS n, cast(floor(count(*) OVER () * 0.1) AS bigint) AS t FROM ends) e) s, range(1, 3) r(epoch) "
+    "WHERE split <> 'test' OR epoch = 1 GROUP BY ALL", ends=_ENDS))
 def model_selection(spark, folder):
-    return sequence.select_model(_labelled_traces(spark, folder), "session", shared_path(spark, "model"))
+    found, _ = sequence.select_model(
+        _labelled_traces(spark, folder), "session", shared_path(spark, "model"), regs=(0.01, 0.001), seed=None)
+    return found.select("epoch", "split", "tn", "fp", "fn", "tp", "accuracy")
 
 
-@register("save_best_model", statement("SELECT session, y, y AS pred FROM daily", "daily"))
+@register("save_best_model", statement("SELECT session, y AS pred FROM ends", ends=_ENDS))
 def save_best_model(spark, folder):
-    rows = _halves(spark, folder)
-    fitted = supervised.fit_supervised(rows.where(F.col("split") == "train"), _DAILY, "y", "logistic_regression")
+    """Saved, loaded again and asked about raw events."""
+    days = _days(spark, folder)
+    codes = encode.lexical_rank(days, "event").withColumn("code", F.col("code") + 1)
+    tokens = sequences.padded_tokens(
+        encode.join_codes(days, codes, "event").withColumn("_token", F.col("code") + 1), "session", ["line_id"], "_token", 64)
+    last = days.groupBy("session").agg((F.max_by("event", "line_id") == "error").cast("int").alias("y"))
     path = shared_path(spark, "model")
-    sinks.save_best_model(fitted.model, path)
-    return _flags(supervised.SupervisedDetector(_DAILY, LogisticRegressionModel.load(path)), rows)
+    sequence.select_model(tokens.join(last, "session"), "session", path, regs=(0.01,), length=64, codes=codes)
+    return sequence.SequenceClassifier.load(path).score_events(days, "session", ["line_id"], "event").select("session", "pred")
 
 
 @register("benchmark_report")
 def benchmark_report(spark, folder):
-    return report.benchmark_report(_halves(spark, folder), _DAILY, "session", "y", contamination=0.08)
+    rows = V.paired_counts(spark, folder)
+    halves = split.stratified_split(rows, "session", "y", seed=None)
+    return report.benchmark_report(halves, _PAIRED, "session", "y", contamination=0.1, max_distance=0.0, settings={
+        "pca": {"components": 1, "weighting": "none", "threshold": 0.5}, "log_clustering": {"weighting": "none"}, "invariant_miner": {"keep": 0.8}})
 
 
 # ---- the same functions on a stream -------------------------------------------------------------

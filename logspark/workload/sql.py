@@ -59,6 +59,9 @@ CTES = {
              "strftime(ts, '%Y-%m-%d') AS session, "
              + ", ".join(f"cast(count(*) FILTER (WHERE event_type = '{e}') AS int) AS \"{e}\"" for e in DAILY_EVENTS)
              + " FROM events GROUP BY 1) d",
+    "paired": "SELECT session, cast(n AS int) AS opened, cast(n - lost AS int) AS closed, cast(2 * n AS int) AS checked, "
+              "cast(lost > 0 AS int) AS y FROM (SELECT cast(user_id AS string) || '|' || strftime(ts, '%Y-%m-%d') AS session, "
+              "count(*) AS n, count(*) FILTER (WHERE event_type = 'error' AND event_id % 7 = 0) AS lost FROM events GROUP BY 1) p",
     "confusion": "SELECT count(*) FILTER (WHERE prob <= 0.5 AND y = 0) AS tn, "
                  "count(*) FILTER (WHERE prob > 0.5 AND y = 0) AS fp, "
                  "count(*) FILTER (WHERE prob <= 0.5 AND y = 1) AS fn, "

@@ -140,6 +140,20 @@ def daily_counts(spark: SparkSession, folder: str) -> DataFrame:
         "y", (F.col("error") >= 2).cast("int"))
 
 
+PAIRED_EVENTS = ["opened", "closed", "checked"]
+
+
+def paired_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """``session, opened, closed, checked, y`` per user and day: each event is opened, checked twice and closed; some
+    errors are never closed, which breaks the balance of their sessions (y = 1)."""
+    rows = table(spark, folder, "events")
+    lost = (F.col("event_type") == "error") & (F.col("event_id") % 7 == 0)
+    count = F.count(F.lit(1))
+    return rows.groupBy(F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("session")).agg(
+        count.cast("int").alias("opened"), F.count_if(~lost).cast("int").alias("closed"), (2 * count).cast("int").alias("checked"),
+        (F.count_if(lost) > 0).cast("int").alias("y"))
+
+
 def vector_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """``id, x, y``: each vector as one step of a feature sequence."""
     return table(spark, folder, "embeddings").select(

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logspark.detectors import clustering, forest, invariants, next_event, pca, report, sequence, supervised, vectors
-from logspark.operators import metrics
+from logspark.operators import encode, metrics, sequences, split
+from logspark.workload import views as V
 
 COLUMNS = ["E1", "E2", "E3", "E4", "E5"]
 
@@ -145,7 +146,47 @@ def test_selection(spark, tmp_path):
     rng = np.random.default_rng(2)
     data = [(f"s{n:03d}", [0, 0, *([3, 4, 5] if n % 4 else [4, 3, 5])], int(n % 4 == 0)) for n in rng.permutation(200).tolist()]
     traces = spark.createDataFrame(data, "block_id string, tokens array<bigint>, y int")
-    found = sequence.select_model(traces, "block_id", str(tmp_path / "m"), regs=(10.0, 0.001)).collect()
+    found, scores = sequence.select_model(traces, "block_id", str(tmp_path / "m"), regs=(10.0, 0.001))
+    found = found.collect()
     assert [(r.epoch, r.split) for r in found] == [(1, "train"), (1, "val"), (2, "train"), (2, "val"), (2, "test")]
     assert found[-1].accuracy == 1.0
-    assert sum(found[-1][2:6]) == 20
+    assert sum(found[-1][2:6]) == 20 == scores.count()
+    # Without validation rows the last setting stays, and no row is reported over no data.
+    found, _ = sequence.select_model(traces, "block_id", str(tmp_path / "n"), regs=(0.001, 10.0), val_frac=0.0, test_frac=0.0)
+    assert [(r.epoch, r.split) for r in found.collect()] == [(1, "train"), (2, "train")]
+
+
+def test_saved_classifier_scores_raw_events(spark, tmp_path):
+    events = spark.createDataFrame(
+        [(f"s{n:02d}", k, e) for n in range(40) for k, e in enumerate("abc" if n % 2 else "acb")], "block_id string, line_id bigint, event_id string")
+    codes = encode.lexical_rank(events).withColumn("code", F.col("code") + 1)
+    tokens = sequences.padded_tokens(
+        encode.join_codes(events, codes).withColumn("t", F.col("code") + 1), "block_id", ["line_id"], "t", 8)
+    rows = tokens.withColumn("y", (F.substring("block_id", 2, 2).cast("int") % 2))
+    sequence.fit_sequence(rows, threshold=0.4, length=8, codes=codes).save(str(tmp_path / "m"))
+    loaded = sequence.SequenceClassifier.load(str(tmp_path / "m"))
+    assert (loaded.threshold, loaded.length, loaded.codes.count()) == (0.4, 8, 3)
+    odd = spark.createDataFrame([("x1", 0, "a"), ("x1", 1, "b"), ("x1", 2, "c"), ("x0", 0, "new")], events.schema)
+    flags = {r.block_id: r.pred for r in loaded.score_events(events.unionByName(odd), "block_id", ["line_id"]).collect()}
+    assert flags["x1"] == 1 and "x0" in flags and all(flags[f"s{n:02d}"] == n % 2 for n in range(40))
+
+
+def test_terms_do_not_collide(spark):
+    data = [(f"s{n}", [a, b], 0) for n, (a, b) in enumerate((a, b) for a in range(1, 31) for b in range(1, 31))]
+    traces = spark.createDataFrame(data, "block_id string, tokens array<bigint>, y int")
+    terms = sequence.vocabulary(traces)
+    assert len(set(terms.vocabulary)) == len(terms.vocabulary) == 30 + 30 + 900
+    assert sequence.vectorise(traces, terms).select("features").distinct().count() == 900
+
+
+def test_report_finds_broken_relations(spark):
+    """A floor for every detector: anomalies that break a relation must show."""
+    rows = V.paired_counts(spark, "/root/testdata/sf0.01")
+    halves = split.stratified_split(rows, "session", "y")
+    found = report.benchmark_report(halves, V.PAIRED_EVENTS, "session", "y", contamination=0.1, max_distance=0.0, settings={
+        "pca": {"components": 1, "weighting": "none", "threshold": 0.5}, "log_clustering": {"weighting": "none"}, "invariant_miner": {"keep": 0.8}})
+    recall = {(r.detector, r.split): r.recall for r in found.collect()}
+    floors = {"pca": 0.9, "invariant_miner": 1.0, "log_clustering": 1.0, "isolation_forest": 0.1, "logistic_regression": 0.95,
+              "linear_svm": 0.9, "decision_tree": 0.8}
+    assert {k[0] for k in recall} == set(floors) and len(recall) == 14
+    assert all(value >= floors[name] for (name, _), value in recall.items()), recall
