@@ -13,8 +13,9 @@ among its first 25 words, of which at least 26 words (``HEAD``) still lie in the
    documents share is many tasks' work. Each is compared with its ``NEAR`` neighbours on either side, of other documents, and the
    match is extended word by word to the right and to the left; 50 words or more are a find.
 5. A head with more suffixes than that may have a pair that the order parted. Where one of its suffixes has windows of 50 words
-   that no neighbour shares, the head is looked through by other means: each suffix names all windows of 50
-   words around it (25 at most), and a window named by two documents is a find.
+   that no neighbour shares, the head is looked through by other means: each suffix names the windows of 50 words that it was
+   selected for (13 on average; every window has one such suffix, by its content), and a window named by two
+   documents is a find.
 6. Finds of a document that touch are joined to passages of any length.
 
 Cases: null, empty and short texts have no passage; a passage repeated within one document only is none; repeated rows of
@@ -41,7 +42,7 @@ HEAD = LEAST - WINDOW + 1
 #: Words looked at on either side of the head: with it they make up ``LEAST``.
 SIDE = LEAST - HEAD
 #: Neighbours on either side in the order that a suffix is compared with.
-NEAR = 24
+NEAR = 48
 #: Different words whose hashes one Python worker keeps; when full, the memory starts anew.
 MEMORY_WORDS = 600_000
 
@@ -77,13 +78,15 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def kept_places(hashes: np.ndarray) -> np.ndarray:
-    """Starts of the kept suffixes that have a whole head."""
+def kept_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the kept suffixes that have a whole head, and how many words before each the first and
+    the last window begins that it was selected for."""
     if len(hashes) < LEAST:
-        return np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 3
     every = np.lib.stride_tricks.sliding_window_view(runs(hashes, RUN), WINDOW)
-    places = np.unique(every.argmin(1) + np.arange(len(every)))
-    return places[places + HEAD <= len(hashes)]
+    places, first, count = np.unique(every.argmin(1) + np.arange(len(every)), return_index=True, return_counts=True)
+    whole = places + HEAD <= len(hashes)
+    return places[whole], (places - first)[whole], (places - first - count + 1)[whole]
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
@@ -96,7 +99,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 hashes = word_hashes(text.as_py())
                 if len(hashes) < LEAST:
                     continue
-                own = kept_places(hashes)
+                own = kept_places(hashes)[0]
                 heads.append(np.append(runs(hashes, HEAD)[own], np.uint64(0)))
                 ids.append(np.full(len(own) + 1, doc_id, np.int64))
                 # The last row of each text gives its length.
@@ -110,15 +113,16 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
 
 def with_surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(head, after, before, doc_id, place): word hashes to the right of the head and to its left (nearest
-    first), 2 bytes each, 0 beyond the text."""
+    """(head, after, before, doc_id, place, far, near): word hashes to the right of the head and to its left (nearest
+    first), 2 bytes each, 0 beyond the text; ``far`` and ``near`` as in :func:`kept_places`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.arange(SIDE)
         for batch in batches:
             for doc_id, text, own in zip(*(batch.column(n) for n in range(3))):
                 hashes = word_hashes(text.as_py())
-                own = np.asarray(own.values)
-                own = own[own + HEAD <= len(hashes)].astype(np.int64)
+                kept, far, near = kept_places(hashes)
+                which = np.isin(kept, np.asarray(own.values))
+                own, far, near = kept[which], far[which], near[which]
                 if not len(own):
                     continue
                 short = ((mixed(hashes) >> np.uint64(32)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
@@ -130,10 +134,11 @@ def with_surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
                     pa.array([row.tobytes() for row in after], pa.binary()),
                     pa.array([row.tobytes() for row in before], pa.binary()),
                     pa.array(np.full(len(own), doc_id.as_py(), np.int64)), pa.array(own.astype(np.int32)),
-                ], ["head", "after", "before", "doc_id", "place"])
+                    pa.array(far.astype(np.int8)), pa.array(near.astype(np.int8)),
+                ], ["head", "after", "before", "doc_id", "place", "far", "near"])
 
     joined = texts(docs).join(places, "doc_id").select("doc_id", "text", "places")
-    return joined.mapInArrow(run, "head bigint, after binary, before binary, doc_id bigint, place int")
+    return joined.mapInArrow(run, "head bigint, after binary, before binary, doc_id bigint, place int, far tinyint, near tinyint")
 
 
 def _sides(column: pa.Array) -> np.ndarray:
@@ -148,7 +153,7 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Finds among rows sorted by (head, after): (head, doc_id, start, stop, other); a row with a null stop marks a
-    suffix that has more neighbours than it was compared with, and windows that none of those shares.
+    suffix that has more neighbours than it was compared with, and windows it was selected for that none of those shares.
 
     What is kept between batches are twice ``NEAR`` + 1 rows.
     """
@@ -160,6 +165,7 @@ def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             continue
         new = {"head": np.asarray(batch.column(0)), "after": _sides(batch.column(1)), "before": _sides(batch.column(2)),
                "doc": np.asarray(batch.column(3)), "place": np.asarray(batch.column(4)).astype(np.int64),
+               "far": np.asarray(batch.column(5)).astype(np.int64), "near": np.asarray(batch.column(6)).astype(np.int64),
                "mask": np.zeros(batch.num_rows, np.int64), "other": np.full(batch.num_rows, np.iinfo(np.int64).max)}
         rows = {k: np.concatenate([rows[k], v]) for k, v in new.items()} if rows else new
         _compare(rows, reach - 1)
@@ -207,7 +213,9 @@ def _results(
     if at_end:
         more |= head[at] == head[-1]
     there = [(rows[side][start:stop] != 0).sum(1) for side in ("before", "after")]
-    wanted = ((1 << (there[0] + 1)) - 1) & ~((1 << (SIDE - there[1])) - 1)
+    far = np.minimum(there[0], rows["far"][start:stop])
+    near = np.maximum(SIDE - there[1], rows["near"][start:stop])
+    wanted = np.where(far >= near, ((1 << (far + 1)) - 1) & ~((1 << np.maximum(near, 0)) - 1), 0)
     mask = rows["mask"][start:stop].copy()
     marked = at[more & ((mask & wanted) != wanted)]
     nothing = [None] * len(marked)
@@ -229,17 +237,17 @@ def _find(*columns) -> pa.RecordBatch:
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window, doc_id, start): hashes of all runs of ``LEAST`` words that hold the head."""
+    """(window, doc_id, start): hashes of the runs of ``LEAST`` words that each suffix was selected for."""
     for batch in batches:
         head = np.asarray(batch.column(0)).view(np.uint64)
         after, before = _sides(batch.column(1)), _sides(batch.column(2))
-        doc, place = np.asarray(batch.column(3)), np.asarray(batch.column(4))
+        doc, place, far, near = (np.asarray(batch.column(n)) for n in range(3, 7))
         lefts, rights = [np.zeros(len(head), np.uint64)], [head.copy()]
         for n in range(SIDE):
             lefts.append(mixed(lefts[-1] * _A + before[:, n].astype(np.uint64) + np.uint64(1)))
             rights.append(mixed(rights[-1] * _A + after[:, n].astype(np.uint64) + np.uint64(1)))
         for left in range(SIDE + 1):
-            whole = np.ones(len(head), bool)
+            whole = (near <= left) & (left <= far)
             if left:
                 whole &= before[:, left - 1] != 0
             if left < SIDE:
@@ -278,8 +286,8 @@ def passages(docs: DataFrame) -> DataFrame:
     finds = compared.where("stop is not null").select("doc_id", "start", "stop", "other").unionByName(whole)
 
     open_heads = compared.where("stop is null").select("head").distinct()
-    rest = around.join(open_heads, "head", "left_semi").select("head", "after", "before", "doc_id", "place")
-    named = written(rest.mapInArrow(windows, "window bigint, doc_id bigint, start int").distinct(), "windows")
+    rest = around.join(open_heads, "head", "left_semi").select(*around.columns)
+    named = written(rest.mapInArrow(windows, "window bigint, doc_id bigint, start int"), "windows")
     both = named.groupBy("window").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
     more = named.join(both, "window").select(
         "doc_id", "start", (F.col("start") + LEAST).alias("stop"),
