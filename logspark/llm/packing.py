@@ -14,10 +14,10 @@ an empty table gives no piece; only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,17 +34,14 @@ MEMORY_WORDS = 600_000
 #: Output of one Arrow batch.
 BATCH_BYTES = 8 << 20
 
-#: A space next to other white space: there the split into words depends on both sides.
-_UNEVEN = re.compile(r"\s |\s\s| \s")
-
-
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit numbers, by the tokenizer at ``path``.
 
-    A byte-level tokenizer of this kind ends a token group before every single space, so a text
-    is its space-led words one after the other and each different word is encoded once. Texts with uneven
-    white space or a special token's name are encoded whole. ``ranks`` names the file of the same vocabulary for
-    the faster of the two libraries; with it, new words go there (a quarter of the time a word, equal ids).
+    A byte-level tokenizer of this kind ends a token group before a space that follows a character other than white space.
+    So a text is its words, each with the space before it, one after the other, and each different word is
+    encoded once. Where white space stands before such a space, or a special token's name in the text, the whole
+    text is encoded at once. ``ranks`` names the file of the same vocabulary for the faster of the two libraries; with
+    it, new words go there (equal ids).
     """
 
     def __init__(self, path: str, ranks: str | None = None) -> None:
@@ -52,28 +49,36 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Ids of words with a space before them.
         self.memory: dict[str, bytes] = {}
-        self.quick = _by_ranks(ranks) if ranks else None
+        self.add = _by_ranks(ranks) if ranks else self._add
+
+    def whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
+
+    def _add(self, words: list[str], memory: dict[str, bytes]) -> None:
+        led = [" " + word for word in words]
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(led, add_special_tokens=False)):
+            memory[word] = _packed(found.ids)
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _UNEVEN.search(text) or any(s in text for s in self.specials):
-            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        head, *tail = text.split(" ")
-        words = [head, *[" " + word for word in tail]]
+        body = text.rstrip()
+        head, *words = body.split(" ")
+        if not words or head[-1:].isspace() or any(special in text for special in self.specials):
+            return self.whole(text)
+        last = " " + words.pop() + text[len(body):]
         memory = self.memory
-        new = [word for word in set(words) if word not in memory]
-        if new:
+        found = list(map(memory.get, words))
+        if None in found:
+            new = {word for word, ids in zip(words, found) if ids is None}
+            if any(not word or word[-1].isspace() for word in new):
+                return self.whole(text)
             if len(memory) + len(new) > MEMORY_WORDS:
                 memory.clear()
-                new = list(set(words))
-            if self.quick:
-                memory.update(zip(new, map(_packed, map(self.quick, new))))
-            else:
-                for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    memory[word] = _packed(found.ids)
-        return b"".join([memory[word] for word in words])
+                new = set(words)
+            self.add(list(new), memory)
+            found = [memory[word] for word in words]
+        return b"".join([self.whole(head), *found, self.whole(last)])
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -81,6 +86,10 @@ def _packed(ids: list[int]) -> bytes:
 
 
 def _by_ranks(path: str):
+    """A function that adds the ids of many space-led words to a dictionary.
+
+    They are encoded in one go; the byte lengths of the ids tell where each word ends.
+    """
     import base64
 
     import public_tokenizers
@@ -88,9 +97,22 @@ def _by_ranks(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    sizes[list(ranks.values())] = [len(token) for token in ranks]
+    encode = tiktoken.Encoding(
         path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def add(words: list[str], memory: dict[str, bytes]) -> None:
+        led = [" " + word for word in words]
+        ids = np.array(encode("".join(led)), "<u4")
+        ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(word.encode()) for word in led])) + 1
+        packed, start = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist()):
+            memory[word] = packed[start:end]
+            start = end
+
+    return add
+
 
 #: One encoder, with its memory, for all tasks of a Python worker.
 _ENCODERS: dict[tuple, WordEncoder] = {}
