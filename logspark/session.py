@@ -99,16 +99,19 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A join side that is sent to all tasks if it is small.
 
-    It is written once and counted. Beyond ``max_rows`` it stays an ordinary join side, which Spark
-    shuffles and, where a key is hot, splits.
+    It is written once and measured. Beyond ``max_rows`` or ``max_bytes`` (as text) it stays an ordinary join side,
+    which Spark shuffles and, where a key is hot, splits. The rows of the join are the same either way.
     """
     staged = stage(df)
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
+    width = sum((F.coalesce(F.length(F.col(f"`{name}`").cast("string")), F.lit(0)) for name in df.columns), F.lit(16))
+    rows, size = staged.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(staged) if rows <= max_rows and size <= max_bytes else staged
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
