@@ -8,7 +8,7 @@ among its first 25 words, of which at least 26 words (``HEAD``) still lie in the
 1. Equal texts are one entry: the whole text is repeated, and only the copy of the smallest doc_id goes on.
 2. Suffixes whose head occurs in one document only are dropped: heads are counted, combined before the shuffle, and joined back
    in a way Spark may split where a head is frequent.
-3. The suffixes left are given their surroundings from the text: 24 words on either side of the head, as hashes of 2 bytes.
+3. The suffixes left are given their surroundings from the text: 24 words on either side of the head, as hashes of 4 bytes.
 4. They are sorted by head and what follows, spread over tasks by the full key, so that a passage which a third of all
    documents share is many tasks' work. Each is compared with its ``NEAR`` neighbours on either side, of other documents, and the
    match is extended word by word to the right and to the left; 50 words or more are a find.
@@ -114,7 +114,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
 def with_surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(head, after, before, doc_id, place, far, near): word hashes to the right of the head and to its left (nearest
-    first), 2 bytes each, 0 beyond the text; ``far`` and ``near`` as in :func:`kept_places`."""
+    first), 4 bytes each, 0 beyond the text; ``far`` and ``near`` as in :func:`kept_places`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.arange(SIDE)
         for batch in batches:
@@ -125,8 +125,8 @@ def with_surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
                 own, far, near = kept[which], far[which], near[which]
                 if not len(own):
                     continue
-                short = ((mixed(hashes) >> np.uint64(32)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
-                padded = np.concatenate([np.zeros(SIDE, np.uint16), short, np.zeros(SIDE, np.uint16)])
+                short = ((mixed(hashes) >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
+                padded = np.concatenate([np.zeros(SIDE, np.uint32), short, np.zeros(SIDE, np.uint32)])
                 after = padded[SIDE + own[:, None] + HEAD + at]
                 before = padded[SIDE + own[:, None] - 1 - at]
                 yield pa.RecordBatch.from_arrays([
@@ -142,7 +142,7 @@ def with_surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _sides(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), SIDE)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), SIDE)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
