@@ -256,7 +256,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     members = written(grouped.join(classes, F.col("node") == F.col("fp")).select("root", "fp", "first"), "members")
     lowest = members.groupBy("root").agg(F.min("first").alias("_low"))
     linked = members.join(lowest, "root").select("fp", "_low")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("_low", "first").alias("component_id"))
+    # Written, so that Spark may split the join on a fingerprint that many documents have.
+    named = written(classes.join(linked, "fp", "left").select("fp", F.coalesce("_low", "first").alias("component_id")), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -268,14 +268,16 @@ def passages(docs: DataFrame) -> DataFrame:
     # Documents with one text, by that text; others go through as they are.
     prints = texts(docs).where("doc_id is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text")).groupBy(
         "doc_id").agg(F.min("text").alias("text"), F.max("text").alias("_last")).where("text = _last").drop("_last")
-    equal = prints.groupBy("text").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
+    # What is counted by a key is written before it is joined back by it: only then can Spark split a frequent key.
+    equal = written(prints.groupBy("text").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b"), "equal")
     copies = written(prints.join(equal, "text").select("doc_id", "_a", "_b"), "copies")
     whole = copies.join(lengths, "doc_id").select(
         "doc_id", F.lit(0).alias("start"), "stop", F.when(F.col("doc_id") == F.col("_a"), F.col("_b")).otherwise(
             F.col("_a")).alias("other"))
 
     kept = every.where("place >= 0").join(copies.where("doc_id > _a").select("doc_id"), "doc_id", "left_anti")
-    shared = kept.groupBy("head").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("head")
+    shared = written(kept.groupBy("head").agg(
+        F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("head"), "heads")
     places = kept.join(shared, "head", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     around = written(with_surroundings(docs, places), "around")
 
@@ -288,7 +290,8 @@ def passages(docs: DataFrame) -> DataFrame:
     open_heads = compared.where("stop is null").select("head").distinct()
     rest = around.join(open_heads, "head", "left_semi").select(*around.columns)
     named = written(rest.mapInArrow(windows, "window bigint, doc_id bigint, start int"), "windows")
-    both = named.groupBy("window").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
+    both = written(named.groupBy("window").agg(
+        F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b"), "shared")
     more = named.join(both, "window").select(
         "doc_id", "start", (F.col("start") + LEAST).alias("stop"),
         F.when(F.col("doc_id") == F.col("_a"), F.col("_b")).otherwise(F.col("_a")).alias("other"))
