@@ -262,12 +262,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """``docs``, all columns, with one row of each group of near-duplicates: that of the smallest doc_id.
+    """``docs``, all columns, with one row of each group of near-duplicates."""
+    return first_of_groups(docs, near_duplicates(docs, words, distance))
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs``, all columns, with one row of each of ``groups`` (doc_id, component_id): that of the smallest doc_id.
 
     Rows that share a doc_id count as one document, of which one row stays. Rows without doc_id can't be told
     apart by it and stay.
     """
-    found = written(near_duplicates(docs, words, distance).where("doc_id is not null"), "groups")
+    found = written(groups.where("doc_id is not null"), "groups")
     ids = found.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.col("component_id") == F.col("doc_id")).alias("_stays"))
     gone = ids.where("not _stays").select(F.col("doc_id").alias("_id"))
