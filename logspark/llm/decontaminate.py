@@ -15,7 +15,8 @@ hash functions only. Here no containment at or above the threshold is lost, what
 Documents are read once. Their shingles that occur in any item are kept as text, the sketch picks the candidates
 among them, and the candidates' shared shingles are counted exactly, as text. Only DataFrame functions are used.
 
-Items with fewer words than a shingle are one shingle and must occur as that run of words in the text.
+Items with fewer words than a shingle are one shingle and must occur as that run of words in the text: documents are also
+cut into runs of the sizes that such items have. In scripts written without spaces each character is a word.
 
 Cases: null or empty texts and items hold nothing; repeated rows are found once per doc_id and item; rows without
 doc_id or item_id are left out; empty tables give none; other columns play no part.
@@ -35,9 +36,14 @@ THRESHOLD = 0.8
 BROADCAST_BYTES = 32 << 20
 
 
+#: Letters of scripts written without spaces.
+UNSPACED = r"(?![^\p{L}\p{N}])[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+
+
 def words_of(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+    """Lower-case runs of letters and digits; in scripts without spaces single ones."""
+    apart = F.regexp_replace(F.lower(text), UNSPACED, " $0 ")
+    return F.split(F.trim(F.regexp_replace(apart, r"[^\p{L}\p{N}]+", " ")), " ")
 
 
 def _shingles(words: str, n: int = WORDS) -> Column:
@@ -75,7 +81,11 @@ def contained(
     measured = shingles.agg(F.sum(F.length("shingle") * 2 + 64)).first()[0] or 0
     sent = F.broadcast if measured <= BROADCAST_BYTES else (lambda side: side)
 
-    runs = F.transform(_shingles("words", n), lambda s: F.struct(F.xxhash64(s).alias("hash"), s.alias("shingle")))
+    # Items below n words, of n - 1 sizes at most, are looked up in runs of their own size.
+    count = F.size(F.split("shingle", " "))
+    short = [row[0] for row in shingles.select(count.alias("n")).where(F.col("n") < n).distinct().collect()]
+    cut = F.concat(_shingles("words", n), *[_shingles("words", size) for size in sorted(short)])
+    runs = F.transform(cut, lambda s: F.struct(F.xxhash64(s).alias("hash"), s.alias("shingle")))
     every = texts(docs).where("doc_id is not null").select(
         "doc_id", words_of(F.col("text")).alias("words")).select("doc_id", F.inline(runs))
     known = shingles.select("hash").distinct()

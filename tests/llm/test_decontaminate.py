@@ -52,3 +52,15 @@ def test_nulls_repeats_and_clashing_names(spark):
     assert decontaminate.contained(docs.limit(0), items).collect() == []
     assert decontaminate.contained(docs, items.limit(0)).collect() == []
     assert decontaminate.without_leaks(docs, items).columns == docs.columns
+
+
+def test_short_items_are_found_as_runs_of_words(spark):
+    items = spark.createDataFrame(
+        [(1, "Photosynthesis"), (2, "forty-two bits"), (3, "x y z"), (4, "to be or not"), (5, "今天天气怎么样"), (6, "你好"),
+         (7, "not there")], "item_id bigint, text string")
+    docs = messy(spark, [
+        (1, "We explain photosynthesis, step by step, to all."), (2, "It takes forty two bits to say so."),
+        (3, "a b x y z c d"), (4, "a b x y c z d"), (5, "The line 'To be, or not' is old."), (6, "我想知道今天天气怎么样，谢谢。"),
+        (7, "他说你好然后走了很远的路"), (8, "photosynthesises and x y"), (9, "x y z")])
+    got = {tuple(r) for r in decontaminate.contained(docs, items).select("doc_id", "item_id", "containment").collect()}
+    assert got == {(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (9, 3, 1.0), (5, 4, 1.0), (6, 5, 1.0), (7, 6, 1.0)}
