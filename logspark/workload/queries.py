@@ -619,7 +619,8 @@ def batch_weighted_accuracy(spark, folder):
 
 @register("num_tokens", statement("SELECT max(token) + 1 + 1 AS num_tokens FROM turns", "turns"))
 def num_tokens(spark, folder):
-    shifted = _turn_tokens(spark, folder, 64).withColumn("tokens", C.shift_tokens(F.col("tokens")))
+    # Every turn counts, not only those that a tail of fixed length keeps.
+    shifted = V.turn_traces(spark, folder).select(C.shift_tokens(F.array("token")).alias("tokens"))
     return encode.num_tokens(shifted)
 
 
