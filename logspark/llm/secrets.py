@@ -39,13 +39,23 @@ class Rule:
     least: int = 0
 
 
+#: A private key: its BEGIN line, then up to the END line what a body has, after a few header lines. Without an END line it
+#: ends with the run of base64 lines. Line ends may be written as \\n.
+_END = r"(?:[\x20\t>|#\"']*+(?:\r?\n|\\r|\\n)|[\x20\t])[\s>|#\"']*+(?:\\[nr])*+[\x20\t]*+"
+_HEADERS = rf"(?:{_END}[A-Za-z][A-Za-z0-9-]{{0,30}}:\x20[^\n\\]{{0,200}}){{0,8}}"
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:"
+    rf"{_HEADERS}[A-Za-z0-9+/=\s\\>|#\"',]*+-----END [A-Z ]{{0,40}}PRIVATE KEY-----"
+    rf"|{_HEADERS}(?:{_END}[A-Za-z0-9+/]{{20,}}+={{0,2}}){{1,1000}}"
+    rf"(?:{_END}(?=[A-Za-z]{{0,19}}[0-9+/=])[A-Za-z0-9+/]{{1,19}}+={{0,2}}(?=[\s\\\"']|$))?)?")
+
 #: The agreed forms come first, in the order of their kinds; the rest are further well-known token shapes.
 RULES = (
     Rule("assign", 1, r"(?i)passw|secret|token|api_?key",
          r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", 1, "AKIA", "AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", 1, "[0-9a-f]{32}", "[0-9a-f]{32,}", 0, 32),
-    Rule("pem", 1, "-----BEGIN ", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", 3, "-----BEGIN ", _PEM),
     Rule("github", 1, "gh[pousr]_", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, "xox[abprs]-", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", 1, r"eyJ", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

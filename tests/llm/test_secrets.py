@@ -82,3 +82,24 @@ def test_masking_keeps_everything_else(spark):
     assert clean == {1: ("é [SECRET]' and [SECRET] end", 28), 2: ("clean", 5), 3: (None, None), 4: ("", 0)}
     assert secrets.without_secrets(docs).columns == docs.columns
     assert secrets.secrets(docs.limit(0)).collect() == []
+
+
+def test_private_keys_go_whole(spark):
+    body = "\n".join(["MIIEowIBAAKCAQEA" + "aB3+/xYz" * 6] * 25 + ["Qw9=="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = f"{begin}\n{body}\n{end}"
+    headed = f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n{body}\n{end}"
+    cases = {
+        1: (f"é before {key} after it", "é before [SECRET] after it"),
+        2: (f"{key}\nand\n{key}\nend.", "[SECRET]\nand\n[SECRET]\nend."),
+        3: (f"{headed} tail", "[SECRET] tail"),
+        4: ('"key": "' + key.replace("\n", "\\n") + '\\n"', '"key": "[SECRET]\\n"'),
+        5: (f"{begin}\n{body}\nProse goes on. {key}!", "[SECRET]\nProse goes on. [SECRET]!"),
+        6: (key.replace("\n", "\r\n") + " x", "[SECRET] x"),
+        7: (f"The line {begin} opens a key.", "The line [SECRET] opens a key."),
+        8: (key.replace("\n", " ") + " x", "[SECRET] x"),
+        9: (f"{begin}\n" + (body + "\n") * 30 + end + ".", "[SECRET]."),
+    }
+    docs = messy(spark, [(n, text) for n, (text, _) in cases.items()])
+    clean = {r.doc_id: r.text for r in secrets.without_secrets(docs).collect()}
+    assert clean == {n: want for n, (_, want) in cases.items()}
