@@ -64,3 +64,26 @@ def test_nulls_repeats_and_clashing_names(spark):
     got = sorted((r.doc_id or 0, r.licence, r.similarity, r.start) for r in licenses.licences(docs).collect())
     assert got == [(0, "MIT", 1.0, 0), (3, "MIT", 1.0, 0), (3, "MIT", 1.0, 0), *[(4, "MIT", 1.0, 2 + 34 * n) for n in range(3)]]
     assert licenses.licences(docs.limit(0)).collect() == []
+
+
+def test_each_header_gets_its_own_id():
+    scanner = licenses.Scanner()
+    header = ("{0} is free software{3} you can redistribute it and/or modify\nit under the terms of the GNU {1} as published by\n"
+              "the Free Software Foundation{4} either version {2} of the License, or\n(at your option) any later version.\n\n"
+              "{0} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied "
+              "warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {1} for more details.\n\n"
+              "You should have received a copy of the GNU {1}\nalong with {5}{6}\n")
+    gpl, lesser, affero = "General Public License", "Lesser General Public License", "Affero General Public License"
+    old = "; if not, write to the Free Software\nFoundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA"
+    new = ".  If not, see <https://www.gnu.org/licenses/>."
+    for licence, parts in {
+        "GPL-2.0": ("This program", gpl, "2", ";", ";", "this program", old),
+        "LGPL-2.1": ("This library", lesser, "2.1", ";", ";", "this library", old),
+        "GPL-3.0": ("This program", gpl, "3", ":", ",", "this program", new),
+        "LGPL-3.0": ("This program", lesser, "3", ":", ",", "this program", new),
+        "AGPL-3.0": ("This program", affero, "3", ":", ",", "this program", new),
+    }.items():
+        assert [f[0] for f in scanner.scan(f"A tool.\n\n{header.format(*parts)}\nint main() {{}}\n")] == [licence]
+    bodies = dict(FULL)
+    for licence in ("BSD-2-Clause", "BSD-3-Clause", "Unlicense", "CC0-1.0"):
+        assert [f[0] for f in scanner.scan(f"Copyright (c) 2020, A. Author\n\n{bodies[licence]}\n")] == [licence]
