@@ -47,7 +47,7 @@ def compare(df, db, sql):
     for g, w in zip(got[1], want[1]):
         if repr(g) != repr(w):
             return f"{str(g)[:300]}\n   != {str(w)[:300]}"
-    kinds = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "date": "DATE"}
+    kinds = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "date": "DATE", "boolean": "BOOLEAN"}
     for (name, kind) in df.dtypes:
         expected = dict(types)[name]
         if kinds.get(kind, kind) != expected and not (kind == "string" and expected == "STRING"):
