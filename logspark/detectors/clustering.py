@@ -1,22 +1,48 @@
 """Clusters of normal sessions; far from all of them is anomalous (Lin et al., ICSE 2016).
 
-The published method walks through the sessions one by one. Here the order plays no part: the
-distinct vectors are assigned in parallel to the clusters known so far, a fixed-size sample of
-those left over is clustered, and this repeats until every training vector has a cluster.
+The published method walks through the sessions one by one. Here the order plays no part. Distinct vectors, as directions
+(weighted counts of length 1), are put into the cells of a grid; the heaviest vector of each cell leads a
+cluster, and what lies within ``max_distance`` of a leader is settled. Cells shrink from round to round for at most
+``COARSE`` rounds; in the last round a cell is no wider than ``max_distance``, so its leader settles all of it. The
+number of rounds doesn't depend on the data.
+
+Leaders are a table, never an array on the driver, and are searched through a metric index. A bounded number of
+them are pivots; each leader belongs to the cell of its nearest pivot, and for each pair of pivot and cell the range of
+angles is known. A vector goes to the cell of its nearest pivot first. With the angle found there, all cells that
+the triangle inequality rules out are left alone, and the others are visited by a join on the cell, in blocks
+of bounded size on both sides, however many vectors or leaders a cell has. The nearest leader found is the exact one.
+
+New normal sessions can be taken in later (:meth:`ClusterDetector.updated`): those near a cluster join it, the others found new ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.detectors.vectors import distinct_vectors, idf_weights, score_by_vector
-from logspark.session import stage
+from logspark.session import shared_path, written
+
+#: Rounds with cells that are wider than a cluster.
+COARSE = 5
+#: Leaders that come to the driver and go to all tasks; with no more than these there is nothing to join.
+PIVOTS = 64
+#: Bytes of vectors, of each side, that are compared at once.
+BLOCK_BYTES = 16 << 20
+#: Distances up to the limit count as near, whatever the rounding; the width of the last cells stays below that.
+SLACK = 1e-9
+#: More than the arc cosine of a rounded number can be off.
+ANGLE_SLACK = 1e-6
+#: The distance where there is no cluster at all.
+NOWHERE = 3.0
+
+_CENTRES = "cluster bigint, unit array<double>, round int"
+_FOUND = "id bigint, cluster bigint, distance double"
 
 
 def unit_rows(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -27,53 +53,178 @@ def unit_rows(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return values / np.where(length == 0, 1.0, length)[:, None]
 
 
-#: Centres that are sent to all tasks at once, and rows looked at with them: 32 MB of numbers in a task.
-CENTRES_AT_ONCE = 4_096
-ROWS_AT_ONCE = 1_024
+def with_units(rows: DataFrame, columns: list[str], idf: np.ndarray, keep: list[str]) -> DataFrame:
+    """``keep`` and ``unit``, the same as :func:`unit_rows`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], 1)
+            units = unit_rows(counts, idf)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in keep], pa.array(list(units), pa.list_(pa.float64()))], [*keep, "unit"])
+
+    kinds = dict(rows.dtypes)
+    wanted = list(dict.fromkeys([*keep, *columns]))
+    return rows.select(*wanted).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "unit array<double>"]))
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def nearest(units: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of and cosine distance to the closest centre."""
-    best, distance = np.zeros(len(units), int), np.zeros(len(units))
-    for start in range(0, len(units), ROWS_AT_ONCE):
-        part = slice(start, start + ROWS_AT_ONCE)
+def _closest(units: np.ndarray, centres: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Name of and cosine distance to the closest centre, the smallest name of equals. ``names`` rise."""
+    name, distance = np.zeros(len(units), np.int64), np.zeros(len(units))
+    for start in range(0, len(units), 1_024):
+        part = slice(start, start + 1_024)
         similarity = units[part] @ centres.T
-        best[part] = similarity.argmax(axis=1)
-        distance[part] = 1.0 - similarity.max(axis=1)
-    return best, distance
-
-
-def agglomerate(units: np.ndarray, max_distance: float) -> np.ndarray:
-    """Complete-linkage clusters no wider than ``max_distance``, each given by its most central member.
-
-    Works on one bounded sample. Every member lies within ``max_distance`` of the centre.
-    """
-    distance = 1.0 - units @ units.T
-    np.fill_diagonal(distance, np.inf)
-    linkage, members = distance.copy(), [[n] for n in range(len(units))]
-    while len(units) > 1:
-        flat = int(linkage.argmin())
-        i, j = sorted(divmod(flat, len(units)))
-        if linkage[i, j] > max_distance:
-            break
-        members[i] += members[j]
-        members[j] = []
-        merged = np.maximum(linkage[i], linkage[j])
-        linkage[i, :], linkage[:, i] = merged, merged
-        linkage[i, i] = np.inf
-        linkage[j, :], linkage[:, j] = np.inf, np.inf
-    np.fill_diagonal(distance, 0.0)
-    centres = [group[int(distance[np.ix_(group, group)].sum(axis=1).argmin())] for group in members if group]
-    return units[centres]
+        best = similarity.argmax(axis=1)
+        name[part], distance[part] = names[best], 1.0 - similarity[np.arange(len(best)), best]
+    return name, distance
+
+
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
+
+
+@dataclass
+class CentreIndex:
+    """Leaders by the cell of their nearest pivot. ``near`` and ``far`` are ranges of angles (pivot, cell)."""
+
+    pivots: np.ndarray
+    names: np.ndarray
+    cells: DataFrame | None = None  # (cluster, unit, cell), None when all leaders are pivots
+    near: np.ndarray | None = None
+    far: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, centres: DataFrame, pivots: int = PIVOTS) -> CentreIndex:
+        """``centres``: (cluster, unit), a written table."""
+        # One row more than are used says whether there are others.
+        picked = centres.select("cluster", "unit").orderBy(F.xxhash64("cluster"), "cluster").limit(pivots + 1).collect()
+        chosen = sorted(picked[:pivots], key=lambda row: row["cluster"])
+        index = cls(np.array([row["unit"] for row in chosen], float), np.array([row["cluster"] for row in chosen], np.int64))
+        if len(picked) <= pivots:
+            return index
+        sent = centres.sparkSession.sparkContext.broadcast(index.pivots)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                angles = _angles(_matrix(batch.column(1)), sent.value) if batch.num_rows else np.zeros((0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(angles.argmin(1), pa.int32()), pa.array(list(angles), pa.list_(pa.float64()))],
+                    ["cluster", "unit", "cell", "angles"])
+
+        placed = written(centres.select("cluster", "unit").mapInArrow(
+            place, "cluster bigint, unit array<double>, cell int, angles array<double>"), "cells")
+        # A row per pair of pivots.
+        ranges = placed.select("cell", F.posexplode("angles").alias("pivot", "angle")).groupBy("cell", "pivot").agg(
+            F.min("angle").alias("near"), F.max("angle").alias("far")).collect()
+        index.near, index.far = np.full((pivots, pivots), np.inf), np.full((pivots, pivots), -np.inf)
+        for row in ranges:
+            index.near[row["pivot"], row["cell"]], index.far[row["pivot"], row["cell"]] = row["near"], row["far"]
+        index.cells = placed.select("cluster", "unit", "cell")
+        return index
+
+    def may_hold(self, angles: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """(row, cell): whether the cell can hold a leader within ``radius`` of the row."""
+        open_ = np.ones((len(angles), len(self.names)), bool)
+        for pivot in range(len(self.names)):
+            at, slack = angles[:, pivot, None], radius[:, None] + ANGLE_SLACK
+            open_ &= (at - slack <= self.far[pivot]) & (at + slack >= self.near[pivot])
+        return open_
+
+    def nearest(self, rows: DataFrame) -> DataFrame:
+        """(id, cluster, distance) of each of ``rows`` (id, unit): the nearest leader of all."""
+        if not len(self.names):
+            return rows.select("id", F.lit(-1).cast("bigint").alias("cluster"), F.lit(NOWHERE).alias("distance"))
+        if self.cells is None:
+            return self._among_pivots(rows)
+        first = written(self._asks(rows, None), "asks")
+        found = written(self._visited(first), "found")
+        rest = written(self._asks(first.join(found.select("id", "distance"), "id"), "distance"), "asks")
+        both = found.unionByName(self._visited(rest))
+        best = F.min(F.struct("distance", "cluster"))
+        return both.groupBy("id").agg(best.alias("_best")).select("id", "_best.cluster", "_best.distance")
+
+    def _among_pivots(self, rows: DataFrame) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast((self.pivots, self.names))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    name, distance = _closest(_matrix(batch.column(1)), *sent.value)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), pa.array(name), pa.array(distance)], ["id", "cluster", "distance"])
+
+        return rows.select("id", "unit").mapInArrow(run, _FOUND)
+
+    def _asks(self, rows: DataFrame, known: str | None) -> DataFrame:
+        """(id, unit, cell): the cell of the nearest pivot, or with a ``known`` distance the other cells that may hold less."""
+        sent = rows.sparkSession.sparkContext.broadcast(CentreIndex(self.pivots, self.names, None, self.near, self.far))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = sent.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, 4_096):
+                    part = batch.slice(start, 4_096)
+                    angles = _angles(_matrix(part.column(1)), index.pivots)
+                    row, cell = np.arange(len(angles)), angles.argmin(1)
+                    if known is not None:
+                        radius = np.arccos(np.clip(1.0 - np.asarray(part.column(2)), -1.0, 1.0))
+                        held = index.may_hold(angles, radius)
+                        held[row, cell] = False
+                        row, cell = np.nonzero(held)
+                    taken = part.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays(
+                        [taken.column(0), taken.column(1), pa.array(cell, pa.int32())], ["id", "unit", "cell"])
+
+        wanted = ["id", "unit"] if known is None else ["id", "unit", known]
+        return rows.select(*wanted).mapInArrow(run, "id bigint, unit array<double>, cell int")
+
+    def _visited(self, asks: DataFrame) -> DataFrame:
+        """(id, cluster, distance): the nearest of the cell asked for. Both sides of a cell are cut into blocks by hash."""
+        spark = asks.sparkSession
+        at_once = max(1, BLOCK_BYTES // (8 * self.pivots.shape[1]))
+        sizes = {}
+        for n, side in enumerate((asks, self.cells)):  # a row per cell
+            for row in side.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+                sizes.setdefault(row["cell"], [1, 1])[n] = -(-row["n"] // at_once)
+        blocks = F.broadcast(spark.createDataFrame(
+            [(cell, *own) for cell, own in sorted(sizes.items())], "cell int, _asks int, _centres int"))
+
+        def dealt(side: DataFrame, key: str, own: str, other: str) -> DataFrame:
+            every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+            return side.join(blocks, "cell").withColumn("_own", F.pmod(F.xxhash64(key), F.col(own)).cast("int")).withColumn(
+                "_other", every).withColumnsRenamed({"_own": f"{own}_block", "_other": f"{other}_block"})
+
+        keys = ["cell", "_asks_block", "_centres_block"]
+        left = dealt(asks, "id", "_asks", "_centres").select(*keys, "id", "unit").groupBy(*keys)
+        right = dealt(self.cells, "cluster", "_centres", "_asks").select(*keys, "cluster", "unit").groupBy(*keys)
+
+        def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
+            none = pa.table({"id": pa.array([], pa.int64()), "cluster": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+            if not asked.num_rows or not held.num_rows:
+                return none
+            held = held.sort_by("cluster")
+            name, distance = _closest(_matrix(asked.column("unit")), _matrix(held.column("unit")), np.asarray(held.column("cluster")))
+            return pa.table({"id": asked.column("id"), "cluster": pa.array(name), "distance": pa.array(distance)})
+
+        best = F.min(F.struct("distance", "cluster"))
+        return left.cogroup(right).applyInArrow(compare, _FOUND).groupBy("id").agg(best.alias("_best")).select(
+            "id", "_best.cluster", "_best.distance")
 
 
 @dataclass
 class ClusterDetector:
+    """``centres``: (cluster, unit, round), a written table. ``offline`` and ``online``: clusters found when fitted, and since."""
+
     columns: list[str]
     idf: np.ndarray
-    centres: np.ndarray
+    centres: DataFrame
     max_distance: float
     offline: int
+    online: int
     rounds: int
 
     def transform(self, matrix: DataFrame) -> DataFrame:
@@ -81,45 +232,90 @@ class ClusterDetector:
         return score_by_vector(matrix, self.columns, self.score)
 
     def score(self, rows: DataFrame) -> DataFrame:
-        """The same row by row: the centres go by in blocks, each row keeps its best so far."""
-        scored = rows.select("*", F.lit(0).cast("bigint").alias("cluster"), F.lit(3.0).alias("score"))
-        for start in range(0, len(self.centres), CENTRES_AT_ONCE):
-            scored = _closer(scored, self.columns, self.idf, self.centres[start:start + CENTRES_AT_ONCE], start)
-        return scored.withColumn("pred", (F.col("score") > self.max_distance + 1e-9).cast("int"))
+        """The same row by row."""
+        held = written(rows.withColumn("id", F.monotonically_increasing_id()), "scored")
+        found = CentreIndex.of(self.centres).nearest(with_units(held, self.columns, self.idf, ["id"]))
+        return held.join(found, "id").select(
+            *rows.columns, "cluster", F.col("distance").alias("score"),
+            (F.col("distance") > self.max_distance + SLACK).cast("int").alias("pred"))
 
+    def summaries(self, matrix: DataFrame) -> DataFrame:
+        """(cluster, unit, sessions, width): the sessions of ``matrix`` nearest to each cluster, and the distance of the farthest."""
+        rows = self.score(distinct_vectors(matrix, self.columns))
+        held = rows.groupBy("cluster").agg(F.sum("weight").cast("bigint").alias("sessions"), F.max("score").alias("width"))
+        return self.centres.select("cluster", "unit").join(held, "cluster", "left").withColumn(
+            "sessions", F.coalesce("sessions", F.lit(0)))
 
-def _closer(rows: DataFrame, columns: list[str], idf: np.ndarray, block: np.ndarray, first: int) -> DataFrame:
-    """``cluster`` and ``score`` of ``rows`` replaced where a centre of the block is closer."""
-    centres = rows.sparkSession.sparkContext.broadcast(block)
+    def updated(self, normal: DataFrame) -> ClusterDetector:
+        """The detector after more normal sessions: what no cluster holds yet founds new ones. Weights of events stay."""
+        last = self.centres.agg(F.max("cluster")).first()[0]
+        rows = _directions(written(distinct_vectors(normal, self.columns), "distinct"), self.columns, self.idf, -1 if last is None else last)
+        known = CentreIndex.of(self.centres).nearest(rows)
+        left = written(rows.join(known.where(F.col("distance") > self.max_distance + SLACK).select("id"), "id", "left_semi"), "left")
+        found, rounds = _lead(left, self.max_distance, len(self.columns) + 1)
+        return replace(self, centres=written(self.centres.unionByName(found), "centres"), online=self.online + found.count(), rounds=rounds)
 
-    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            best, distance = nearest(unit_rows(batch[columns].to_numpy(float), idf), centres.value)
-            closer = distance < batch["score"].to_numpy()
-            yield batch.assign(cluster=np.where(closer, best + first, batch["cluster"]).astype("int64"),
-                               score=np.where(closer, distance, batch["score"]))
+    def save(self, path: str) -> None:
+        """Replace what is at ``path``; a detector may not be saved over the files it was loaded from."""
+        self.centres.write.mode("overwrite").parquet(f"{path}/centres")
+        SparkSession.active().createDataFrame(
+            [(self.columns, [float(x) for x in self.idf], self.max_distance, self.offline, self.online, self.rounds)],
+            _SETTINGS).write.mode("overwrite").parquet(f"{path}/settings")
+
+    @classmethod
+    def load(cls, path: str) -> ClusterDetector:
+        spark = SparkSession.active()
+        kept = spark.read.schema(_SETTINGS).parquet(f"{path}/settings").first()
+        return cls(list(kept["columns"]), np.array(kept["idf"]), spark.read.schema(_CENTRES).parquet(f"{path}/centres"),
+                   kept["max_distance"], kept["offline"], kept["online"], kept["rounds"])
 
-    return rows.mapInPandas(distances, ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes))
+
+_SETTINGS = "columns array<string>, idf array<double>, max_distance double, offline int, online int, rounds int"
+
+
+def _directions(rows: DataFrame, columns: list[str], idf: np.ndarray, after: int) -> DataFrame:
+    """(id, unit, weight) of distinct vectors; ids follow ``after``."""
+    numbered = rows.withColumn("id", F.monotonically_increasing_id() + F.lit(after + 1))
+    return written(with_units(numbered, columns, idf, ["id", "weight"]), "directions")
+
+
+def _steps(max_distance: float, width: int) -> list[float]:
+    """Sides of the cells, round by round; the diagonal of the last is the chord of ``max_distance``."""
+    last = float(np.sqrt(2.0 * (max_distance + SLACK / 2)) / np.sqrt(width))
+    return [*[s for s in (0.5**n for n in range(COARSE)) if s > last], last]
+
+
+def _cell(step: float) -> Column:
+    return F.transform("unit", lambda x: F.round(x / F.lit(step)).cast("bigint"))
+
+
+def _lead(rows: DataFrame, max_distance: float, width: int) -> tuple[DataFrame, int]:
+    """Leaders (cluster, unit, round) that have all of ``rows`` (id, unit, weight) within ``max_distance``, and the rounds taken."""
+    spark = rows.sparkSession
+    out = shared_path(spark, "leaders")
+    spark.createDataFrame([], _CENTRES).write.parquet(out)
+    left, steps = rows, _steps(max_distance, width)
+    number = 0
+    for number, step in enumerate(steps, 1):
+        if left.isEmpty():
+            number -= 1
+            break
+        # The heaviest of the cell, the first of equals. Combined before the shuffle.
+        heaviest = F.max_by(F.struct("id", "unit"), F.struct(F.col("weight"), -F.col("id")))
+        leaders = written(left.groupBy(_cell(step).alias("_cell")).agg(heaviest.alias("_lead")).select(
+            F.col("_lead.id").alias("cluster"), F.col("_lead.unit").alias("unit"), F.lit(number).alias("round")), "leaders")
+        leaders.write.mode("append").parquet(out)
+        if step == steps[-1]:
+            break
+        found = CentreIndex.of(leaders).nearest(left)
+        far = found.where(F.col("distance") > max_distance + SLACK).select("id")
+        left = written(left.join(far, "id", "left_semi"), "left")
+    return spark.read.schema(_CENTRES).parquet(out), number
 
 
-def fit_clusters(
-    normal: DataFrame, columns: list[str], max_distance: float = 0.3, sample: int = 1000, seed: int = 42,
-    weighting: str = "tf-idf",
-) -> ClusterDetector:
-    """Fit on normal sessions. A round looks only at the vectors left and the centres it has just found."""
-    rows = stage(distinct_vectors(normal, columns))
-    order = F.xxhash64(F.lit(seed).cast("bigint"), *columns)
+def fit_clusters(normal: DataFrame, columns: list[str], max_distance: float = 0.3, weighting: str = "tf-idf") -> ClusterDetector:
+    """Fit on normal sessions. A round looks only at the vectors left and the leaders it has just found."""
+    rows = written(distinct_vectors(normal, columns), "distinct")
     idf = idf_weights(rows, columns) if weighting == "tf-idf" else np.ones(len(columns))
-    model = ClusterDetector(columns, idf, np.zeros((0, len(columns) + 1)), max_distance, 0, 0)
-    left = rows
-    while True:
-        picked = left.orderBy(order, *columns).limit(sample).select(*columns).collect()
-        if not picked:
-            return model
-        units = unit_rows(np.array([list(r) for r in picked], float), model.idf)
-        found = agglomerate(units, max_distance)
-        model.centres = np.vstack([model.centres, found])
-        model.offline = model.offline or len(model.centres)
-        model.rounds += 1
-        fresh = ClusterDetector(columns, idf, found, max_distance, 0, 0)
-        left = stage(fresh.score(left.select(*rows.columns)).where(F.col("pred") == 1).select(*rows.columns))
+    centres, rounds = _lead(_directions(rows, columns, idf, -1), max_distance, len(columns) + 1)
+    return ClusterDetector(columns, idf, centres, max_distance, centres.count(), 0, rounds)

@@ -962,6 +962,16 @@ def log_clustering(spark, folder):
     return _flags(model, rows, (F.abs(F.round("score", 6)) + 0.0).alias("score"))
 
 
+@register("log_clustering_online", statement(
+    "SELECT round(closed / opened, 6) AS ratio, count(*) AS sessions FROM paired GROUP BY 1", "paired"))
+def log_clustering_online(spark, folder):
+    """Fitted on the sessions that balance, then told that the others are normal too: a cluster per direction."""
+    rows = V.paired_counts(spark, folder)
+    model = clustering.fit_clusters(rows.where(F.col("y") == 0), _PAIRED, max_distance=0.0, weighting="none")
+    return model.updated(rows.where(F.col("y") != 0)).summaries(rows).select(
+        F.round(F.col("unit")[1] / F.col("unit")[0], 6).alias("ratio"), "sessions")
+
+
 @register("isolation_forest")
 def isolation_forest(spark, folder):
     rows = V.daily_counts(spark, folder)

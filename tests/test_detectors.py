@@ -82,20 +82,62 @@ def test_pair_factors(x, expected):
 
 def test_clusters(matrix):
     normal = matrix.where("label = 0")
-    for sample in (1000, 3):  # with a tiny sample, several rounds are needed
-        model = clustering.fit_clusters(normal, COLUMNS, max_distance=0.02, sample=sample, weighting="none")
-        assert model.transform(normal).where("pred = 1").count() == 0
-        precision, recall = quality(model.transform(matrix))
-        assert precision == 1.0 and recall > 0.9
-    assert model.rounds > 1
-
-
-def test_linkage_keeps_members_near():
-    rng = np.random.default_rng(0)
-    units = clustering.unit_rows(rng.integers(0, 4, (60, 4)), np.ones(4))
-    centres = clustering.agglomerate(units, 0.2)
-    assert clustering.nearest(units, centres)[1].max() <= 0.2 + 1e-9
-    assert 1 < len(centres) < 60
+    model = clustering.fit_clusters(normal, COLUMNS, max_distance=0.02, weighting="none")
+    assert model.transform(normal).where("pred = 1").count() == 0
+    precision, recall = quality(model.transform(matrix))
+    assert precision == 1.0 and recall > 0.9
+    assert 1 < model.rounds <= clustering.COARSE + 1 and model.offline == model.centres.count()
+
+
+@pytest.fixture(scope="module")
+def directions(spark):
+    """Three thousand vectors without any pattern, one of them two hundred times."""
+    values = np.random.default_rng(0).integers(0, 7, (3000, 6))
+    values = np.vstack([values, np.repeat(values[:1], 200, axis=0)])
+    columns = [f"E{n}" for n in range(6)]
+    return spark.createDataFrame(pd.DataFrame(values, columns=columns)).persist(), columns
+
+
+@pytest.mark.parametrize("max_distance", [0.3, 0.02, 0.0])
+def test_every_vector_is_near_a_centre_and_the_nearest_is_found(directions, max_distance, monkeypatch):
+    """Against all distances; small blocks, so that cells are cut on both sides."""
+    rows, columns = directions
+    monkeypatch.setattr(clustering, "BLOCK_BYTES", 8_000)
+    model = clustering.fit_clusters(rows, columns, max_distance=max_distance, weighting="none")
+    found = model.transform(rows).toPandas()
+    centres = model.centres.orderBy("cluster").collect()
+    units = clustering.unit_rows(found[columns].to_numpy(float), np.ones(6))
+    distance = 1.0 - units @ np.array([r.unit for r in centres]).T
+    assert np.allclose(found.score, distance.min(axis=1), atol=1e-12) and found.pred.sum() == 0
+    assert model.rounds <= clustering.COARSE + 1
+    assert (max_distance == 0.3) == (len(centres) <= clustering.PIVOTS)
+
+
+def test_triangle_inequality_leaves_cells_out(directions):
+    rows, columns = directions
+    model = clustering.fit_clusters(rows, columns, max_distance=0.0, weighting="none")
+    index = clustering.CentreIndex.of(model.centres)
+    asked = model.centres.limit(500).select(F.col("cluster").alias("id"), "unit")
+    units = np.array([r.unit for r in asked.collect()])
+    open_ = index.may_hold(clustering._angles(units, index.pivots), np.full(len(units), 0.05))
+    assert open_.any(axis=1).all() and open_.mean() < 0.5
+
+
+def test_clusters_take_in_new_sessions_and_are_kept(directions, tmp_path):
+    rows, columns = directions
+    first, later = rows.where("E0 < 4"), rows.where("E0 >= 4")
+    model = clustering.fit_clusters(first, columns, max_distance=0.01, weighting="none")
+    assert model.transform(later).where("pred = 1").count() > 0
+    model.save(str(tmp_path / "m"))
+    grown = clustering.ClusterDetector.load(str(tmp_path / "m")).updated(later)
+    assert grown.offline == model.offline and grown.online > 0 and grown.centres.count() == grown.offline + grown.online
+    assert grown.transform(rows).where("pred = 1").count() == 0
+    assert grown.updated(later).online == grown.online
+    held = grown.summaries(rows).agg(F.sum("sessions"), F.max("width")).first()
+    assert held[0] == rows.count() and held[1] <= 0.01 + 1e-9
+    empty = clustering.fit_clusters(rows.limit(0), columns)
+    assert empty.offline == 0 and empty.transform(rows.limit(3)).where("pred = 1").count() == 3
+    assert empty.updated(first).online > 0
 
 
 def test_forest(matrix):
