@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logspark.operators import split
+from logspark.operators import selection, split
 from logspark.operators.rank import running_totals
 
 
@@ -51,6 +51,39 @@ def test_splits_shuffle_no_rows(scores):
         assert "Exchange" not in plan and "TakeOrdered" not in plan
 
 
+@pytest.mark.parametrize("seed", [None, 3])
+@pytest.mark.parametrize("kind", ["number", "text", "date", "holes"])
+def test_place_is_found_bin_by_bin(spark, seed, kind, monkeypatch):
+    """Against a sort, with bins of a few rows; no pass sorts or moves the table."""
+    monkeypatch.setattr(selection, "SMALL", 20)
+    monkeypatch.setattr(selection, "BINS", 6)
+    monkeypatch.setattr(selection, "BITS", 3)
+    keys = spark.range(700).select({
+        "number": F.col("id") * 3 - 900, "text": F.concat(F.lit("blk_-"), F.col("id") * 7919 % 1009, F.lit("é")),
+        "date": F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")),
+        "holes": F.when(F.col("id") % 2 == 0, F.col("id"))}[kind].alias("key")).repartition(3).persist()
+    order = [tuple(r[0]) for r in keys.select(split.place_of("key", seed)).orderBy(*split.order_of("key", seed)).collect()]
+    for rank in (1, 2, 333, 350, 351, 699, 700):
+        assert tuple(selection.place_at(keys, "key", seed, rank, 700)) == order[rank - 1]
+    keys.unpersist()
+
+
+def test_a_key_that_repeats_stays_together(spark, monkeypatch):
+    monkeypatch.setattr(selection, "SMALL", 20)
+    keys = spark.range(500).select(F.when(F.col("id") < 400, F.lit("same")).otherwise(F.col("id").cast("string")).alias("key"))
+    for seed in (None, 3):
+        assert split.cap_traces(keys, "key", 450, seed).count() in range(400, 501)
+
+
+def test_input_is_worked_out_once(spark):
+    """A column that differs in each evaluation is the same in borders and rows."""
+    once = spark.range(1000).select(F.rand().alias("id"), F.lit(0).alias("y"))
+    halves = split.stratified_split(once, "id", "y", seed=None)
+    top = halves.groupBy("split").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
+    found = {r.split: r for r in top.collect()}
+    assert found["train"].n == found["test"].n == 500 and found["train"].high < found["test"].low
+
+
 def test_positional_split(scores):
     sizes = {r.split: r["count"] for r in split.positional_split(scores.limit(25), "id", 0.1, 0.3).groupBy("split").count().collect()}
     assert sizes == {"train": 16, "val": 2, "test": 7}
