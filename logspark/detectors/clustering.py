@@ -19,14 +19,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.detectors.vectors import distinct_vectors, idf_weights, score_by_vector
-from logspark.session import shared_path, written
+from logspark.session import written
 
 #: Rounds with cells that are wider than a cluster.
 COARSE = 5
@@ -233,11 +235,32 @@ class ClusterDetector:
 
     def score(self, rows: DataFrame) -> DataFrame:
         """The same row by row."""
-        held = written(rows.withColumn("id", F.monotonically_increasing_id()), "scored")
-        found = CentreIndex.of(self.centres).nearest(with_units(held, self.columns, self.idf, ["id"]))
-        return held.join(found, "id").select(
-            *rows.columns, "cluster", F.col("distance").alias("score"),
-            (F.col("distance") > self.max_distance + SLACK).cast("int").alias("pred"))
+        if self.index.cells is None:
+            scored = self._score_among_pivots(rows)
+        else:
+            held = written(rows.withColumn("id", F.monotonically_increasing_id()), "scored")
+            found = self.index.nearest(with_units(held, self.columns, self.idf, ["id"]))
+            scored = held.join(found, "id").select(*rows.columns, "cluster", F.col("distance").alias("score"))
+        return scored.withColumn("pred", (F.col("score") > self.max_distance + SLACK).cast("int"))
+
+    @cached_property
+    def index(self) -> CentreIndex:
+        return CentreIndex.of(self.centres)
+
+    def _score_among_pivots(self, rows: DataFrame) -> DataFrame:
+        """Few clusters are in all tasks: nothing is written or joined."""
+        columns, sent = self.columns, rows.sparkSession.sparkContext.broadcast((self.idf, self.index.pivots, self.index.names))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            idf, pivots, names = sent.value
+            for batch in batches:
+                name, distance = np.full(len(batch), -1, np.int64), np.full(len(batch), NOWHERE)
+                if len(names):
+                    name, distance = _closest(unit_rows(batch[columns].to_numpy(float), idf), pivots, names)
+                yield batch.assign(cluster=name, score=distance)
+
+        kinds = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
+        return rows.mapInPandas(run, f"{kinds}, cluster bigint, score double")
 
     def summaries(self, matrix: DataFrame) -> DataFrame:
         """(cluster, unit, sessions, width): the sessions of ``matrix`` nearest to each cluster, and the distance of the farthest."""
@@ -249,8 +272,8 @@ class ClusterDetector:
     def updated(self, normal: DataFrame) -> ClusterDetector:
         """The detector after more normal sessions: what no cluster holds yet founds new ones. Weights of events stay."""
         last = self.centres.agg(F.max("cluster")).first()[0]
-        rows = _directions(written(distinct_vectors(normal, self.columns), "distinct"), self.columns, self.idf, -1 if last is None else last)
-        known = CentreIndex.of(self.centres).nearest(rows)
+        rows = _directions(distinct_vectors(normal, self.columns), self.columns, self.idf, -1 if last is None else last)
+        known = self.index.nearest(rows)
         left = written(rows.join(known.where(F.col("distance") > self.max_distance + SLACK).select("id"), "id", "left_semi"), "left")
         found, rounds = _lead(left, self.max_distance, len(self.columns) + 1)
         return replace(self, centres=written(self.centres.unionByName(found), "centres"), online=self.online + found.count(), rounds=rounds)
@@ -291,31 +314,29 @@ def _cell(step: float) -> Column:
 
 def _lead(rows: DataFrame, max_distance: float, width: int) -> tuple[DataFrame, int]:
     """Leaders (cluster, unit, round) that have all of ``rows`` (id, unit, weight) within ``max_distance``, and the rounds taken."""
-    spark = rows.sparkSession
-    out = shared_path(spark, "leaders")
-    spark.createDataFrame([], _CENTRES).write.parquet(out)
+    found: list[DataFrame] = []
     left, steps = rows, _steps(max_distance, width)
-    number = 0
     for number, step in enumerate(steps, 1):
         if left.isEmpty():
-            number -= 1
             break
         # The heaviest of the cell, the first of equals. Combined before the shuffle.
         heaviest = F.max_by(F.struct("id", "unit"), F.struct(F.col("weight"), -F.col("id")))
         leaders = written(left.groupBy(_cell(step).alias("_cell")).agg(heaviest.alias("_lead")).select(
             F.col("_lead.id").alias("cluster"), F.col("_lead.unit").alias("unit"), F.lit(number).alias("round")), "leaders")
-        leaders.write.mode("append").parquet(out)
-        if step == steps[-1]:
-            break
-        found = CentreIndex.of(leaders).nearest(left)
-        far = found.where(F.col("distance") > max_distance + SLACK).select("id")
-        left = written(left.join(far, "id", "left_semi"), "left")
-    return spark.read.schema(_CENTRES).parquet(out), number
+        found.append(leaders)
+        if step != steps[-1]:
+            near = CentreIndex.of(leaders).nearest(left)
+            far = near.where(F.col("distance") > max_distance + SLACK).select("id")
+            left = written(left.join(far, "id", "left_semi"), "left")
+    none = rows.sparkSession.createDataFrame([], _CENTRES)
+    return reduce(DataFrame.unionByName, found) if found else none, len(found)
 
 
 def fit_clusters(normal: DataFrame, columns: list[str], max_distance: float = 0.3, weighting: str = "tf-idf") -> ClusterDetector:
     """Fit on normal sessions. A round looks only at the vectors left and the leaders it has just found."""
-    rows = written(distinct_vectors(normal, columns), "distinct")
-    idf = idf_weights(rows, columns) if weighting == "tf-idf" else np.ones(len(columns))
+    rows, idf = distinct_vectors(normal, columns), np.ones(len(columns))
+    if weighting == "tf-idf":
+        rows = written(rows, "distinct")
+        idf = idf_weights(rows, columns)
     centres, rounds = _lead(_directions(rows, columns, idf, -1), max_distance, len(columns) + 1)
     return ClusterDetector(columns, idf, centres, max_distance, centres.count(), 0, rounds)

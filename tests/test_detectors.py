@@ -91,8 +91,8 @@ def test_clusters(matrix):
 
 @pytest.fixture(scope="module")
 def directions(spark):
-    """Three thousand vectors without any pattern, one of them two hundred times."""
-    values = np.random.default_rng(0).integers(0, 7, (3000, 6))
+    """Twelve hundred vectors without any pattern, one of them two hundred times."""
+    values = np.random.default_rng(0).integers(0, 7, (1200, 6))
     values = np.vstack([values, np.repeat(values[:1], 200, axis=0)])
     columns = [f"E{n}" for n in range(6)]
     return spark.createDataFrame(pd.DataFrame(values, columns=columns)).persist(), columns
@@ -102,7 +102,7 @@ def directions(spark):
 def test_every_vector_is_near_a_centre_and_the_nearest_is_found(directions, max_distance, monkeypatch):
     """Against all distances; small blocks, so that cells are cut on both sides."""
     rows, columns = directions
-    monkeypatch.setattr(clustering, "BLOCK_BYTES", 8_000)
+    monkeypatch.setattr(clustering, "BLOCK_BYTES", 4_000)
     model = clustering.fit_clusters(rows, columns, max_distance=max_distance, weighting="none")
     found = model.transform(rows).toPandas()
     centres = model.centres.orderBy("cluster").collect()
