@@ -1038,15 +1038,21 @@ def sequence_classifier(spark, folder):
     return model.transform(rows.where(F.col("split") == "test")).select("session", "y", "pred")
 
 
+def _marked(label: Column) -> Column:
+    """Events of days that end with an error are events of their own: every setting can tell them apart, at any scale."""
+    return F.when(label == 1, 10).otherwise(0)
+
+
 @register("model_selection", statement(
     "SELECT cast(epoch AS int) AS epoch, split, count(*) FILTER (WHERE y = 0) AS tn, 0::bigint AS fp, 0::bigint AS fn, "
     "count(*) FILTER (WHERE y = 1) AS tp, 1.0::double AS accuracy FROM (SELECT y, CASE WHEN k <= n - 2 * t THEN 'train' WHEN "
     "k <= n - t THEN 'val' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (ORDER BY session) AS k, count(*) OVER () "
-    "AS n, cast(floor(count(*) OVER () * 0.1) AS bigint) AS t FROM ends) e) s, range(1, 3) r(epoch) "
+    "AS n, cast(floor(count(*) OVER () * 0.1) AS bigint) AS t FROM ends) e) s, range(1, 4) r(epoch) "
     "WHERE split <> 'test' OR epoch = 1 GROUP BY ALL", ends=_ENDS))
 def model_selection(spark, folder):
-    found, _ = sequence.select_model(
-        _labelled_traces(spark, folder), "session", shared_path(spark, "model"), regs=(0.01, 0.001), seed=None)
+    traces = _labelled_traces(spark, folder)
+    marked = F.transform("tokens", lambda t: F.when(t > 0, t + _marked(F.col("y"))).otherwise(t))
+    found, _ = sequence.select_model(traces.withColumn("tokens", marked), "session", shared_path(spark, "model"), seed=None)
     return found.select("epoch", "split", "tn", "fp", "fn", "tp", "accuracy")
 
 
@@ -1054,12 +1060,13 @@ def model_selection(spark, folder):
 def save_best_model(spark, folder):
     """Saved, loaded again and asked about raw events."""
     days = _days(spark, folder)
+    last = days.groupBy("session").agg((F.max_by("event", "line_id") == "error").cast("int").alias("y"))
+    days = days.join(last, "session").withColumn("event", F.concat("event", _marked(F.col("y")).cast("string"))).drop("y")
     codes = encode.lexical_rank(days, "event").withColumn("code", F.col("code") + 1)
     tokens = sequences.padded_tokens(
         encode.join_codes(days, codes, "event").withColumn("_token", F.col("code") + 1), "session", ["line_id"], "_token", 64)
-    last = days.groupBy("session").agg((F.max_by("event", "line_id") == "error").cast("int").alias("y"))
     path = shared_path(spark, "model")
-    sequence.select_model(tokens.join(last, "session"), "session", path, regs=(0.01,), length=64, codes=codes)
+    sequence.select_model(tokens.join(last, "session"), "session", path, length=64, codes=codes)
     return sequence.SequenceClassifier.load(path).score_events(days, "session", ["line_id"], "event").select("session", "pred")
 
 

@@ -216,9 +216,46 @@ def test_saved_classifier_scores_raw_events(spark, tmp_path):
 def test_terms_do_not_collide(spark):
     data = [(f"s{n}", [a, b], 0) for n, (a, b) in enumerate((a, b) for a in range(1, 31) for b in range(1, 31))]
     traces = spark.createDataFrame(data, "block_id string, tokens array<bigint>, y int")
-    terms = sequence.vocabulary(traces)
-    assert len(set(terms.vocabulary)) == len(terms.vocabulary) == 30 + 30 + 900
-    assert sequence.vectorise(traces, terms).select("features").distinct().count() == 900
+    shapes = sequence.shapes_of(traces, "y")
+    terms = sequence.term_index(shapes)
+    found = terms.orderBy("code").collect()
+    assert [r.code for r in found] == list(range(30 + 30 + 900)) and [r.term for r in found] == sorted(r.term for r in found)
+    vectors = sequence.vectorise(shapes, terms)
+    assert vectors.select("codes").distinct().count() == 900 == vectors.count()
+    assert sequence.term_index(shapes, min_count=30).count() == 60
+
+
+def test_all_settings_are_fitted_at_once(spark, monkeypatch):
+    """Losses at the optimum against a plain fit of each setting, and no more passes than the slowest one takes."""
+    rng = np.random.default_rng(4)
+    data = [(rng.integers(0, 4, 5).tolist(), int(rng.random() < 0.3)) for _ in range(400)]
+    traces = spark.createDataFrame(data, "tokens array<bigint>, y int")
+    passes = []
+    plain = sequence._losses
+    monkeypatch.setattr(sequence, "_losses", lambda rows, label, points: passes.append(len(points)) or plain(rows, label, points))
+    regs = (0.1, 0.01, 0.001)
+    models = sequence.fit_all(traces, "y", regs)
+    assert passes[0] == 3 and len(passes) < 60
+    rows = traces.select("tokens", "y", sequence.trace_terms(F.col("tokens")).alias("terms")).collect()
+    names = sorted({t for r in rows for t in r.terms})
+    x = np.array([[r.terms.count(t) for t in names] for r in rows], float)
+    y = np.array([r.y for r in rows])
+    scale = x.std(axis=0)
+
+    def loss(weights, constant, reg):
+        sign = 2 * y - 1
+        return np.logaddexp(0, -sign * (x @ weights + constant)).mean() + reg / 2 * ((weights * scale) ** 2).sum()
+
+    for reg, model in zip(regs, models):
+        own = {r.term: r.weight for r in model.weights.collect()}
+        weights = np.array([own[t] for t in names])
+        best = loss(weights, model.constant, reg)
+        for _ in range(60):  # no direction leads further down
+            step = rng.normal(size=len(names)) * 1e-3
+            assert loss(weights + step, model.constant, reg) > best - 1e-5
+        prob = {tuple(r.tokens): r.prob for r in model.transform(traces).collect()}
+        want = 1 / (1 + np.exp(-(x @ weights + model.constant)))
+        assert np.allclose([prob[tuple(r.tokens)] for r in rows], want)
 
 
 def test_report_finds_broken_relations(spark):
