@@ -4,17 +4,23 @@ from brute import messy
 from logspark.llm import decontaminate
 
 
-def shingles(text):
-    words = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
-    return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+def words_of(text):
+    return re.sub(r"[\W_]+", " ", (text or "").lower()).split()
+
+
+def runs(words, size):
+    return {" ".join(words[i:i + size]) for i in range(len(words) - size + 1)} if size else set()
 
 
 def brute(docs, items, threshold=0.8):
-    held = {i: shingles(t) for i, t in docs}
+    """Items of fewer than five words are one run of their own size, and looked for as that."""
+    held = {i: words_of(t) for i, t in docs}
+    cut = {size: {i: runs(w, size) for i, w in held.items()} for size in {min(5, len(words_of(t))) for _, t in items}}
     found = set()
     for k, t in items:
-        q = shingles(t)
-        for i, d in held.items():
+        words = words_of(t)
+        q = runs(words, min(5, len(words)))
+        for i, d in cut[min(5, len(words))].items():
             if q and len(q & d) / len(q) >= threshold:
                 found.add((i, k, len(q & d), len(q)))
     return found
