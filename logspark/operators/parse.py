@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import re
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from logspark.functions import catalog
@@ -47,29 +51,121 @@ def structured_lines(lines: DataFrame) -> DataFrame:
 
 #: Branches of one CASE; a longer catalogue is several of them, so that generated code stays small.
 BRANCHES = 200
+#: Length of the pieces of text that the index of a long catalogue is made of.
+GRAM = 4
+#: Catalogues up to this length are settled by searching each literal in the line.
+SHORT = 60
+
+
+def literal_runs(pattern: str) -> list[str]:
+    """Texts of ASCII characters that every match of a pattern holds, in lower case; none where that isn't plain to see.
+
+    What is optional, repeated, in a group or a class, or an escape with a meaning of its own ends a run.
+    """
+    if re.search(r"\(\?[a-z]*x|\\[QEcx0-9pPu]|(?<!\\)\|", pattern):
+        return []
+    runs, run, at, depth = [], "", 0, 0
+    while at < len(pattern):
+        char = pattern[at]
+        literal = None
+        if char == "\\" and at + 1 < len(pattern):
+            at += 1
+            literal = None if pattern[at].isalnum() else pattern[at]
+        elif char == "[":
+            at += 1 if pattern[at + 1:at + 2] != "^" else 2
+            inside = 0
+            while at + 1 < len(pattern) and (pattern[at] != "]" or inside == 0):
+                at += 2 if pattern[at] == "\\" else 1
+                inside += 1
+        elif char in "()":
+            depth += 1 if char == "(" else -1
+        elif char == "{":
+            at = max(at, pattern.find("}", at))
+        elif char not in ".^$*+?":
+            literal = char
+        following = pattern[at + 1:at + 2]
+        if literal is not None and depth == 0 and literal.isascii() and following not in ("?", "*", "{"):
+            run += literal
+            if following != "+":
+                at += 1
+                continue
+        runs.append(run)
+        run = ""
+        at += 1
+    return [r.lower() for r in [*runs, run] if r]
+
+
+def _guards(patterns: list[str]) -> list[str | None]:
+    """A text of each pattern that a line must hold: the longest, or in a long catalogue the piece that fewest patterns have."""
+    runs = [literal_runs(p) for p in patterns]
+    if len(patterns) <= SHORT:
+        return [max(own, key=len) if own else None for own in runs]
+    pieces = [{r[n:n + GRAM] for r in own for n in range(len(r) - GRAM + 1)} for own in runs]
+    often = Counter(piece for own in pieces for piece in own)
+    return [min(own, key=lambda piece: (often[piece], piece)) if own else None for own in pieces]
 
 
 def match_catalogue(parsed: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Events from a user's table ``(priority, event_id, pattern, template)``: lowest priority wins.
 
-    The patterns become literals: no join, no shuffle, each regex compiled once, the line that matches carries
-    event and template of its own row. A catalogue is code, not data: its rows come to the driver.
+    The patterns become literals: no join, no shuffle, the line that matches carries event and template of its own row.
+    A catalogue is code, not data: its rows come to the driver.
+
+    A regex only runs on lines that hold a text which the pattern can't match without. A long catalogue has an index of
+    such texts, one piece of ``GRAM`` characters per pattern, the rarest it has: the pieces of a line are looked up in the set of
+    all, and only patterns whose piece is found are tried. Patterns without such a text are tried on every line.
     """
     rows = catalogue.orderBy("priority", "event_id", "pattern").collect()
-    cases = []
-    for start in range(0, len(rows), BRANCHES):
-        case = None
-        for row in rows[start:start + BRANCHES]:
-            found = F.struct(F.lit(row["event_id"]).alias("event_id"), F.lit(row["template"]).alias("template"))
-            hit = F.col("content").rlike("(?diu)" + row["pattern"])
-            case = F.when(hit, found) if case is None else case.when(hit, found)
-        cases.append(case)
+    guards = _guards([row["pattern"] for row in rows])
+    # One-element generators: the line is folded, and its pieces are looked up, once.
+    line = parsed.select("*", F.explode(F.array(F.expr(C.fold_case("content")))).alias("_folded"))
+    indexed = [n for n, guard in enumerate(guards) if guard is not None] if len(rows) > SHORT else []
+    cases = _cases(rows, guards, [n for n in range(len(rows)) if n not in set(indexed)])
+    if not indexed:
+        numbered = line.withColumn("_n", F.coalesce(*cases) if cases else F.lit(None).cast("int"))
+    else:
+        line = line.select("*", F.explode(F.array(_indexed(rows, guards, indexed))).alias("_indexed"))
+        numbered = line.withColumn("_n", F.least("_indexed", F.coalesce(*cases)) if cases else F.col("_indexed"))
+    texts = _literal([{"event_id": row["event_id"], "template": row["template"]} for row in rows],
+                     "array<struct<event_id:string,template:string>>")
     unmatched = F.struct(
         F.lit(catalog.UNMATCHED_EVENT).alias("event_id"),
         F.substring("content", 1, catalog.UNMATCHED_WIDTH).alias("template"))
-    # A one-element generator: the match is worked out once for both fields.
-    found = F.inline(F.array(F.coalesce(*cases, unmatched))).alias("event_id", "event_template")
-    return parsed.select("*", found)
+    found = numbered.select("*", F.explode(F.array(F.col("_n"))).alias("_row"))
+    return found.select(*parsed.columns, F.inline(F.array(F.when(F.col("_row").isNotNull(), F.get(texts, F.col("_row"))).otherwise(
+        unmatched))).alias("event_id", "event_template"))
+
+
+def _literal(value: object, schema: str) -> Column:
+    """A nested constant as one literal, however long."""
+    return F.from_json(F.lit(json.dumps({"value": value})), f"value {schema}")["value"]
+
+
+def _cases(rows: list[Row], guards: list[str | None], only: list[int]) -> list[Column]:
+    """Number of the first pattern of ``only`` that matches; a CASE of ``BRANCHES`` each."""
+    cases = []
+    for start in range(0, len(only), BRANCHES):
+        case = None
+        for n in only[start:start + BRANCHES]:
+            hit = F.col("content").rlike("(?diu)" + rows[n]["pattern"])
+            if guards[n] is not None:
+                hit = F.contains("_folded", F.lit(guards[n])) & hit
+            case = F.when(hit, n) if case is None else case.when(hit, n)
+        cases.append(case)
+    return cases
+
+
+def _indexed(rows: list[Row], guards: list[str | None], only: list[int]) -> Column:
+    """Number of the first pattern of ``only`` that matches, of those whose piece the line holds."""
+    by_piece: dict[str, list[int]] = {}
+    for n in only:
+        by_piece.setdefault(guards[n], []).append(n)
+    index = _literal(by_piece, "map<string,array<int>>")
+    patterns = _literal(["(?diu)" + row["pattern"] for row in rows], "array<string>")
+    pieces = F.regexp_extract_all("_folded", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    known = F.array_distinct(F.filter(pieces, lambda piece: piece.isin(list(by_piece))))
+    tried = F.flatten(F.transform(known, lambda piece: F.try_element_at(index, piece)))
+    return F.array_min(F.filter(tried, lambda n: F.rlike(F.col("content"), F.get(patterns, n))))
 
 
 def template_stats(events: DataFrame) -> DataFrame:

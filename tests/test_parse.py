@@ -2,6 +2,8 @@
 
 import re
 
+import random
+
 import pytest
 from conftest import rows
 from pyspark.errors import PySparkException
@@ -106,6 +108,35 @@ def test_catalogue_of_any_length(spark, monkeypatch):
     assert {r.event_id for r in empty.select("event_id").collect()} == {"E0"}
 
 
+@pytest.mark.parametrize(("pattern", "runs"), [
+    ("(?-i)Receiv", ["receiv"]), ("abc+d", ["abc", "d"]), ("ab?c", ["a", "c"]), ("a{2}bcd", ["bcd"]), ("x|y", []), ("", []),
+    ("foo(bar|b)baz", []), ("foo(bar)?baz", ["foo", "baz"]), (r"BLOCK\* Name.+size", ["block* name", "size"]), (r"\d+ items", [" items"]),
+    ("[abc]de[^]]fg", ["de", "fg"]), ("Stra\u00dfe", ["stra", "e"]), (r"\Qa.b\E", []), ("(?x)a b", []), (r"^a\[b$", ["a[b"])])
+def test_literal_runs(pattern, runs):
+    assert parse.literal_runs(pattern) == runs
+
+
+def test_a_long_catalogue_tries_what_the_line_holds(spark, monkeypatch):
+    """With and without index the same; patterns without a piece of their own are tried everywhere."""
+    rng = random.Random(1)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "s\u212ay", "BLOCK"]
+    lines = [(n, " ".join(rng.choice(words) + rng.choice(["", "1", "22"]) for _ in range(rng.randrange(9)))) for n in range(400)] + [(999, None)]
+    patterns = ["alpha1.+beta", "gam+a22", "[bd]e(ta|lta)1 om", r"\d\d", "SKY1", "^omega$", "o", "x|y", "block22", "gamma beta1"]
+    catalogue = spark.createDataFrame([(n, f"X{n}", p, p) for n, p in enumerate(patterns)],
+                                      "priority int, event_id string, pattern string, template string")
+    parsed = spark.createDataFrame(lines, "line_id bigint, content string")
+    short = parse.match_catalogue(parsed, catalogue)
+    plain = parsed
+    for n, pattern in reversed(list(enumerate(patterns))):
+        before = F.col("event_id") if "event_id" in plain.columns else F.lit("E0")
+        plain = plain.withColumn("event_id", F.when(F.col("content").rlike("(?diu)" + pattern), f"X{n}").otherwise(before))
+    want = rows(plain.select("line_id", "event_id"))
+    assert rows(short.select("line_id", "event_id")) == want and len({w[1] for w in want}) > 6
+    monkeypatch.setattr(parse, "SHORT", 0)
+    assert rows(parse.match_catalogue(parsed, catalogue).select("line_id", "event_id")) == want
+    assert short.columns == ["line_id", "content", "event_id", "event_template"]
+
+
 def test_any_decimal_digit_is_part_of_a_key(spark):
     text = spark.createDataFrame([("a blk_-\u0661\u0662 b blk_7 c blk_x",)], "content string")
     assert text.select(C.blocks_all(F.col("content"))).first()[0] == ["blk_-\u0661\u0662", "blk_7"]
