@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from logspark.detectors.kept import keep_settings, kept_settings
 from logspark.detectors.vectors import distinct_vectors, score_by_vector
 from logspark.operators.rank import running_totals
 
@@ -62,6 +63,16 @@ class IsolationForest:
         return score_by_vector(matrix, self.columns, self.score).withColumn(
             "pred", (F.col("score") > self.threshold).cast("int"))
 
+    def save(self, path: str) -> None:
+        """Replace what is at ``path``. Nodes are a table, as many as trees and samples give."""
+        SparkSession.active().createDataFrame(self.nodes, _NODES).write.mode("overwrite").parquet(f"{path}/nodes")
+        keep_settings(path, {name: value for name, value in vars(self).items() if name != "nodes"})
+
+    @classmethod
+    def load(cls, path: str) -> IsolationForest:
+        nodes = SparkSession.active().read.parquet(f"{path}/nodes").toPandas()
+        return cls(nodes=nodes[[part.split(" ")[0] for part in _NODES.split(", ")]], **kept_settings(path))
+
     def score(self, rows: DataFrame) -> DataFrame:
         """Add ``score`` row by row."""
         columns, scale = self.columns, average_path(self.sample)

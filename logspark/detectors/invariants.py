@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logspark.detectors.kept import keep_settings, kept_settings
 from logspark.detectors.vectors import distinct_vectors, gram, weighted_sums
+from logspark.session import written
 
 Pair = tuple[str, str, int, int]  # columns i and j, factors a and b of a*i + b*j = 0
 
@@ -25,6 +27,15 @@ class InvariantDetector:
     def transform(self, matrix: DataFrame) -> DataFrame:
         return flag_violations(matrix, self.invariants)
 
+    def save(self, path: str) -> None:
+        """Replace what is at ``path``."""
+        keep_settings(path, vars(self))
+
+    @classmethod
+    def load(cls, path: str) -> InvariantDetector:
+        kept = kept_settings(path)
+        return cls(**{**kept, "invariants": [tuple(pair) for pair in kept["invariants"]]})
+
 
 def broken(pair: Pair) -> Column:
     first, second, a, b = pair
@@ -106,16 +117,13 @@ def fit_invariants(
 
     Three passes over the distinct vectors, whatever the number of candidate pairs.
     """
-    rows = distinct_vectors(matrix, columns).persist()
-    try:
-        products = gram(rows, columns)[1:, 1:]
-        dimension = space_dimension(rows, columns, products, keep, epsilon)
-        candidates = candidate_pairs(products, columns)
-        if not candidates:
-            return InvariantDetector(columns, dimension, [], [], [])
-        share, share_nonzero = supports(rows, columns, candidates)
-    finally:
-        rows.unpersist()
+    rows = written(distinct_vectors(matrix, columns), "distinct")
+    products = gram(rows, columns)[1:, 1:]
+    dimension = space_dimension(rows, columns, products, keep, epsilon)
+    candidates = candidate_pairs(products, columns)
+    if not candidates:
+        return InvariantDetector(columns, dimension, [], [], [])
+    share, share_nonzero = supports(rows, columns, candidates)
     chosen = [n for n in range(len(candidates)) if share[n] >= keep][:dimension]
     return InvariantDetector(
         columns, dimension, [candidates[n] for n in chosen],

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from logspark.detectors.kept import keep_settings, kept_settings
 from logspark.operators.sequences import next_event_pairs
 from logspark.operators.skew import DEFAULT, Limits
 from logspark.session import sized
@@ -54,6 +55,19 @@ class NextEventDetector:
             self.key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pairs", "unexpected", "pred")])
 
 
+    def save(self, path: str) -> None:
+        """Replace what is at ``path``."""
+        self.followers.write.mode("overwrite").parquet(f"{path}/followers")
+        keep_settings(path, {"key": self.key, "order": self.order, "event": self.event, "history": self.history,
+                             "limits": vars(self.limits)})
+
+    @classmethod
+    def load(cls, path: str) -> NextEventDetector:
+        kept = kept_settings(path)
+        followers = SparkSession.active().read.parquet(f"{path}/followers")
+        return cls(**{**kept, "followers": sized(followers), "limits": Limits(**kept["limits"])})
+
+
 def fit_next_events(
     normal: DataFrame, key: str, order: list[str], event: str, history: int = 10, g: int = 9,
     limits: Limits = DEFAULT,

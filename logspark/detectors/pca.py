@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logspark.detectors.kept import keep_settings, kept_settings
 from logspark.detectors.vectors import distinct_vectors, dot, gram, idf_weights
 
 # Fixed value: normal deviate of the 99.9 % confidence level of the threshold.
@@ -35,6 +36,16 @@ class PcaDetector:
         return matrix.withColumn("score", score).withColumn(
             "pred", (F.col("score") > self.threshold).cast("int"))
 
+    def save(self, path: str) -> None:
+        """Replace what is at ``path``."""
+        keep_settings(path, vars(self))
+
+    @classmethod
+    def load(cls, path: str) -> PcaDetector:
+        kept = kept_settings(path)
+        components = np.array(kept["components"], float).reshape(-1, len(kept["columns"]))
+        return cls(**{**kept, "components": components, "scale": np.array(kept["scale"]), "mean": np.array(kept["mean"])})
+
 
 def q_statistic(rest: np.ndarray, c_alpha: float = C_ALPHA) -> float:
     """Threshold from the eigenvalues outside the subspace (Jackson and Mudholkar, 1979)."""

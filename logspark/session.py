@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,32 +40,32 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    Where it is unset, a folder below the warehouse, which the driver and all executors share too.
-    One rule for every master; no folder of a single machine is ever made up here.
+    Where it is unset, a folder below the warehouse. On a cluster that is an error if the warehouse is a folder of one
+    machine: other executors could not read what is written there.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+        if not context.master.startswith("local") and re.match(r"(file:|/|[^:]+$)", folder):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder; what is written there is taken away when the Python session ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _remove_at_exit(spark, path)
+    return path
 
 
 def written(df: DataFrame, name: str = "staged") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: columns can still be pruned, filters pushed down.
-
-    The files are taken away when the Python session ends.
-    """
+    """``df`` as a Parquet table in the shared folder: columns can still be pruned, filters pushed down."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,7 +79,7 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def remove_staged(spark: SparkSession) -> None:
-    """Delete the tables that ``written`` made, if the session still runs."""
+    """Delete what was written below the paths that ``shared_path`` gave, if the session still runs."""
     try:
         context = spark.sparkContext
         for path in sorted(_STAGED):

@@ -162,6 +162,27 @@ def test_supervised(matrix, kind):
     assert precision > 0.95 and recall > 0.95
 
 
+def test_fitted_detectors_are_kept(spark, matrix, tmp_path):
+    """What was fitted on one day scores the next."""
+    fitted = {
+        "pca": pca.fit_pca(matrix, COLUMNS, components=2), "invariants": invariants.fit_invariants(matrix, COLUMNS, keep=0.9),
+        "clusters": clustering.fit_clusters(matrix, COLUMNS, max_distance=0.02),
+        "forest": forest.fit_forest(matrix, COLUMNS, "block_id", trees=10, sample=64),
+        **{kind: supervised.fit_supervised(matrix, COLUMNS, "label", kind) for kind in supervised.KINDS}}
+    for name, model in fitted.items():
+        for _ in range(2):  # replaced when saved again
+            model.save(str(tmp_path / name))
+        again = type(model).load(str(tmp_path / name))
+        columns = ["block_id", "score", "pred"]
+        assert sorted(map(tuple, again.transform(matrix).select(columns).collect())) == sorted(
+            map(tuple, model.transform(matrix).select(columns).collect())), name
+    events = spark.createDataFrame([(f"b{n}", k, e) for n in range(5) for k, e in enumerate("abcab")], "block_id string, line_id bigint, event string")
+    model = next_event.fit_next_events(events, "block_id", ["line_id"], "event", history=2, g=1)
+    model.save(str(tmp_path / "next"))
+    again = next_event.NextEventDetector.load(str(tmp_path / "next"))
+    assert again.limits == model.limits and again.transform(events).collect() == model.transform(events).collect()
+
+
 def test_report(matrix):
     found = report.benchmark_report(matrix, COLUMNS, "block_id", "label", contamination=0.05, max_distance=0.1).collect()
     assert len(found) == 14 and {r.split for r in found} == {"train", "test"}
