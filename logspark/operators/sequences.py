@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from logspark.functions import columns as C
+from logspark.operators.rank import running_totals
 from logspark.operators.skew import DEFAULT, Limits, over_sessions
 
 
+#: Longest tail that Spark's own limit per task and key is used for, by default.
+TASK_LIMIT = 1_000
+
+
 def last_n_events(events: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """The trailing ``n`` events of each session, with ``from_end`` 1 for the last one.
 
-    Spark keeps at most ``n`` rows per key and task before the shuffle, so long sessions are cheap.
+    Spark keeps at most ``n`` rows per key and task before the shuffle, so long sessions are cheap. It does so up to
+    ``TASK_LIMIT`` rows; a longer tail is cut from distributed ranks, where a session of any length is spread over many tasks.
     """
+    if n > TASK_LIMIT:
+        ranked = running_totals(events, [F.desc(c) for c in order], within=[key])
+        return ranked.where(F.col("rank") <= n).withColumn("from_end", F.col("rank").cast("int")).select(*events.columns, "from_end")
     last = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     return events.withColumn("from_end", F.row_number().over(last)).where(F.col("from_end") <= n)
 

@@ -20,7 +20,7 @@ from logspark.operators.skew import Limits, over_sessions
 from logspark.plans import dataset
 from logspark.session import shared_path, sized
 from logspark.sources import datasets, logs, sinks
-from logspark.streaming.logs import run_to_end, stream_events, unexpected_pairs
+from logspark.streaming.logs import run_to_end, sessions_by_gap, stream_events, unexpected_pairs
 from logspark.workload import views as V
 from logspark.workload.sql import ERRORS, free_text_ctes, statement
 
@@ -1103,3 +1103,22 @@ def stream_unexpected_pairs(spark, folder):
     pairs.write.parquet(path)
     followers = sized(next_event.top_followers(spark.read.parquet(path), 3))
     return _streamed(spark, unexpected_pairs(spark.readStream.schema(pairs.schema).parquet(path), followers))
+
+
+#: A session ends with six hours of silence; it is final an hour after that.
+_GAP_SESSIONS = """SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 6 HOUR) AS end_us, count(*) AS events,
+ count(*) FILTER (WHERE event_type = 'error') AS errors FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id
+ ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR
+ THEN 0 ELSE 1 END AS opens FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) e) s GROUP BY user_id, n"""
+
+
+@register("stream_sessions", f"SELECT * FROM ({_GAP_SESSIONS}) q WHERE end_us <= (SELECT epoch_us(max(ts) - INTERVAL 1 HOUR) FROM events)")
+def stream_sessions(spark, folder):
+    """Sessions that are over when all events have been seen."""
+    path = shared_path(spark, "clicks")
+    clicks = V.table(spark, folder, "events").select("user_id", "ts", "event_type")
+    clicks.write.parquet(path)
+    found = sessions_by_gap(spark.readStream.schema(clicks.schema).parquet(path), "user_id", "6 hours", "1 hour",
+                            errors=F.count_if(F.col("event_type") == "error"))
+    return _streamed(spark, found.select(
+        "user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events", "errors"))

@@ -1,5 +1,7 @@
 """The four flows from end to end, and the stream against the batch."""
 
+import datetime
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from logspark.operators import encode, features, parse, sequences, sessions
 from logspark.operators.skew import Limits
 from logspark.plans import benchmark, classifier, dataset, next_event
 from logspark.sources import datasets, logs
-from logspark.streaming.logs import run_to_end, stream_events, unexpected_pairs
+from logspark.streaming.logs import run_to_end, sessions_by_gap, stream_events, unexpected_pairs, untimed
 from logspark.workload import views as V
 
 FOLDER = "/root/testdata/sf0.001"
@@ -106,3 +108,22 @@ def test_stream_scoring(spark, tmp_path):
     query.awaitTermination(120)
     want = pairs.join(followers, ["context", "next"], "left_anti")
     assert rows(spark.table("odd_pairs").select(want.columns)) == rows(want)
+
+
+def test_sessions_on_a_stream_in_several_runs(spark, tmp_path):
+    """Open sessions stay in state over runs, closed ones come out once, late rows are counted, rows without time are set apart."""
+    schema = "user string, ts timestamp, n int"
+    at = lambda hour, minute=0: datetime.datetime(2024, 1, 1, hour, minute)
+    days = [[("a", at(1), 1), ("a", at(1, 20), 2), ("b", at(1, 10), 3), (None, at(1), 4), ("a", None, 5)],
+            [("a", at(1, 45), 6), ("b", at(5), 7)], [("a", at(1, 5), 8), ("b", at(9), 9)]]
+    out, state, late = str(tmp_path / "out"), str(tmp_path / "state"), []
+    for n, day in enumerate(days):
+        spark.createDataFrame(day, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        late.append(run_to_end(sessions_by_gap(stream, "user", "30 minutes", "1 hour", last=F.max("n")), out, state))
+    got = sorted((r.user, r.start.hour, r.start.minute, r.events, r.last) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 1, 0, 3, 6), ("b", 1, 10, 1, 3), ("b", 5, 0, 1, 7)] and late == [0, 0, 1]
+    table = spark.createDataFrame(sum(days, []), schema)
+    assert untimed(table, "user").count() == 2
+    batch = sessions_by_gap(table, "user", "30 minutes", "1 hour", last=F.max("n"))
+    assert batch.count() == 4 and batch.agg(F.sum("events")).first()[0] == 7

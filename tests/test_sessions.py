@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from logspark.operators import features, sequences, sessions
 from logspark.operators.skew import Limits
@@ -145,3 +146,16 @@ def test_tails(spark, hot):
         ordered[r.block_id].append(r.token)
     for block, tokens in ordered.items():
         assert got[block] == ([0] * 70 + tokens)[-70:]
+
+
+def test_long_tails_of_a_hot_session(spark):
+    """No window over a session: one of them has nearly all rows."""
+    events = spark.range(20_000).select(
+        F.when(F.col("id") % 50 == 0, (F.col("id") % 7).cast("string")).otherwise("hot").alias("block_id"),
+        F.xxhash64("id").alias("line_id"), F.col("id").alias("event"))
+    got = sequences.last_n_events(events, "block_id", ["line_id"], 5_000)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "block_id" not in "".join(line for line in plan.split("\n") if "Window" in line)
+    last = W.partitionBy("block_id").orderBy(F.desc("line_id"))
+    want = events.withColumn("from_end", F.row_number().over(last)).where("from_end <= 5000")
+    assert rows(got) == rows(want) and got.dtypes == want.dtypes and got.where("block_id = 'hot'").count() == 5_000
