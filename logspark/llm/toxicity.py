@@ -1,11 +1,12 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its character n-grams (3 to 6, with marks at both ends); its vector is the mean of their
-vectors, a text's vector the mean of its words', and a linear softmax over that gives the two classes. Vectors
+vectors, a text's vector the sum of its words' by the square root of their number (by their number itself, a few toxic words
+would drown in a long text), and a linear softmax over that gives the two classes. Vectors
 and softmax are trained together in numpy, by Adam over all rows of the sample at once. A misspelt word shares
 most n-grams with the right one and so most of its vector.
 
-Since everything after the vectors is linear, a text's logit is that mean of its words' logits. Scoring keeps
+Since everything after the vectors is linear, a text's logit is that average of its words' logits. Scoring keeps
 the logits of words in a bounded memory per Python worker and needs no shuffle. Only the text is looked at.
 
 Learning uses a bounded sample of labelled rows (``Settings.per_class`` rows of each class, none longer than
