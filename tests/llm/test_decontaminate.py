@@ -70,3 +70,23 @@ def test_short_items_are_found_as_runs_of_words(spark):
         (7, "他说你好然后走了很远的路"), (8, "photosynthesises and x y"), (9, "x y z")])
     got = {tuple(r) for r in decontaminate.contained(docs, items).select("doc_id", "item_id", "containment").collect()}
     assert got == {(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (9, 3, 1.0), (5, 4, 1.0), (6, 5, 1.0), (7, 6, 1.0)}
+
+
+def test_the_sketch_picks_the_candidates(spark):
+    item = " ".join(f"w{n}" for n in range(60))
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    sketch = decontaminate.sketches(decontaminate.item_shingles(items))
+    chosen = {r.hash for r in sketch.collect()}
+    assert len(chosen) == 13  # 56 shingles, partition 32 to 63: floor(0.2 * 63) + 1
+    docs = spark.createDataFrame([(n, " ".join(item.split()[n:n + 5])) for n in range(56)], "doc_id bigint, text string")
+    found = {r.doc_id for r in decontaminate.candidates(docs, sketch, []).collect()}
+    assert len(found) == 13 and decontaminate.contained(docs, items).collect() == []
+
+
+def test_a_long_text_goes_in_slices(spark):
+    words = [f"w{n}" for n in range(200_000)]
+    at = decontaminate.SLICE - 4
+    items = spark.createDataFrame([(n, " ".join(words[m:m + 12])) for n, m in enumerate((0, at, 199_988))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in decontaminate.contained(docs, items).collect())
+    assert got == [(1, n, 8, 8, 1.0) for n in range(3)]
