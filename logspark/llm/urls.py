@@ -2,16 +2,18 @@
 
 Rules accept or reject a host, its subdomains and what lies below a path; the longest fitting rule wins. Two character
 models, of the URLs that rules accept and of those they reject, judge the others: variable-order Markov
-models with Witten-Bell smoothing, where each order falls back on the next shorter one as far as its context is
+models with Witten-Bell smoothing over the whole address (scheme, lower-cased host, path, query, fragment), where each order falls back on the next shorter one as far as its context is
 rare, down to a uniform start. An address's score is the mean log ratio of its characters, so length
 doesn't matter. The threshold is calibrated: addresses whose hash falls in a fold of their own aren't learned from,
 and the threshold separates that fold best by balanced accuracy.
 
 Counts cover all URLs. They are taken once, for the longest contexts, in one pass whose counts combine
-before the shuffle; shorter orders are sums of longer ones. Each different address is scored once. Only DataFrame functions
-are used.
+before the shuffle; shorter orders are sums of longer ones. Each different address is scored once, and only a digest of it
+goes with its characters, so the work is linear in its length. The table of ratios is sent to all tasks up to
+``BROADCAST_BYTES``, and joined by a shuffle beyond. Only DataFrame functions are used.
 
-Cases: a null url or one without ``://`` has an empty host and path, fits no rule and is scored as an empty address;
+Cases: a null url or one without ``://`` has an empty host and path and fits no rule; the raw text is scored as it stands, null
+as an empty one;
 repeated rows get equal verdicts; without accepted or without rejected URLs the models say nothing and the method allows;
 rows without page_id are judged too; an empty table gives none; other columns play no part.
 """
@@ -78,10 +80,17 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tupl
     return (nothing, nothing) if text is None else (text, verdict)
 
 
+def address_of(url: Column) -> Column:
+    """The whole url with its host in lower case; without ``://`` the raw text."""
+    at = F.instr(url, "://")
+    rest = F.regexp_extract(_after_scheme(url), r"(?s)^[^/?#]*(.*)", 1)
+    return F.when(at > 0, F.concat(F.substring(url, F.lit(1), at + 2), host_of(url), rest)).otherwise(url)
+
+
 def _grams(address: Column, order: int) -> Column:
     """Every character of the address and its end, each with ``order`` characters before it."""
     padded = F.concat(F.lit(_START * order), address, F.lit(_END))
-    return F.transform(F.sequence(F.lit(1), F.length(address) + 1), lambda i: F.substring(padded, i, F.lit(order + 1)))
+    return F.regexp_extract_all(padded, F.lit(rf"(?s)(?=(.{{{order + 1}}}))."), F.lit(1))
 
 
 def log_ratios(grams: DataFrame, order: int = ORDER) -> DataFrame:
@@ -134,17 +143,19 @@ def threshold_of(scores: DataFrame) -> float:
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = ORDER) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row."""
     url = F.col("url").cast("string")
-    parts = pages.select(F.col("page_id").cast("bigint").alias("page_id"),
-                         F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
+    parts = pages.select(
+        F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(host_of(url), F.lit("")).alias("host"),
+        F.coalesce(path_of(url), F.lit("")).alias("path"), F.coalesce(address_of(url), F.lit("")).alias("address"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = written(parts.select("*", rule.alias("rule"), verdict.alias("_fixed")), "urls")
+    rows = written(parts.select("*", F.sha2(F.col("address").cast("binary"), 256).alias("key"), rule.alias("rule"),
+                                verdict.alias("_fixed")), "urls")
 
-    # Copies of an address count for each copy, but are cut into characters once.
-    addresses = written(rows.groupBy("host", "path", "_fixed").agg(F.count(F.lit(1)).alias("copies")), "addresses")
-    address = F.concat("host", "path")
-    cut = addresses.select(
-        "host", "path", "_fixed", "copies", (F.pmod(F.xxhash64("host", "path"), F.lit(CALIBRATION)) == 0).alias("_held"),
-        F.explode(_grams(address, order)).alias("gram"))
+    # Copies of an address count for each copy, but are cut into characters once. Urls that differ after the path
+    # are in one fold.
+    held = F.pmod(F.xxhash64("host", "path"), F.lit(CALIBRATION)) == 0
+    addresses = written(rows.groupBy("key", "address", held.alias("_held"), "_fixed").agg(
+        F.count(F.lit(1)).alias("copies")), "addresses")
+    cut = addresses.select("key", "_fixed", "copies", "_held", F.explode(_grams(F.col("address"), order)).alias("gram"))
 
     def learned(side: str) -> Column:
         return F.sum(F.when((F.col("_fixed") == side) & ~F.col("_held"), F.col("copies")).otherwise(0))
@@ -154,13 +165,14 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = ORDER
     if not seen[0] or not seen[1]:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("_fixed", F.lit("allow")).alias("verdict"),
                            F.lit(0.0).alias("score"))
+    # A row has a gram, of at most order + 1 characters, and a number: 64 bytes.
     ratios = written(log_ratios(grams, order), "ratios")
     ratios = F.broadcast(ratios) if seen[2] * 64 <= BROADCAST_BYTES else ratios
-    scores = written(cut.select("host", "path", "_fixed", "_held", "gram").join(ratios, "gram").groupBy(
-        "host", "path", "_fixed", "_held").agg(F.avg("ratio").alias("score")), "scores")
+    scores = written(cut.select("key", "_fixed", "_held", "gram").join(ratios, "gram").groupBy(
+        "key", "_fixed", "_held").agg(F.avg("ratio").alias("score")), "scores")
     limit = threshold_of(scores.where(F.col("_held") & F.col("_fixed").isNotNull()).withColumnRenamed("_fixed", "verdict"))
     method = F.when(F.col("score") >= limit, "allow").otherwise("block")
-    return rows.join(scores.select("host", "path", "score"), ["host", "path"]).select(
+    return rows.join(scores.select("key", "score"), "key").select(
         "page_id", "host", "path", "rule", F.coalesce("_fixed", method).alias("verdict"), "score")
 
 

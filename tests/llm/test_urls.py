@@ -1,5 +1,6 @@
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -18,6 +19,14 @@ def parts(url):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path
 
 
+def address(url):
+    if url is None or "://" not in url:
+        return url or ""
+    scheme, rest = url.split("://", 1)
+    host = parts(url)[0]
+    return f"{scheme}://{host}{rest[len(host):]}"
+
+
 def rule(host, path):
     fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[1:] if fits else (None, None)
@@ -25,12 +34,12 @@ def rule(host, path):
 
 def brute(rows, held, order=4):
     """rows: (page_id, url); held: addresses of the calibration fold."""
-    known = [(i, *parts(u)) for i, u in rows]
+    known = [(i, *parts(u), address(u)) for i, u in rows]
     counts = {v: [defaultdict(Counter) for _ in range(order + 1)] for v in ("allow", "block")}
-    for _, host, path in known:
+    for _, host, path, whole in known:
         verdict = rule(host, path)[1]
         if verdict and (host, path) not in held:
-            text = "\x02" * order + host + path + "\x03"
+            text = "\x02" * order + whole + "\x03"
             for at in range(order, len(text)):
                 for size in range(order + 1):
                     counts[verdict][size][text[at - size:at]][text[at]] += 1
@@ -43,12 +52,12 @@ def brute(rows, held, order=4):
                 p = (seen[char] + len(seen) * p) / (seen.total() + len(seen))
         return p
 
-    def score(host, path):
-        text = "\x02" * order + host + path + "\x03"
+    def score(whole):
+        text = "\x02" * order + whole + "\x03"
         return sum(math.log(chance("allow", text[n - order:n], text[n])) - math.log(chance("block", text[n - order:n], text[n]))
                    for n in range(order, len(text))) / (len(text) - order)
 
-    return {(i, h, p): (rule(h, p), score(h, p)) for i, h, p in known}
+    return {(i, h, p): (rule(h, p), score(whole)) for i, h, p, whole in known}
 
 
 def held_of(spark, rows):
@@ -94,3 +103,21 @@ def test_model_finds_what_resembles_the_rejected(spark):
     rows += [(900, "http://shop5.cheap-3.example.biz/buy"), (901, "http://lib3.school-2.example.biz/fr/page3")]
     got = {r.page_id: r.verdict for r in urls.judged(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
     assert (got[900], got[901]) == ("block", "allow")
+
+
+def test_query_fragment_and_raw_text_are_judged(spark):
+    rows = [(n, f"http://s{n}.net/?casino=win{n}#bet") for n in range(60)]
+    rows += [(100 + n, f"http://s{n}.org/fr/?lesson=read{n}#book") for n in range(60)]
+    rows += [(900, "http://a.biz/?casino=win7#bet"), (901, "http://a.biz/?lesson=read7#book"), (902, "casino=win"), (903, "lesson=read"),
+             (904, None), (905, "x://😀.biz/😀?é")]
+    got = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert [got[n].verdict for n in (900, 901, 902, 903)] == ["block", "allow", "block", "allow"]
+    assert len({got[n].score for n in range(900, 906)}) == 6
+
+
+def test_a_long_url_takes_linear_time(spark):
+    rows = [(1, "http://a.net/" + "x" * 50), (2, "http://a.org/fr/" + "y" * 50), (3, "http://b.biz/?q=" + "xy" * 500_000),
+            (4, "http://c.net/" + "x" * 50), (5, "http://c.org/fr/" + "y" * 50)]
+    began = time.monotonic()
+    assert len(urls.judged(spark.createDataFrame(rows, "page_id bigint, url string")).collect()) == 5
+    assert time.monotonic() - began < 60
