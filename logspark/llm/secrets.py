@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from logspark.llm.common import texts
-from logspark.session import shared_path, written
+from logspark.session import shared_path, sized, written
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,8 @@ RULES = (
 BASE = ("assign", "access", "hex")
 FINDING = "blob string, kind string, version int, start bigint, end bigint"
 SCANNED = "blob string, kind string, version int"
+#: Characters of a block in which a text is looked up when it is masked.
+_BLOCK = 1024
 
 
 class Ledger:
@@ -144,31 +146,43 @@ def update(ledger: Ledger, docs: DataFrame, rules: tuple[Rule, ...] = RULES) ->
     blobs = paths.select("blob").distinct()
     wanted = blobs.withColumn("_r", F.explode(F.array(*[
         F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules]))).select("blob", "_r.*")
-    unseen = wanted if seen.isEmpty() else written(
-        wanted.join(seen, ["blob", "kind", "version"], "left_anti"), "unseen")
-    # One scan for each set of rules that some blobs still lack: one on a first run, two after a new rule.
-    gaps = unseen.groupBy("blob").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
-    sets = [row["kinds"] for row in gaps.select("kinds").distinct().collect()] if not seen.isEmpty() else [
-        sorted(r.kind for r in rules)]
-    first = addressed.groupBy("blob").agg(F.first("text").alias("text"))
-    for kinds in sets:
-        lacking = tuple(r for r in rules if r.kind in kinds)
-        texts_left = first if seen.isEmpty() else first.join(gaps.where(F.col("kinds") == F.lit(kinds)), "blob", "left_semi")
+
+    def scanned(given: DataFrame, lacking: tuple[Rule, ...]) -> None:
         # Findings before marks: a failure in between only means that a scan is repeated.
-        ledger.add("findings", scan(texts_left, lacking))
+        ledger.add("findings", scan(given.groupBy("blob").agg(F.first("text").alias("text")), lacking))
+
+    if seen.isEmpty():
+        scanned(addressed, rules)
+        ledger.add("scanned", wanted)
+        return paths
+    unseen = written(wanted.join(seen, ["blob", "kind", "version"], "left_anti"), "unseen")
+    # One scan for each set of rules that some blobs still lack: two after a new rule. Texts of other blobs stay where they are.
+    gaps = written(unseen.groupBy("blob").agg(F.sort_array(F.collect_set("kind")).alias("kinds")), "gaps")
+    for row in gaps.select("kinds").distinct().collect():
+        lacking = tuple(r for r in rules if r.kind in row["kinds"])
+        scanned(addressed.join(sized(gaps.where(F.col("kinds") == F.lit(row["kinds"])).select("blob")), "blob", "left_semi"), lacking)
     ledger.add("scanned", unseen)
     return paths
 
 
-def secrets(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, blob, findings) of every row; ``findings`` are (start, place of the kind, kind, end), sorted."""
+def _found(docs: DataFrame, ledger: Ledger | None, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame]:
+    """Paths (doc_id, blob) of ``docs``, and the findings by ``rules`` (blob, kind, start, end, place of the kind) of their blobs."""
     ledger = ledger or Ledger.fresh(docs.sparkSession)
+    filled = not ledger.scanned().isEmpty()
     paths = update(ledger, docs, rules)
     current = None
     for place, rule in enumerate(rules):
         hit = (F.col("kind") == rule.kind) & (F.col("version") == rule.version)
         current = F.when(hit, F.lit(place)) if current is None else current.when(hit, F.lit(place))
-    by_blob = ledger.findings().withColumn("place", current).where("place is not null").groupBy("blob").agg(
+    rows = ledger.findings().withColumn("place", current).where("place is not null")
+    # A ledger that was empty has findings of these blobs only.
+    return paths, rows.join(paths.select("blob").distinct(), "blob", "left_semi") if filled else rows
+
+
+def secrets(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, blob, findings) of every row; ``findings`` are (start, place of the kind, kind, end), sorted."""
+    paths, rows = _found(docs, ledger, rules)
+    by_blob = rows.groupBy("blob").agg(
         F.sort_array(F.collect_list(F.struct("start", "place", "kind", "end"))).alias("findings"))
     empty = F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")
     return paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("findings", empty).alias("findings"))
@@ -187,28 +201,46 @@ def count_kind(findings: Column, kind: str) -> Column:
     return F.size(F.filter(findings, lambda f: f["kind"] == kind)).cast("bigint")
 
 
-def redacted(text: Column, findings: Column, mask: str = "[SECRET]") -> Column:
-    """``text`` with every span replaced; spans that overlap become one."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+def stretches(findings: DataFrame) -> DataFrame:
+    """(blob, spans): the findings' spans as (start, end), sorted, those that overlap as one."""
+    before = W.partitionBy("blob").orderBy("start", "end")
+    reach = F.max("end").over(before.rowsBetween(W.unboundedPreceding, -1))
+    fresh = findings.withColumn("_fresh", (F.col("start") >= F.coalesce(reach, F.lit(0))).cast("int"))
+    joined = fresh.withColumn("_n", F.sum("_fresh").over(before.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return joined.groupBy("blob", "_n").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("blob").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
+    """``text`` with each of ``spans``, sorted and apart, replaced by ``mask``.
+
+    Places are looked up in blocks of the text, so the work is linear in the text and in the spans.
+    """
+    def between(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / _BLOCK).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, F.floor(end / _BLOCK).cast("int") - first + 1), "")
+        return F.substring(near, (start - first * _BLOCK + 1).cast("int"), (end - start).cast("int"))
 
-    def step(state, f):
-        begin = F.greatest(f["start"], state["at"])
-        fresh = f["start"] >= state["at"]
-        before = F.substring(text, (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
-        return F.struct(
-            F.greatest(f["end"], state["at"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], before, F.lit(mask))).otherwise(state["out"]).alias("out"))
+    def pieces(held: Column) -> Column:
+        nothing, whole = F.lit(0).cast("bigint"), held["size"]
+        kept = F.transform(F.sequence(F.lit(0), F.size(held["spans"])), lambda i: between(
+            held["blocks"], F.when(i == 0, nothing).otherwise(F.get(held["spans"], i - 1)["end"]),
+            F.coalesce(F.get(held["spans"], i)["start"], whole)))
+        return F.array_join(kept, mask)
 
-    end = F.aggregate(findings, start, step)
-    return F.concat(end["out"], F.substring(text, (end["at"] + 1).cast("int"), F.length(text)))
+    # A lambda's variable is worked out once, whatever is read from it.
+    held = F.struct(
+        F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_BLOCK}}}"), F.lit(0)).alias("blocks"), spans.alias("spans"),
+        F.length(text).cast("bigint").alias("size"))
+    return F.get(F.transform(F.array(held), pieces), F.lit(0))
 
 
 def without_secrets(docs: DataFrame, ledger: Ledger | None = None, mask: str = "[SECRET]") -> DataFrame:
     """``docs``, all columns, with secrets masked in ``text`` and ``n_chars`` brought up to date."""
-    found = secrets(docs, ledger).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
+    found = stretches(_found(docs, ledger, RULES)[1])
     marked = docs.withColumn("_blob", blob_id(F.col("text").cast("string"))).join(
-        found.select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")), "_blob", "left")
-    clean = F.when(F.col("_findings").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_findings"), mask))
+        found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
+    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans"), mask))
     columns = [clean.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     result = marked.select(*columns)
     return result.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if (

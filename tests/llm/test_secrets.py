@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -103,3 +104,44 @@ def test_private_keys_go_whole(spark):
     docs = messy(spark, [(n, text) for n, (text, _) in cases.items()])
     clean = {r.doc_id: r.text for r in secrets.without_secrets(docs).collect()}
     assert clean == {n: want for n, (_, want) in cases.items()}
+
+
+def test_overlapping_spans_are_masked_once_wherever_blocks_end(spark):
+    size = secrets._BLOCK
+    text = "".join(chr(0x1F600 + n % 50) if n % 7 == 0 else chr(97 + n % 26) for n in range(3 * size + 5))
+    given = [[(0, 3), (2, 9), (9, 12)], [(size - 1, size), (size, size + 1)], [(10, 2 * size), (20, 30), (2 * size - 1, 2 * size)],
+             [(0, len(text))], [(5, 6), (len(text) - 1, len(text))]]
+    rows = [(str(n), start, end) for n, spans in enumerate(given) for start, end in spans]
+    merged = secrets.stretches(spark.createDataFrame(rows, "blob string, start bigint, end bigint"))
+    got = {r.blob: r.text for r in merged.select("blob", secrets.redacted(F.lit(text), F.col("spans"), "#").alias("text")).collect()}
+    for n, spans in enumerate(given):
+        want, at = "", 0
+        for start, end in sorted(spans):
+            want += text[at:start] + "#" if start >= at else ""
+            at = max(at, end)
+        assert got[str(n)] == want + text[at:]
+
+
+def test_many_findings_in_a_long_text_take_linear_time(spark):
+    line = "é token=abcdefgh%07d and more\n"
+    text = "".join(line % n for n in range(32_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.monotonic()
+    assert secrets.without_secrets(docs).first().text == "é [SECRET] and more\n" * 32_000
+    assert time.monotonic() - began < 60
+
+
+def test_an_increment_leaves_known_texts_where_they_are(spark):
+    ledger = secrets.Ledger.fresh(spark)
+    docs = spark.createDataFrame([(n, f"text {n} token=abcdefgh{n}") for n in range(50)], "doc_id bigint, text string")
+    secrets.update(ledger, docs)
+    more = docs.unionByName(spark.createDataFrame([(99, "new AKIAABCDEFGHIJKL")], docs.schema))
+    scanned = []
+    whole = secrets.scan
+    try:
+        secrets.scan = lambda blobs, rules: scanned.append(blobs.count()) or whole(blobs, rules)
+        found = {r.doc_id: secrets_of(r) for r in secrets.secrets(more, ledger).collect()}
+    finally:
+        secrets.scan = whole
+    assert scanned == [1] and len(found) == 51 and found[99] == "access:4:20" and found[3] == "assign:7:22"
+    assert len(secrets.secrets(docs.where("doc_id < 2"), ledger).collect()) == 2
