@@ -4,25 +4,28 @@ Texts and templates are normalised to lower-case words (letters and digits, with
 whole sentences or lines is compared with a template by the Dice coefficient of their word bigrams, repeats counted,
 2 * shared / (size + size); at ``threshold`` or above it is a candidate.
 
-Pruning loses nothing. Sizes: a Dice of t needs sizes within a factor of t / (2 - t) of each other, so a stretch only meets
-the templates in that band. Words: a match shares at least that part of the template's bigrams, so of any set of
+Pruning loses nothing. Sizes: a Dice of t needs sizes within a factor of t / (2 - t) of each other, so a template is looked for
+in stretches of at most its size over that. Words: a match shares at least that part of the template's bigrams, so of any set of
 words whose bigrams are more than the rest, it has one; the longest words of each template that suffice, function words
-last, are its anchors, and only stretches that hold one are looked at.
+last, are its anchors, and only texts that hold one are looked at.
+
+For each template, one window of its largest size slides over the places of its bigrams in the text, with counts in and out. Where the
+window holds too few of them, no stretch that begins there can match. Stretches that begin or end with sentences that add
+nothing are left out: the shorter one within is more similar. The work is linear in the text.
 
 Of overlapping candidates the most similar is kept, then the longer, then the earlier. Each document is judged where it lies;
 there is no shuffle. Repeated lines are found each time they occur.
 
-Cases: null and empty texts have no finding; repeated rows are scanned alike; ties go to the template that
-comes first; rows without doc_id are scanned too; an empty table gives none; other columns play no part.
+Cases: null and empty texts have no finding; repeated rows are scanned alike; ties go to the smaller
+template, then to the one given first; rows without doc_id are scanned too; an empty table gives none; other columns play no part.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,9 +35,9 @@ from logspark.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
 _WORD = re.compile(r"\d+(?:\.\d+)+|[^\W_]+")
-#: A stretch may begin and end at line ends and after sentences.
 #: Function words, the last resort as anchors.
 _COMMON = frozenset("this that with from have been will your which their there they what when were where who the and for are not".split())
+#: A stretch may begin and end at line ends and after sentences.
 _BREAK = re.compile(r"\n|(?<=[.!?;:])\s")
 
 
@@ -51,11 +54,14 @@ class Scanner:
             bigrams = Counter(zip(words, words[1:]))
             if bigrams:
                 self.known.append((licence, bigrams))
-        #: Templates by size, so that a band of sizes is a slice.
+        #: Ties go to the smaller template.
         self.known.sort(key=lambda known: known[1].total())
-        self.sizes = [bigrams.total() for _, bigrams in self.known]
         self.anchors = frozenset().union(*[self._anchors(bigrams) for _, bigrams in self.known])
-        self.largest = max(self.sizes, default=0) / self.part
+        #: Which templates have a bigram.
+        self.having: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for n, (_, bigrams) in enumerate(self.known):
+            for pair in bigrams:
+                self.having[pair].append(n)
 
     def _anchors(self, bigrams: Counter) -> set[str]:
         """Words such that less than a match must share has none of them."""
@@ -67,63 +73,85 @@ class Scanner:
             chosen.add(word)
         return chosen
 
-    def best(self, bigrams: Counter, size: int) -> tuple[float, str] | None:
-        """(similarity, licence) of the nearest template at or above the threshold."""
-        found = None
-        for n in range(bisect_left(self.sizes, size * self.part - 1e-9), bisect_right(self.sizes, size / self.part + 1e-9)):
-            licence, own = self.known[n]
-            pairs = bigrams.keys() & own.keys()
-            if not pairs:
+    def _like(
+        self, template: int, places: list[int], pairs: list[tuple[str, str]], stretch: list[int], ends: list[int],
+    ) -> Iterator[tuple[float, int, int]]:
+        """(similarity, first, last stretch) of what is like a template.
+
+        ``places`` are those of its bigrams among ``pairs``, the bigrams of the text; ``stretch`` gives each word's stretch and
+        ``ends`` the number of words before each stretch.
+        """
+        own = self.known[template][1]
+        size = own.total()
+        longest, needed = int(size / self.part + 1e-9), self.part * size - 1e-9
+        window: Counter[tuple[str, str]] = Counter()
+        held = low = high = 0
+        first = -1
+        for place in places:
+            if stretch[place] == first:
                 continue
-            shared = sum(min(bigrams[pair], own[pair]) for pair in pairs)
-            similarity = 2 * shared / (size + self.sizes[n])
-            if similarity >= self.threshold and (found is None or similarity > found[0]):
-                found = similarity, licence
-        return found
+            first = stretch[place]
+            begin = ends[first]
+            while high < len(places) and places[high] < begin + longest:
+                pair = pairs[places[high]]
+                held += window[pair] < own[pair]
+                window[pair] += 1
+                high += 1
+            while places[low] < begin:
+                pair = pairs[places[low]]
+                window[pair] -= 1
+                held -= window[pair] < own[pair]
+                low += 1
+            if held < needed:
+                continue
+            seen: Counter[tuple[str, str]] = Counter()
+            shared, grown = 0, False
+            for at in range(low, high):
+                pair, last = pairs[places[at]], stretch[places[at] + 1]
+                seen[pair] += 1
+                if seen[pair] <= own[pair]:
+                    shared, grown = shared + 1, True
+                if grown and (at + 1 == high or stretch[places[at + 1] + 1] != last):
+                    grown = False
+                    similarity = 2 * shared / (ends[last + 1] - begin - 1 + size)
+                    if similarity >= self.threshold:
+                        yield similarity, first, last
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(licence, similarity, start, stop) in characters, in order."""
         if self.anchors.isdisjoint(words_of(text)):
             return []
-        stretches, at = [], 0
+        bounds: list[tuple[int, int]] = []
+        words: list[str] = []
+        stretch: list[int] = []
+        ends, at = [0], 0
         for cut in [*(m.end() for m in _BREAK.finditer(text)), len(text)]:
-            words = words_of(text[at:cut])
-            if words:
-                stretches.append((at, at + len(text[at:cut].rstrip()), words, not self.anchors.isdisjoint(words)))
+            part = text[at:cut]
+            if inside := words_of(part):
+                stretch += [len(bounds)] * len(inside)
+                bounds.append((at, at + len(part.rstrip())))
+                words += inside
+                ends.append(len(words))
             at = cut
+        pairs = list(zip(words, words[1:]))
+        places: dict[int, list[int]] = defaultdict(list)
+        for place, pair in enumerate(pairs):
+            for template in self.having.get(pair, ()):
+                places[template].append(place)
         candidates = []
-        following, ahead = [], None
-        for n in range(len(stretches) - 1, -1, -1):
-            ahead = n if stretches[n][3] else ahead
-            following.append(ahead)
-        following.reverse()
-        ends = [0, *accumulate(len(words) for _, _, words, _ in stretches)]
-        for first, (start, _, _, _) in enumerate(stretches):
-            if following[first] is None:
-                break
-            if ends[following[first]] - ends[first] > self.largest:
-                continue
-            bigrams: Counter = Counter()
-            previous, anchored = None, False
-            for n in range(first, len(stretches)):
-                _, stop, words, has = stretches[n]
-                size = ends[n + 1] - ends[first] - 1
-                if size > self.largest:
-                    break
-                run = words if previous is None else [previous, *words]
-                bigrams.update(zip(run, run[1:]))
-                previous, anchored = words[-1], anchored or has
-                if anchored and (hit := self.best(bigrams, size)):
-                    candidates.append((-hit[0], start - stop, start, stop, hit[1]))
+        for template, own in places.items():
+            for similarity, first, last in self._like(template, own, pairs, stretch, ends):
+                start, stop = bounds[first][0], bounds[last][1]
+                candidates.append((-similarity, start - stop, start, stop, template))
         taken: list[tuple[int, int]] = []
         found = []
-        for similarity, _, start, stop, licence in sorted(candidates):
+        for similarity, _, start, stop, template in sorted(candidates):
             # ``taken`` is sorted and disjoint: only its neighbours can overlap.
             place = bisect_left(taken, (start, stop))
             if (place and taken[place - 1][1] > start) or (place < len(taken) and taken[place][0] < stop):
                 continue
             taken.insert(place, (start, stop))
-            found.append((licence, -similarity, start, stop))
+            found.append((self.known[template][0], -similarity, start, stop))
         return sorted(found, key=lambda f: f[2])
 
 

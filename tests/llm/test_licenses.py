@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 from brute import messy
@@ -33,6 +34,45 @@ def test_pruning_loses_nothing():
             assert all(abs(dice(text[a:b], text[a:b]) - 1) < 1e-9 and s >= 0.8 for _, s, a, b in found)
 
 
+def plain(text, templates):
+    """All stretches against all templates, the most similar first."""
+    cuts = sorted({0, len(text), *(m.end() for m in licenses._BREAK.finditer(text))})
+    parts = [(a, a + len(text[a:b].rstrip())) for a, b in zip(cuts, cuts[1:]) if licenses.words_of(text[a:b])]
+    ordered = sorted(templates, key=lambda t: len(licenses.words_of(t[1])))
+    hits = sorted((-s, a - b, a, b, n) for i, (a, _) in enumerate(parts) for _, b in parts[i:]
+                  for n, (_, t) in enumerate(ordered) if (s := dice(text[a:b], t)) >= licenses.THRESHOLD)
+    kept = []
+    for s, _, a, b, n in hits:
+        if all(b <= c or d <= a for _, _, c, d in kept):
+            kept.append((ordered[n][0], -s, a, b))
+    return sorted(kept, key=lambda f: f[2])
+
+
+def test_all_findings_against_all_stretches():
+    rng = random.Random(8)
+    templates = [t for t in TEMPLATES if len(t[1].split()) < 30]
+    scanner = licenses.Scanner(tuple(templates))
+    found = 0
+    for n in range(60):
+        words = [w for _ in range(3) for w in rng.choice(templates)[1].split()]
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(["other", "the", "license"])
+        text = "".join(w + rng.choice("  \n") for w in words)
+        got = scanner.scan(text)
+        assert got == plain(text, templates)
+        found += len(got)
+    assert found > 60
+
+
+def test_one_word_lines_take_linear_time():
+    scanner, rng = licenses.Scanner(), random.Random(2)
+    known = [word for _, text in TEMPLATES for word in text.split()]
+    began = time.monotonic()
+    assert scanner.scan("license\n" * 120_000) == []
+    scanner.scan("\n".join(rng.choices(known, k=150_000)))
+    assert time.monotonic() - began < 30
+
+
 def test_long_texts_of_the_same_words_take_linear_time():
     scanner = licenses.Scanner()
     assert scanner.scan("license. " * 20_000) == []
