@@ -22,7 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group with 0.8 or more of their 5-word shingles in common."""
+    """One document, that of the smallest doc_id, of each group with 0.8 or more of their 5-word shingles in common.
+
+    Candidates come from op9's SimHash fingerprints (``simhash.links``) and, for what differs in more bits, from MinHash keys.
+    """
     return minhash.one_of_each(docs)
 
 

@@ -3,9 +3,10 @@
 Words are lower-case runs of letters and digits; a text without any is cut at white space. Texts with the same set of
 shingles are one class; everything after works on different sets only.
 
-Candidates. 96 MinHash values of each set make ``BANDS`` keys of ``ROWS`` values. Two sets of similarity s share a key with
-probability 1 - (1 - s^4)^24: all but 3 in a million at 0.8. Candidates are verified by counting their shingles
-(64-bit hashes), so no link is below the threshold.
+Candidates. SimHash first, as op9 has it: fingerprints within 4 bits, by Golay keys (:mod:`simhash`). Sets of similarity 0.8 can
+differ in a dozen bits, so MinHash adds what is farther: 96 values of each set make ``BANDS`` keys of ``ROWS`` values. Two sets of
+similarity s share a key with probability 1 - (1 - s^4)^24: all but 3 in a million at 0.8. Candidates of both kinds are verified
+by counting their shingles (64-bit hashes), so no link is below the threshold.
 
 Large groups. A key of over ``BUCKET`` sets isn't paired up. Its members meet one set of it, and those that are similar are
 tied to it. Then all of them get keys of another kind, exact at the threshold: with all shingles in one order, frequent ones
@@ -29,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logspark.llm import simhash
 from logspark.llm.common import texts
 from logspark.llm.components import components
-from logspark.llm.simhash import first_of_groups
 from logspark.session import sized, written
 
 WORDS = 5
@@ -80,7 +81,7 @@ def keys(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, blob, id, keys): ``blob`` stands for the text, ``id`` for its set of shingles."""
+    """(doc_id, blob, id, keys, fp): ``blob`` stands for the text, ``id`` for its set of shingles, ``fp`` is the SimHash of op9."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
@@ -88,12 +89,13 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
             sets = [shingles(text.as_py(), words) for text in batch.column(2)]
             ids = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
             every = [keys(s).view(np.int64) for s in sets]
+            fps = np.array([simhash.fingerprint(text.as_py(), words) for text in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids.view(np.int64)), pa.array(every, pa.list_(pa.int64()))],
-                ["doc_id", "blob", "id", "keys"])
+                [batch.column(0), batch.column(1), pa.array(ids.view(np.int64)), pa.array(every, pa.list_(pa.int64())),
+                 pa.array(fps.view(np.int64))], ["doc_id", "blob", "id", "keys", "fp"])
 
     return texts(docs).select("doc_id", F.xxhash64("text").alias("blob"), "text").mapInArrow(
-        run, "doc_id bigint, blob bigint, id bigint, keys array<bigint>")
+        run, "doc_id bigint, blob bigint, id bigint, keys array<bigint>, fp bigint")
 
 
 def _pairs(key: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -130,6 +132,20 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(pairs, "candidates"), written(keyed.join(large, "key", "left_semi"), "crowded")
 
 
+def fingerprint_candidates(classes: DataFrame) -> DataFrame:
+    """(a, b) of ``classes`` (id, keys, fp), written: sets whose SimHash fingerprints are equal or linked by :func:`simhash.links`.
+
+    Of the sets of one fingerprint, the others meet the smallest, and that meets those of linked fingerprints.
+    """
+    full = classes.where(F.size("keys") > 0).select("id", "fp")
+    heads = written(full.groupBy("fp").agg(F.min("id").alias("a")), "heads")
+    equal = full.join(heads, "fp").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b"))
+    near = simhash.links(heads.select("fp")).withColumnsRenamed({"a": "_a", "b": "_b"})
+    near = near.join(heads.select(F.col("fp").alias("_b"), F.col("a").alias("b")), "_b").join(
+        heads.select(F.col("fp").alias("_a"), "a"), "_a").select("a", "b")
+    return written(equal.unionByName(near), "candidates")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The ``pairs`` (a, b) whose similarity is at least ``threshold``, written. Of the two, b is the one that rarely repeats."""
     one, other = (sets.select(F.col("id").alias(n), F.col("shingles").alias(f"_{n}")) for n in "ab")
@@ -209,7 +225,7 @@ def crowd_links(crowded: DataFrame, sets: DataFrame, links_: DataFrame, threshol
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) of ``classes`` (id, blob, keys) whose similarity is at least ``threshold``: enough of them to connect each group."""
+    """(a, b) of ``classes`` (id, blob, keys, fp) whose similarity is at least ``threshold``: enough of them to connect each group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text.as_py(), words).view(np.int64) for text in batch.column(1)]
@@ -217,6 +233,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, threshold: fl
                 [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
     pairs, crowded = candidates(classes)
+    pairs = fingerprint_candidates(classes).unionByName(pairs).distinct()
     ids = crowded.select("id").distinct()
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(ids).distinct()
     # Only the texts that take part are read again, one for each set.
@@ -233,8 +250,9 @@ def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, threshold: fl
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, component_id): ``component_id`` is the smallest doc_id reachable over links, itself included."""
     prints = written(signatures(docs, words), "signatures")
-    classes = written(prints.groupBy("id").agg(
-        F.min("doc_id").alias("first"), F.first("blob").alias("blob"), F.first("keys").alias("keys")), "classes")
+    # Texts of one set can differ in fingerprint.
+    classes = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.min(
+        F.struct("blob", "fp")).alias("_t")).select("id", "first", "_t.blob", "keys", "_t.fp"), "classes")
     grouped = components(links(docs, classes, words, threshold))
     members = written(grouped.join(classes, F.col("node") == F.col("id")).select("root", "id", "first"), "members")
     lowest = members.groupBy("root").agg(F.min("first").alias("_low"))
@@ -246,4 +264,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, all columns, with one row of each group of near-duplicates, as :func:`simhash.first_of_groups` has it."""
-    return first_of_groups(docs, near_duplicates(docs, words, threshold))
+    return simhash.first_of_groups(docs, near_duplicates(docs, words, threshold))

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from brute import messy, roots
-from logspark.llm import minhash
+from logspark.llm import minhash, simhash
 
 
 def shingles(text):
@@ -92,3 +92,22 @@ def test_links_of_any_length_hold_a_crowd_together(spark):
             words[(7 * n + 131 * k) % 400] = f"n{n}k{k}"
         rows.append((n, " ".join(words)))
     assert {r.doc_id for r in minhash.one_of_each(messy(spark, rows)).collect()} == brute(rows) == {0}
+
+
+def test_simhash_finds_candidates_of_its_own(spark, monkeypatch):
+    """Without MinHash, what SimHash has within 4 bits and what is similar goes all the same."""
+    rng = random.Random(6)
+    rows = []
+    for n in range(30):
+        words = [f"t{n}w{k}" for k in range(400)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, edited(rng, words, 1 + n % 8))]
+    rows += [(100, ""), (101, None)]
+    fps = {i: simhash.fingerprint(t or "", minhash.WORDS) for i, t in rows}
+    near = [(i, i + 1) for i in range(0, 60, 2) if (fps[i] ^ fps[i + 1]).bit_count() <= 4] + [(100, 101)]
+
+    def none(classes):
+        return [spark.createDataFrame([], schema) for schema in ("a bigint, b bigint", "key bigint, id bigint")]
+
+    monkeypatch.setattr(minhash, "candidates", none)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, messy(spark, rows), "").collect()}
+    assert got == {i for i, _ in rows} - {b for _, b in near} and len(near) > 2
