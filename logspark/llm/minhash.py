@@ -154,18 +154,33 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         shared >= threshold * (F.size("_a") + F.size("_b") - shared) - 1e-9).select("a", "b"), "links")
 
 
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+def _prefixes(sets: DataFrame, hubs: DataFrame, threshold: float) -> DataFrame:
     """(shingle, id, place, size) of the first shingles of each set, those of others' sets too, written.
 
-    Shingles of over ``BUCKET`` sets come last, by their number. Any order of all shingles would be right.
+    Shingles of the ``hubs`` (id, a), sets a that stand for the keys of set id, come last, and so do those of over ``BUCKET``
+    sets. Any order of all shingles would be right. Most shingles of a crowd are its hubs' and are told apart within the
+    arrays; only the others, as many as a set may need, become rows to be looked up.
     """
-    each = sets.select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    often = sized(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET))
-    ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "shingle")))
-    length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    first = written(each.join(often, "shingle", "left").groupBy("id", "size").agg(ordered.alias("_o")).select(
-        "id", "size", F.posexplode(F.slice("_o", F.lit(1), length)).alias("place", "_s")).select(
-        F.col("_s.shingle").alias("shingle"), "id", "place", "size"), "prefixes")
+    length = (F.size("shingles") - F.ceil(F.size("shingles") * threshold - 1e-9) + 1).cast("int")
+    shapes = sized(sets.join(hubs.select(F.col("a").alias("id")).distinct(), "id", "left_semi"))
+    held = hubs.join(shapes.select(F.col("id").alias("a"), F.col("shingles").alias("_h")), "a").groupBy("id").agg(
+        F.array_distinct(F.flatten(F.collect_list("_h"))).alias("_h"))
+    own = written(sets.join(held, "id").select(
+        "id", F.size("shingles").alias("size"), length.alias("length"), F.array_except("shingles", "_h").alias("own"),
+        F.array_intersect("shingles", "_h").alias("common")), "own")
+    first = written(own.select("id", F.explode(F.slice("own", F.lit(1), F.col("length"))).alias("shingle")), "first")
+    often = first.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET).select("shingle")
+    late = sized(often.unionByName(shapes.select(F.explode("shingles").alias("shingle"))).distinct())
+    found = written(first.join(late, "shingle", "left_semi"), "late")
+    # Sets that have such a shingle among their first need later ones in its place.
+    more = own.where(F.size("own") > F.col("length")).join(sized(found.select("id").distinct()), "id", "left_semi").select(
+        "id", F.explode(F.slice("own", F.col("length") + 1, F.size("own"))).alias("shingle"))
+    moved = found.unionByName(more.join(late, "shingle", "left_semi").select("shingle", "id")).groupBy("id").agg(
+        F.collect_list("shingle").alias("_m"))
+    moved = F.coalesce("_m", F.array().cast("array<bigint>")), own.join(moved, "id", "left")
+    ordered = F.concat(F.array_except("own", moved[0]), F.sort_array(F.concat("common", moved[0])))
+    first = written(moved[1].select("id", "size", F.posexplode(F.slice(ordered, F.lit(1), F.col("length"))).alias(
+        "place", "shingle")).select("shingle", "id", "place", "size"), "prefixes")
     shared = sized(first.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("shingle"))
     return written(first.join(shared, "shingle", "left_semi"), "prefixes")
 
@@ -207,7 +222,7 @@ def crowd_links(crowded: DataFrame, sets: DataFrame, links_: DataFrame, threshol
     star = crowded.join(heads, "key").where(F.col("a") != F.col("id")).groupBy(F.col("id").alias("b")).agg(
         F.min_by("a", F.xxhash64("a")).alias("a")).select("a", "b")
     found = links_.unionByName(_similar(star, sets, threshold))
-    first = _prefixes(sets, threshold)
+    first = _prefixes(sets, written(crowded.join(heads, "key").select("id", "a").distinct(), "hubs"), threshold)
     open_ = _open_groups(first, found)
     for count in REPRESENTATIVES:
         fresh = _similar(_representatives(open_, count, threshold), sets, threshold)

@@ -111,3 +111,24 @@ def test_simhash_finds_candidates_of_its_own(spark, monkeypatch):
     monkeypatch.setattr(minhash, "candidates", none)
     got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, messy(spark, rows), "").collect()}
     assert got == {i for i, _ in rows} - {b for _, b in near} and len(near) > 2
+
+
+def test_a_crowd_is_looked_up_by_few_of_its_shingles(spark, monkeypatch):
+    rng = random.Random(7)
+    common, rows, looked_up, plain = [f"c{n}" for n in range(260)], [], [], minhash.written
+    for n in range(200):
+        words = common + [f"u{n}x{k}" for k in range(40)]
+        rows.append((2 * n, " ".join(words)))
+        if n % 4 == 0:
+            rows.append((2 * n + 1, edited(rng, words, 3)))
+
+    def written(df, name="staged"):
+        out = plain(df, name)
+        if name == "first":
+            looked_up.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "written", written)
+    want = brute(rows)
+    assert {r.doc_id for r in minhash.one_of_each(messy(spark, rows)).collect()} == want and len(want) < len(rows)
+    assert len(looked_up) == 1 and 0 < looked_up[0] <= 0.25 * sum(len(shingles(t)) for _, t in rows)
