@@ -9,11 +9,14 @@ similarity s share a key with probability 1 - (1 - s^4)^24: all but 3 in a milli
 by counting their shingles (64-bit hashes), so no link is below the threshold.
 
 Large groups. A key of over ``BUCKET`` sets isn't paired up. Its members meet one set of it, and those that are similar are
-tied to it. Then all of them get keys of another kind, exact at the threshold: with all shingles in one order, frequent ones
-last, two similar sets share one of their first |s| - ceil(0.8 |s|) + 1 (prefix filter), and from the first that they share
-on there is as much left of both as they must share. Members of such a group outside its largest class meet a few
-representatives of that class, more of them each round, and those still outside meet all members of other classes of the
-group, unless size and place of the shared shingle say that they can't be similar. Two members of one class needn't meet: whatever they are, the class stays the same. So no class is
+tied to it. Then all of them get keys of another kind, exact at the threshold. Of a crowd, sets that hang together by such
+keys, one is the example, and of the others only the differences from it count: what they have more and what they have less. Two sets
+differ from each other where one of them differs from the example and the other doesn't, so similar ones have most of their differences in common: with
+all differences in one order, frequent ones last, the first that they share stands among the first 0.25 |s| + 1 of both, and what
+precedes it and what is left of both tells how far apart they are at least (prefix filter). What a crowd has in common is no difference, so it
+makes no two sets meet. Members of such a group outside its largest class meet a few
+representatives of that class, more of them each round, and those still outside meet members of other classes of the
+group, unless sizes and places of the shared difference say that they can't be similar. Two members of one class needn't meet: whatever they are, the class stays the same. So no class is
 parted, however large a key is, and a crowd of near-copies takes a few pairs for each member.
 
 Cases: null and empty texts are one class; fewer words than a shingle are one shingle; repeated rows share a class; rows
@@ -154,33 +157,54 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         shared >= threshold * (F.size("_a") + F.size("_b") - shared) - 1e-9).select("a", "b"), "links")
 
 
+def _differences(sets: DataFrame, hubs: DataFrame, threshold: float) -> DataFrame:
+    """(id, root, size, length, own, missing), written: what each of ``sets`` has more than the example of its crowd, and what less.
+
+    A crowd is what hangs together by ``hubs`` (id, a), sets a that stand for the keys of set id. The hub of most of its sets
+    is its example; any set would be right. ``length`` is one more than a set may have that a similar one hasn't.
+    """
+    crowds = written(components(hubs.select("a", F.col("id").alias("b"))).select(F.col("node").alias("id"), "root"), "crowds")
+    heads = hubs.join(crowds, "id").groupBy("root", "a").agg(F.count(F.lit(1)).alias("_n")).groupBy("root").agg(
+        F.max_by("a", F.struct("_n", "a")).alias("a"))
+    examples = sized(heads.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("_h")), "a").select("root", "_h"))
+    size = F.size("shingles")
+    return written(sets.join(crowds, "id").join(examples, "root").select(
+        "id", "root", size.alias("size"), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int").alias("length"),
+        F.array_except("shingles", "_h").alias("own"), F.array_except("_h", "shingles").alias("missing")), "own")
+
+
 def _prefixes(sets: DataFrame, hubs: DataFrame, threshold: float) -> DataFrame:
-    """(shingle, id, place, size) of the first shingles of each set, those of others' sets too, written.
+    """(shingle, id, size, differing, rest) of the first differences of each set, those of others' sets too, written.
 
-    Shingles of the ``hubs`` (id, a), sets a that stand for the keys of set id, come last, and so do those of over ``BUCKET``
-    sets. Any order of all shingles would be right. Most shingles of a crowd are its hubs' and are told apart within the
-    arrays; only the others, as many as a set may need, become rows to be looked up.
+    A set's differences are its ``own`` and ``missing`` shingles and an end mark that all sets have: ``differing`` in all,
+    ``rest`` of them from the one at hand on. ``shingle`` tells crowds apart. Their order: own ones, missing ones from the
+    rarest on, own ones of over ``BUCKET`` sets, the mark. Any order that all sets follow would be right.
     """
-    length = (F.size("shingles") - F.ceil(F.size("shingles") * threshold - 1e-9) + 1).cast("int")
-    shapes = sized(sets.join(hubs.select(F.col("a").alias("id")).distinct(), "id", "left_semi"))
-    held = hubs.join(shapes.select(F.col("id").alias("a"), F.col("shingles").alias("_h")), "a").groupBy("id").agg(
-        F.array_distinct(F.flatten(F.collect_list("_h"))).alias("_h"))
-    own = written(sets.join(held, "id").select(
-        "id", F.size("shingles").alias("size"), length.alias("length"), F.array_except("shingles", "_h").alias("own"),
-        F.array_intersect("shingles", "_h").alias("common")), "own")
-    first = written(own.select("id", F.explode(F.slice("own", F.lit(1), F.col("length"))).alias("shingle")), "first")
-    often = first.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET).select("shingle")
-    late = sized(often.unionByName(shapes.select(F.explode("shingles").alias("shingle"))).distinct())
-    found = written(first.join(late, "shingle", "left_semi"), "late")
+    own = _differences(sets, hubs, threshold)
+    first = written(own.select("id", "root", F.explode(F.slice("own", F.lit(1), F.col("length"))).alias("shingle")), "first")
+    late = sized(first.groupBy("root", "shingle").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET).select(
+        "root", "shingle"))
+    found = written(first.join(late, ["root", "shingle"], "left_semi").select("id", "shingle"), "late")
     # Sets that have such a shingle among their first need later ones in its place.
     more = own.where(F.size("own") > F.col("length")).join(sized(found.select("id").distinct()), "id", "left_semi").select(
-        "id", F.explode(F.slice("own", F.col("length") + 1, F.size("own"))).alias("shingle"))
-    moved = found.unionByName(more.join(late, "shingle", "left_semi").select("shingle", "id")).groupBy("id").agg(
+        "id", "root", F.explode(F.slice("own", F.col("length") + 1, F.size("own"))).alias("shingle"))
+    moved = found.unionByName(more.join(late, ["root", "shingle"], "left_semi").select("id", "shingle")).groupBy("id").agg(
         F.collect_list("shingle").alias("_m"))
-    moved = F.coalesce("_m", F.array().cast("array<bigint>")), own.join(moved, "id", "left")
-    ordered = F.concat(F.array_except("own", moved[0]), F.sort_array(F.concat("common", moved[0])))
-    first = written(moved[1].select("id", "size", F.posexplode(F.slice(ordered, F.lit(1), F.col("length"))).alias(
-        "place", "shingle")).select("shingle", "id", "place", "size"), "prefixes")
+    lacking = own.select("root", F.explode("missing").alias("shingle")).groupBy("root", "shingle").agg(F.count(F.lit(1)).alias("_n"))
+    # A row for each crowd, as long as its example.
+    lacking = sized(lacking.groupBy("root").agg(
+        F.sort_array(F.collect_list(F.struct("_n", "shingle"))).getField("shingle").alias("_l")))
+    none = F.array().cast("array<bigint>")
+    both = own.join(moved, "id", "left").join(lacking, "root", "left").withColumns(
+        {"_m": F.coalesce("_m", none), "_l": F.coalesce("_l", none)}).withColumn("_o", F.array_except("own", "_m"))
+    ordered = F.concat("_o", F.array_intersect("_l", "missing"), F.sort_array("_m"), F.array(F.lit(None).cast("bigint")))
+    # One of the first ``length`` own ones is the other's too; where there are fewer, one of the first of all is.
+    longer = (F.floor(F.col("size") * ((1 - threshold) / threshold) + 1e-9) + 1).cast("int")
+    enough = F.when(F.size("_o") >= F.col("length"), F.col("length")).otherwise(longer)
+    rows = both.select("id", "root", "size", (F.size("own") + F.size("missing") + 1).alias("differing"), F.posexplode(
+        F.slice(ordered, F.lit(1), enough)).alias("_p", "shingle"))
+    first = written(rows.select(F.xxhash64("root", "shingle").alias("shingle"), "id", "size", "differing", (
+        F.col("differing") - F.col("_p")).alias("rest")), "prefixes")
     shared = sized(first.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("shingle"))
     return written(first.join(shared, "shingle", "left_semi"), "prefixes")
 
@@ -199,9 +223,9 @@ def _open_groups(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _may_be_similar(threshold: float) -> Column:
-    """Of rows x and y of one shingle: there is as much left of both sets from it on as a similar pair must share."""
-    rest = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    return rest >= (F.col("x.size") + F.col("y.size")) * (threshold / (1 + threshold)) - 1e-6
+    """Of rows x and y of one shingle: if it is the first difference that both have, the two differ by no more than a similar pair may."""
+    between = F.col("x.differing") + F.col("y.differing") - 2 * F.least("x.rest", "y.rest")
+    return between <= (F.col("x.size") + F.col("y.size")) * ((1 - threshold) / (1 + threshold)) + 1e-6
 
 
 def _representatives(open_: DataFrame, count: int, threshold: float) -> DataFrame:

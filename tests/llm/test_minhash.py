@@ -132,3 +132,37 @@ def test_a_crowd_is_looked_up_by_few_of_its_shingles(spark, monkeypatch):
     want = brute(rows)
     assert {r.doc_id for r in minhash.one_of_each(messy(spark, rows)).collect()} == want and len(want) < len(rows)
     assert len(looked_up) == 1 and 0 < looked_up[0] <= 0.25 * sum(len(shingles(t)) for _, t in rows)
+
+
+def test_what_a_crowd_has_in_common_makes_no_pairs(spark, pairs_compared):
+    """Copies of one text, too far apart for most to be similar: only those that differ from it in the same are compared."""
+    rng = random.Random(8)
+    words, rows = [f"w{n}" for n in range(150)], []
+    for n in range(400):
+        rows.append((2 * n, edited(rng, words, rng.choice([1, 4, 4, 5]))))
+        if n % 10 == 0:
+            rows.append((2 * n + 1, edited(rng, rows[-1][1].split(), 2)))
+    want = brute(rows)
+    assert {r.doc_id for r in minhash.one_of_each(messy(spark, rows)).collect()} == want and 100 < len(want) < len(rows) - 40
+    assert len(pairs_compared) > 2 and pairs_compared[-1] <= 2 * len(rows)
+
+
+def test_differences_find_every_similar_pair_of_a_crowd(spark):
+    """Whatever the sizes: also those that differ from the example in nothing, or in all."""
+    rng = random.Random(9)
+    base, sets = list(range(1, 101)), {}
+    for n in range(150):
+        kept = rng.sample(base, rng.choice([60, 80, 90, 95, 100]))
+        sets[n] = sorted(kept + [1000 + rng.randrange(40) for _ in range(rng.choice([0, 0, 3, 10, 25, 60]))])
+        sets[n] = sorted(set(sets[n]))
+    sets[150], sets[151], sets[152] = list(range(5000, 5020)), list(range(5001, 5020)), base
+    found = minhash._prefixes(spark.createDataFrame(list(sets.items()), "id bigint, shingles array<bigint>"), spark.createDataFrame(
+        [(n, 152) for n in sets], "id bigint, a bigint"), 0.8).collect()
+    held = {}
+    for r in found:
+        held.setdefault(r.shingle, []).append(r)
+    met = {(min(x.id, y.id), max(x.id, y.id)) for g in held.values() for x, y in combinations(g, 2)
+           if x.differing + y.differing - 2 * min(x.rest, y.rest) <= (x.size + y.size) / 9 + 1e-6}
+    similar = {(a, b) for a, b in combinations(sets, 2)
+               if 10 * len(set(sets[a]) & set(sets[b])) >= 8 * len(set(sets[a]) | set(sets[b]))}
+    assert similar <= met and len(similar) > 100 and any(152 in p for p in similar) and (150, 151) in similar
